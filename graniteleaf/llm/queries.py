@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteleaf.llm import chat_format, line_dedup, mixing, quality_rules, sharding, token_counts
+from graniteleaf.llm import chat_format, line_dedup, mixing, quality_model, quality_rules, sharding, token_counts
 from graniteleaf.llm.common import table
+from graniteleaf.llm.oracles import ORACLE_SQL  # noqa: F401
 
 N_SHARDS = 24
 
@@ -17,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
 
@@ -46,5 +51,4 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path(), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts)}
