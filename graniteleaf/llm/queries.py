@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteleaf.llm import chat_format, line_dedup, mixing, ngram_join, quality_model, quality_rules, sharding, token_counts
+from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, sharding, token_counts
 from graniteleaf.llm.common import table
 from graniteleaf.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -50,9 +50,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer_path(), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts, op10_decontamination)}
