@@ -78,8 +78,8 @@ def _keys(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 yield pd.DataFrame({"id": ids[a:b], "key": keys[a:b], "sig": [s.tobytes() for s in (sig & np.uint32(255)).astype(np.uint8)], "bands": list(band_hashes(sig, rows))})
 
     # ids pass through Python as text: pandas would make nulls and long ids doubles
-    rows = docs.select(F.col("id").cast("string").alias("id"), word_key(F.col("text")).alias("key"), "text")
-    return rows.mapInPandas(make, "id string, key binary, sig binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
+    slim = docs.select(F.col("id").cast("string").alias("id"), word_key(F.col("text")).alias("key"), "text")
+    return slim.mapInPandas(make, "id string, key binary, sig binary, bands array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def _blocks(rows: DataFrame, group: str, size: str) -> DataFrame:
@@ -251,3 +251,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     least_id = named.groupBy("root").agg(F.min("id").alias("class_id"))
     named = named.join(least_id, "root").select("key", "class_id", "n_links")
     return keyed.select(F.col("id").alias(id_col), "key").join(named, "key").select(id_col, "class_id", "n_links", "key")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each near-duplicate class: that of the least id (null ids last), of several such rows one.
+
+    All columns stay. Nulls, repeated rows and empty tables as in join().
+    """
+    classes = join(docs, id_col, text_col, **how).select("key", F.col(id_col).cast("long").alias("_i"), "class_id", "n_links")
+    # the class of least id keeps its key's rows; without any id the least key stands for a class
+    named = classes.groupBy("key").agg(F.min("_i").alias("_i"), F.first("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    chosen = named.where(F.col("_i").eqNullSafe(F.col("class_id"))).select("key", F.col("_i").alias("_least"))
+    rows = docs.select(F.struct("*").alias("_all"), F.col(id_col).cast("long").alias("_i"), word_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
+    rows = rows.join(chosen, F.col("_k") == F.col("key")).where(F.col("_i").eqNullSafe(F.col("_least")))
+    # rows alike in key and id: any one of them
+    return rows.groupBy("_k", "_i").agg(F.first("_all").alias("_all")).select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, sharding, token_counts
+from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, token_counts
 from graniteleaf.llm.common import table
 from graniteleaf.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).drop("key")
 
@@ -59,4 +63,4 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, tokenizer_path(), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_ngram_join, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_ngram_join, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts, op10_decontamination)}
