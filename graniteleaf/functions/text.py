@@ -79,8 +79,8 @@ def json_text(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", c * 100), F.lit("—"))
+    return F.when(c.isNull(), "—").otherwise(F.format_string("%.1f%%", c * 100))
 
 
 def decimal3(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.3f", c), F.lit("—"))
+    return F.when(c.isNull(), "—").otherwise(F.format_string("%.3f", c))
