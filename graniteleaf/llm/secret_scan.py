@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions and Spark ML only.
 
-A candidate is a word of at least eight characters with a digit in it, or a value given to a credential word. The forest sees its
+A candidate is a word of at least eight characters with a digit in it, one of a well-known key format, or a value given to a credential word. The forest sees its
 length, the transitions between character classes, how much of it dictionary words cover, its path, and its neighbouring
 words. The dictionary is counted over all documents. The forest is trained from labelled findings; where no
 reviewed findings exist, weak_labels() labels candidates by the formats of well-known secrets.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from graniteleaf.llm.common import WS, stored
 
 CREDENTIAL = "(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)"
+#: Public formats of well-known keys (fixed values).
+KNOWN = "(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,}|xox[a-z]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}[.]"
 PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|test|fake|xxxx"
 PATH = "(?i)test|example|sample|fixture|mock|doc|spec"
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "hex", "distinct", "letter_digit", "digit_letter", "lower_upper", "upper_lower", "covered", "key_inside", "key_before", "assigned", "placeholder", "path_test", "path_depth")
@@ -37,10 +39,10 @@ def _count(value: Column, pattern: str) -> Column:
 def candidates(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """id, position (of the word in its text, from 0), finding, and FEATURES, one row a candidate."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    likely = docs.where(F.rlike(text, F.lit(f"[0-9]|{CREDENTIAL}[^\\p{{L}}]{{0,3}}[:=]"))).select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "").alias("w"))
+    likely = docs.where(F.rlike(text, F.lit(f"[0-9]|{KNOWN}|{CREDENTIAL}[^\\p{{L}}]{{0,3}}[:=]"))).select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "").alias("w"))
 
     def wanted(w: Column) -> Column:
-        return ((F.length(w) >= 8) & F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit("[A-Za-z0-9+/_=-]{8,}"))) | F.rlike(w, F.lit(f"{CREDENTIAL}[\"']?[:=].{{4,}}"))
+        return ((F.length(w) >= 8) & F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit("[A-Za-z0-9+/_=-]{8,}"))) | F.rlike(w, F.lit(KNOWN)) | F.rlike(w, F.lit(f"{CREDENTIAL}[\"']?[:=].{{4,}}"))
 
     spots = F.filter(F.transform("w", lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
     around = likely.select("id", "path", "w", F.explode(spots).alias("position"))
@@ -66,7 +68,7 @@ def candidates(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """label 1.0 for candidates of a well-known secret format, or long random values given to a credential word; else 0.0."""
-    known = F.rlike("finding", F.lit("^(?:AKIA|ASIA)[0-9A-Z]{12,}$|^gh[pousr]_[A-Za-z0-9]{20,}$|^sk[-_][A-Za-z0-9_-]{16,}$|^xox[a-z]-[A-Za-z0-9-]{10,}$|^eyJ[A-Za-z0-9_-]{10,}\\."))
+    known = F.rlike("finding", F.lit(f"^(?:{KNOWN})"))
     given = ((F.col("key_inside") + F.col("key_before")) > 0) & (F.col("assigned") > 0) & (F.col("length") >= 12) & F.rlike("finding", F.lit("^[A-Za-z0-9+/_=-]+$")) & (F.col("digits") > 0.05)
     return found.withColumn("label", F.when((known | given) & (F.col("placeholder") == 0), 1.0).otherwise(0.0))
 

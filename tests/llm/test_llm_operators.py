@@ -1,0 +1,309 @@
+"""Training-data operators against brute force, and on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, token_counts
+from graniteleaf.llm.components import components
+from graniteleaf.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, shard int"
+WS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def vocabulary(rng, n=400):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies, junk, leaks, repeated rows, nulls, empty and very long texts."""
+    rng = random.Random(4)
+    words = vocabulary(rng)
+    text = lambda n: "\n".join(" ".join(rng.choice(words) for _ in range(20)) + "." for _ in range(n))
+    docs = [(i, text(rng.randint(2, 12)), "en", f"s{i % 3}") for i in range(60)]
+    for i in range(60, 75):
+        w = docs[i - 60][1].split(" ")
+        w[rng.randrange(len(w))] = "changed"
+        docs.append((i, " ".join(w), "en", "s0"))
+    docs += [(i, docs[3][1], "fr", "s1") for i in range(75, 80)]
+    docs += [(80, None, None, None), (81, "", "en", "s0"), (82, "  \n ", "en", "s0"), (83, "two words", None, "s1"), (None, docs[5][1], "en", "s0"), (None, None, None, None)]
+    docs += [(84, text(900), "en", "s2"), (7, docs[7][1], "en", "s1"), (7, docs[7][1], "en", "s1")]
+    docs += [(90 + i, "JUNK!! " * (30 + i), "en", "s0") for i in range(15)]
+    return docs
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame([(*d, 1, 2, 0.5, 9) for d in corpus], SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingles(t):
+    w = WS.findall(t or "")
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_join_finds_all_links(docs, corpus, empty):
+    sets = [shingles(d[1]) for d in corpus]
+    near = [[j for j in range(len(sets)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in range(len(sets))]
+    root = list(range(len(sets)))
+    for _ in sets:
+        for i, n in enumerate(near):
+            root[i] = min([root[i], *(root[j] for j in n)])
+    groups = {r: [corpus[i][0] for i in range(len(sets)) if root[i] == r and corpus[i][0] is not None] for r in set(root)}
+    want = Counter((corpus[i][0], min(groups[root[i]], default=None), len(near[i])) for i in range(len(sets)))
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(docs).collect()) == want
+    assert ngram_join.join(empty).count() == 0
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(root))
+
+
+def test_join_splits_large_groups(spark, monkeypatch):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(40):
+        w = list(base)
+        w[rng.randrange(150)] = f"x{i}"
+        texts.append(" ".join(w))
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    got = ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [shingles(t) for t in texts]
+    for r in got:
+        assert r["class_id"] == 0 and r["n_links"] == sum(len(sets[r["doc_id"]] & s) >= 0.8 * len(sets[r["doc_id"]] | s) for s in sets) - 1
+
+
+def test_bands_reach_the_recall():
+    b = ngram_join.bands_for(0.8, 0.9999, 5)
+    assert 1 - (1 - 0.8**5) ** b >= 0.9999 > 1 - (1 - 0.8**5) ** (b - 1)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 130)] + [(200, 200)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 130)} == {100} and got[200] == 200
+
+
+def test_line_dedup_both_ways(spark, docs, corpus, empty):
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})
+    n = Counter(k for d in corpus for k in {key(x) for x in (d[1] or "").split("\n")})
+    want = Counter()
+    for d in corpus:
+        lines = (d[1] or "").split("\n")
+        kept = [x for x in lines if not (n[key(x)] >= 4 and len(key(x)) >= 1)]
+        want[d[0], "\n".join(kept), len(lines), len(lines) - len(kept)] += 1
+    assert sum(k[3] for k in want.elements()) > 20
+    for sent in (1 << 20, 0):
+        out = line_dedup.drop_common_lines(docs, min_docs=4, max_sent=sent)
+        assert Counter((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in out.collect()) == want
+    assert line_dedup.drop_common_lines(empty).count() == 0
+
+
+def test_reference_counts_are_reversible(docs):
+    a, b = docs.where("doc_id < 40"), docs.where("doc_id >= 40")
+    before = line_dedup.reference_counts(a)
+    after = line_dedup.changed_counts(line_dedup.changed_counts(before, added=b), removed=b)
+    as_set = lambda df: {(bytes(r["key"]), r["n_docs"]) for r in df.collect()}
+    assert as_set(after) == as_set(before)
+
+
+def test_cuckoo_filter():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, (3000, 2)).astype(np.uint64)
+    f = line_dedup.CuckooFilter.of(keys[:2000])
+    assert f.contains(keys[:2000]).all() and f.contains(keys[2000:]).sum() == 0
+    f.delete(keys[:1000])
+    assert f.contains(keys[1000:2000]).all() and f.contains(keys[:1000]).sum() == 0
+    assert line_dedup.CuckooFilter.from_bytes(f.to_bytes()).contains(keys[1000:2000]).all()
+
+
+def test_chat_round_trip(spark):
+    odd = "\\### Assistant: </turn> ok\\h\\b\\\\l #<\n"
+    rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "assistant", None), (1, 3, None, "tail"), (2, 0, "system", "s"), (None, 1, "assistant", "a"), (3, 1, "as\nsi:st#", "x"), (1, 1, "assistant", odd), (4, None, "assistant", "long " * 50_000)]
+    made = chat_format.examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat_format.digest(made).collect()}
+    for c in (1, 2, 3, 4, None):
+        turns = sorted(((t if t is not None else -1, r or "", x or "") for i, t, r, x in rows if i == c))
+        text = "".join(f"{r}\n{x}\n" for _, r, x in turns)
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        g = got[c]
+        assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(turns), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    texts = [r for r in made.where("conv_id = 1").orderBy("example").collect()]
+    assert len(texts) == 4 and sum(len(r["text"]) for r in texts) == got[1]["formatted_chars"] and texts[-1]["loss_start"] is None
+    assert all(b["text"].startswith(a["text"]) for a, b in zip(texts, texts[1:], strict=False))
+    assert chat_format.digest(chat_format.examples(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_mixture(docs, corpus, empty):
+    size = lambda t: len(WS.findall(t or ""))
+    own = Counter()
+    for d in corpus:
+        own[d[3]] += size(d[1])
+    names = sorted([s for s in own if s is not None]) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, left, open_ = {}, float(sum(own.values())), set(names)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * own[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = 3.0 * own[s]
+            left -= target[s]
+        open_ -= full
+    target |= {s: level * weight[s] for s in open_}
+    out = mixing.mix(docs).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d[0], size(d[1])) for d in corpus)
+    taken = Counter()
+    for r in out:
+        assert r["taken"] <= 3 * r["size"] and r["target"] == pytest.approx(target[r["source"]]) and r["source_size"] == own[r["source"]]
+        taken[r["source"]] += r["taken"]
+    for s in names:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s] + 3
+    assert sorted(map(repr, out)) == sorted(map(repr, mixing.mix(docs.repartition(2)).collect()))
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+
+
+def test_shards(docs, corpus, empty):
+    out = sharding.shard(docs, 7, carry=False).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((d[0], size(d[1]), zlib.crc32((d[1] or "").encode())) for d in corpus)
+    by = Counter(r["shard"] for r in out)
+    assert max(by.values()) - min(by.values()) <= 1 and len(by) == 7
+    for s in by:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(by[s]))
+    full = sharding.shard(docs, 7, carry=True).collect()
+    per = Counter((r["shard"], r["source"]) for r in full)
+    for s in {d[3] for d in corpus}:
+        counts = [per[k, s] for k in range(7)]
+        assert max(counts) - min(counts) <= 2
+    assert sharding.shard(empty, 3).count() == 0
+    assert sharding.shard(docs.limit(2), 5).count() == 2
+
+
+def test_tokens_as_the_library_counts(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(2)
+    signs = [" ", "  ", "\n", "\n\n ", "\t", "a", "Zb", "'s", "'", "é", "ß", "12", "!", "...", "<|endoftext|>", " ", "　", "\x85", "\x1c", "​", "漢字", "😀", "don't", "_", "\r\n"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [None, "", "word " * 30_000]
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
+    got = {r["doc_id"]: r for r in token_counts.count_tokens(df, tokenizer_path()).collect()}
+    lib = Tokenizer.from_file(tokenizer_path())
+    for i, t in enumerate(texts):
+        n = len(lib.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 1024), repr(t)
+    assert token_counts.count_tokens(df.limit(0), tokenizer_path()).count() == 0
+
+
+def brute_rules(t):
+    w = WS.findall(t or "")
+    wins = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    hit = {j for i in range(len(w) - 7) if wins[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    lines = [x for x in (t or "").split("\n") if WS.search(x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(hit)
+
+
+def test_rule_statistics(spark, docs, corpus, empty):
+    extra = [(900, "a b c d e f g h " * 3, "en", "s"), (901, "x\nx\n\nx\n y", "en", "s"), (902, "#*$ %& |<> é", "en", "s"), (903, "a b c d e f g h i a b c d e f g h j b c d e f g h i", "en", "s")]
+    both = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string"))
+    labels = spark.createDataFrame([(d[0], 0 if "JUNK" in (d[1] or "") else 1, 0) for d in corpus if d[0] is not None] + [(None, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality_rules.judged(both, labels).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert Counter((r["doc_id"], *(r[c] for c in names)) for r in out) == Counter((d[0], *brute_rules(d[1])) for d in [*corpus, *extra])
+    for r in out:
+        assert r["base_failed"] == (r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]) and not (r["base_failed"] and r["kept"])
+    assert quality_rules.judged(empty, labels).count() == 0
+
+
+def test_thresholds_hold_the_exact_bound(spark):
+    from math import comb, log
+
+    for n, k, p in ((10, 0, 0.1), (400, 3, 0.02), (5000, 40, 0.01)):
+        got = spark.range(1).select(quality_rules.log_tail(F.lit(n), F.lit(k), p)).first()[0]
+        assert got == pytest.approx(log(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))), rel=1e-9)
+    clean = [("en", 1, 100, 500, 0, 0, 0, 10, 0, 0)] * 3000 + [("en", 1, 100, 500, 60, 0, 0, 10, 0, 0)] * 2
+    bad = [("en", 0, 100, 500, 100, 0, 0, 10, 0, 0)] * 50
+    cols = "lang string, quality int, n_words long, word_chars long, n_symbols long, n_bangs long, n_capitals long, n_lines long, n_dup_lines long, n_repeat_words long"
+    got = quality_rules.thresholds(spark.createDataFrame(clean + bad, cols), "lang", 0.01).collect()
+    assert [(r["rule"], r["cutoff"]) for r in got] == [("symbols", 0.12)]
+    assert quality_rules.thresholds(spark.createDataFrame((clean + bad)[-200:], cols), "lang", 0.01).count() == 0
+
+
+def test_quality_scores(spark, docs, corpus, empty):
+    labels = spark.createDataFrame([(d[0], 0 if "JUNK" in (d[1] or "") else 1, 0) for d in corpus if d[0] is not None and len(d[1] or "") > 20] + [(1, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality_model.scored(docs, labels).collect()
+    text = {d[0]: d[1] for d in corpus}
+    assert len(out) == len(corpus)
+    for r in out:
+        assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"] if r["doc_id"] is not None else "").encode()) % 5 == 0)
+        if r["doc_id"] is not None and len(text[r["doc_id"]] or "") > 20:
+            assert r["predicted"] == (0 if "JUNK" in text[r["doc_id"]] else 1)
+    kept = quality_model.scored(docs, labels, carry=True)
+    assert set(docs.columns) < set(kept.columns) and kept.count() == len(corpus)
+    assert quality_model.scored(empty, labels).count() == 0
+    assert {r["score"] for r in quality_model.scored(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_isotonic_fit_is_monotone_and_pools():
+    x, y = quality_model.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 3, 1, 4]), np.array([4, 4, 4, 4]))
+    assert list(y) == [0, 0.5, 1] and list(x) == pytest.approx([0.1, 0.25, 0.4])
+
+
+def test_leaks(spark, docs, corpus, empty):
+    rng = random.Random(9)
+    words = vocabulary(rng, 3000)
+    items = [" ".join(rng.choice(words) for _ in range(n)) + "." for n in (15, 25, 40, 58)]
+    held = []
+    for i, t in enumerate(items):
+        w = t.split()
+        rest = [rng.choice(words) for _ in range(400)]
+        at = rng.randrange(400)
+        held.append((1000 + i, " ".join(rest[:at] + w + rest[at:]), i))
+        para = [x for j, x in enumerate(w) if j % 7 != 3]  # a seventh of the words gone
+        held.append((2000 + i, " ".join([*rest[:at], *para, *rest[at:]]).upper(), i))
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([h[:2] for h in held] + [held[0][:2]], "doc_id long, text string"))
+    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, " ")], "item_id long, text string")
+    got = decontaminate.find_leaks(both, bench).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in got) == Counter([(h[0], h[2]) for h in held] + [(held[0][0], held[0][2])])
+    assert Counter(r["doc_id"] for r in decontaminate.find_leaks(both, bench, block=2).collect()) == Counter(r["doc_id"] for r in got)
+    clean = decontaminate.find_leaks(both, bench, carry=True)
+    assert clean.count() == len(corpus)
+    assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(docs, bench.limit(0)).count() == 0
+    assert decontaminate.find_leaks(docs, bench.limit(0), carry=True).count() == len(corpus)
+
+
+def test_secrets(spark, docs, empty):
+    rng = random.Random(3)
+    words = vocabulary(rng)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    found, rows = set(), []
+    for i in range(60):
+        w = [rng.choice(words) for _ in range(40)]
+        if i % 3 == 0:
+            w[20] = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16))
+            found.add((i, 20))
+        elif i % 3 == 1:
+            w[10] = f"password={hexes(18)}"
+            found.add((i, 10))
+        w[30] = rng.choice(["4111111111111111", "10.20.30.40", "a.b.12@mail1.example.com", "555-010-3099"])
+        rows.append((i, " ".join(w), "src/a"))
+    df = docs.select("doc_id", "text", "source").where("doc_id > 1000").unionByName(spark.createDataFrame([*rows, (None, None, None), (99, "", "")], "doc_id long, text string, source string"))
+    got = {(r["doc_id"], r["position"]) for r in secret_scan.scan(df).collect()}
+    assert got == found
+    assert secret_scan.scan(empty).count() == 0
+    taught = spark.createDataFrame([(i, p, 1.0 if (i, p) in found else 0.0) for i in range(60) for p in (10, 20, 30)], "id long, position int, label double")
+    assert {(r["doc_id"], r["position"]) for r in secret_scan.scan(df, taught).collect()} == found
