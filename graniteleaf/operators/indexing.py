@@ -60,3 +60,21 @@ def term_statistics(lengths: DataFrame, settings: Settings = DEFAULT) -> DataFra
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.ln(F.col("n") - F.col("df") + F.lit(0.5).cast("double")) - F.ln(F.col("df") + F.lit(0.5).cast("double")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(settings.bm25_floor) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def lexical_index(corpus: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """term, chunk_id, weight: what one occurrence of the term in a query adds to the chunk's BM25 score.
+
+    Written once (write_lexical_index), it leaves a query one join on its terms and one sum.
+    """
+    lengths = document_lengths(corpus)
+    mean = lengths.agg(F.avg("dl").alias("avgdl"))
+    tf = lengths.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    k1, b = settings.bm25_k1, settings.bm25_b
+    weight = F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
+    return tf.join(term_statistics(lengths, settings), "term").crossJoin(F.broadcast(mean)).select("term", "chunk_id", weight.alias("weight"))
+
+
+def write_lexical_index(postings: DataFrame, path: str) -> None:
+    """Ranges of terms a file, sorted inside, so a query's terms skip most row groups."""
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)

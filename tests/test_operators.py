@@ -177,3 +177,13 @@ def test_streaming_ledger(spark, tmp_path):
     q.stop()
     got = spark.table("spend").orderBy("start").collect()
     assert [(r["spent"], r["over"]) for r in got] == [(5, False), (12, True), (7, False)]
+
+
+def test_indexed_bm25_is_the_same(spark, tmp_path):
+    from graniteleaf.operators import indexing
+    from graniteleaf.plans import base
+
+    d = "/root/testdata/sf0.001"
+    indexing.write_lexical_index(indexing.lexical_index(base.corpus(spark, d)), str(tmp_path / "i"))
+    got = retrieval.bm25_indexed(base.asked(spark, d), spark.read.parquet(str(tmp_path / "i")), 10)
+    assert sorted(rows(got)) == sorted(rows(queries.bm25_topk(spark, d)))
