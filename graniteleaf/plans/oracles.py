@@ -147,10 +147,12 @@ O: dict[str, str] = {
     "drop_blocks": f"SELECT doc, pos, text FROM {values('blocks')} WHERE NOT (contains(classes, 'oj-note') OR contains(classes, 'oj-ti-art') OR contains(classes, 'oj-sti-art') OR contains(classes, 'oj-doc-ti'))",
     "page_blocks": f"WITH {BLOCKS} SELECT * FROM blocks WHERE text <> ''",
     "page_text": f"WITH {BLOCKS} SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks WHERE text <> '' GROUP BY 1",
-    "heading_ffill": """WITH x AS (SELECT * FROM (VALUES (1, 1, 'CHAPTER I', '', '', ''), (1, 2, 'CHAPTER I', 'CHAPTER I - General', '', ''), (1, 3, 'CHAPTER I', 'CHAPTER I - General', '', ''), (1, 4, 'CHAPTER I', 'CHAPTER I - General', 'Section 1', ''),
-  (1, 5, 'CHAPTER I', 'CHAPTER I - General', 'Section 1', 'Section 1 - Scope'), (1, 6, 'CHAPTER I', 'CHAPTER I - General', 'Section 1', 'Section 1 - Scope'), (1, 7, 'CHAPTER I', 'CHAPTER I - General', 'Section 1', 'Section 1 - Scope'),
-  (1, 8, 'Chapter II', '', '', ''), (1, 9, 'Chapter II', '', '', ''), (1, 10, 'Chapter II', 'Chapter II - Rights', '', ''), (1, 11, 'Chapter II', 'Chapter II - Rights', '', ''), (1, 12, 'Chapter II', 'Chapter II - Rights', '', ''), (1, 13, 'Chapter II', 'Chapter II - Rights', '', ''),
-  (2, 1, '', '', '', ''), (2, 2, '', '', '', '')) AS v(doc, pos, chapter, chapter_title, section, section_title)) SELECT * FROM x""",
+    "heading_ffill": f"""WITH b AS (SELECT *, contains(classes, 'oj-ti-section-1') AS h, upper(text) LIKE 'CHAPTER%' AS c, upper(text) LIKE 'SECTION%' AS s, contains(classes, 'oj-ti-section-2') AS t FROM {values("blocks")}),
+p AS (SELECT *, max(CASE WHEN h AND c THEN pos END) OVER w AS cp, max(CASE WHEN h AND s THEN pos END) OVER w AS sp FROM b WINDOW w AS (PARTITION BY doc ORDER BY pos)),
+q AS (SELECT *, CASE WHEN sp > coalesce(cp, 0) THEN sp END AS own FROM p),
+n AS (SELECT doc, coalesce(own, cp) AS head, min(pos) AS tp, arg_min(text, pos) AS title FROM q WHERE t AND NOT h GROUP BY ALL)
+SELECT q.doc, q.pos, coalesce(ch.text, '') AS chapter, coalesce(CASE WHEN cn.tp <= q.pos THEN ch.text || ' - ' || cn.title END, '') AS chapter_title, coalesce(se.text, '') AS section, coalesce(CASE WHEN sn.tp <= q.pos THEN se.text || ' - ' || sn.title END, '') AS section_title
+FROM q LEFT JOIN b ch ON ch.doc = q.doc AND ch.pos = q.cp LEFT JOIN b se ON se.doc = q.doc AND se.pos = q.own LEFT JOIN n cn ON cn.doc = q.doc AND cn.head = q.cp LEFT JOIN n sn ON sn.doc = q.doc AND sn.head = q.own""",
     "route_kind": f"SELECT * FROM (SELECT *, CASE WHEN contains(classes, 'eli-subdivision') AND starts_with(element_id, 'art_') THEN 'article' WHEN contains(classes, 'eli-subdivision') AND starts_with(element_id, 'rct_') THEN 'recital' WHEN contains(classes, 'eli-container') AND starts_with(element_id, 'anx_') THEN 'annex' END AS kind FROM {values('kinds')}) WHERE kind IS NOT NULL",
     "unit_projection": f"""WITH u AS (SELECT *, split_part(element_id, '_', 2) AS number, CASE kind WHEN 'recital' THEN '' ELSE rtrim(coalesce(title, ''), '`') END AS t FROM {values("units")})
 SELECT element_id AS unit_id, kind, CASE kind WHEN 'recital' THEN 'Recital (' || number || ')' ELSE coalesce(label, CASE kind WHEN 'article' THEN 'Article ' ELSE 'ANNEX ' END || number) || CASE WHEN t <> '' THEN ' - ' || t ELSE '' END END AS citation, t AS title,
@@ -192,7 +194,7 @@ SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > 100 AS would_block FROM
     "parse_duration": f"""SELECT id, round(CASE WHEN s LIKE '%ms' THEN coalesce(try_cast(regexp_extract(s, '^(.*)ms$', 1) AS DOUBLE), 0) / 1000 WHEN regexp_matches(s, '^(?:(\\d+)h)?(?:(\\d+)m)?(?:([\\d.]+)s)?$')
   THEN coalesce(try_cast(regexp_extract(s, '^(\\d+)h', 1) AS DOUBLE), 0) * 3600 + coalesce(try_cast(regexp_extract(s, '(?:^|h)(\\d+)m', 1) AS DOUBLE), 0) * 60 + coalesce(try_cast(regexp_extract(s, '(?:^|h|m)([\\d.]+)s$', 1) AS DOUBLE), 0) ELSE 0 END, 6) AS seconds FROM (SELECT id, trim(coalesce(s, '')) AS s FROM {values("durations")})""",
     "latest_limit": "SELECT user_id AS model, arg_max(event_id, {'ts': ts, 'event_id': event_id}) AS limit FROM events WHERE event_id % 3 > 0 GROUP BY 1".replace("AS limit", 'AS "limit"'),
-    "classify_status": f"""SELECT id, CASE WHEN status = 429 AND regexp_matches(body, 'per day|TPD') THEN 'daily_quota' WHEN status = 429 OR status >= 500 THEN 'retry' WHEN status >= 400 THEN 'error' ELSE 'ok' END AS class, CASE id WHEN 3 THEN round(3542.4::DOUBLE / 60, 4) WHEN 4 THEN 0 END AS minutes FROM {values("statuses")}""",
+    "classify_status": f"""SELECT id, CASE WHEN status = 429 AND regexp_matches(body, 'per day|TPD') THEN 'daily_quota' WHEN status = 429 OR status >= 500 THEN 'retry' WHEN status >= 400 THEN 'error' ELSE 'ok' END AS class, CASE WHEN status = 429 AND regexp_matches(body, 'per day|TPD') THEN round((coalesce(try_cast(regexp_extract(body, 'try again in (\\d+)m', 1) AS DOUBLE), 0) * 60 + coalesce(try_cast(regexp_extract(body, 'try again in (?:\\d+m)?([\\d.]+)s', 1) AS DOUBLE), 0)) / 60, 4) END AS minutes FROM {values("statuses")}""",
     "topk_units": f"WITH {BASE}, u AS (SELECT query_id, unit_id // 20 AS unit_id, min(rank) AS r FROM hits WHERE rank <= {K} GROUP BY ALL) SELECT query_id, unit_id, (row_number() OVER (PARTITION BY query_id ORDER BY r))::INTEGER AS unit_rank FROM u",
     "retrieval_metrics": f"WITH {MODES}, {scores('modes', [K], 'mode')} SELECT mode, k, query_id, {_R9} FROM sc",
     "citation_validity": f"WITH {ROWS} SELECT query_id, round(citation_validity, 9) AS citation_validity FROM er",
@@ -216,7 +218,8 @@ SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > 100 AS would_block FROM
     "model_family": f"SELECT model, lower(CASE WHEN contains(model, '/') THEN split_part(model, '/', 1) ELSE split_part(model, '-', 1) END) AS family FROM {values('models')}",
     "pick_judge": f"""WITH f AS (SELECT m.model, p.model AS judge, pos FROM {values("models")} m LEFT JOIN {values("preferences")} p ON lower(CASE WHEN contains(m.model, '/') THEN split_part(m.model, '/', 1) ELSE split_part(m.model, '-', 1) END) <> lower(CASE WHEN contains(p.model, '/') THEN split_part(p.model, '/', 1) ELSE split_part(p.model, '-', 1) END))
 SELECT model, coalesce(arg_min(judge, pos), 'default/judge') AS judge FROM f GROUP BY 1""",
-    "extract_json": f"""SELECT id, CASE id WHEN 1 THEN '{{"grade":"correct"}}' WHEN 2 THEN '[1,{{"a":2}}]' WHEN 4 THEN s END AS json FROM {values("judge_texts")}""",
+    "extract_json": rf"""WITH b AS (SELECT id, trim(regexp_replace(regexp_replace(trim(s, ' ' || chr(10)), '(?m)^```(?:json)?', '', 'g'), '(?m)```$', '', 'g'), ' ' || chr(10)) AS b FROM {values("judge_texts")}), i AS (SELECT *, regexp_extract(b, '(?s)[\[{{].*[\]}}]') AS i FROM b)
+SELECT id, CASE WHEN b <> '' AND json_valid(b) THEN b WHEN i <> '' AND json_valid(i) THEN i END AS json FROM i""",
     "number_claims": f"SELECT id, array_to_string(list_transform(claims[1:20], lambda c, i: (i - 1) || '. ' || c), chr(10)) AS numbered FROM {values('claims')}",
     "faithfulness": f"""WITH v AS (SELECT id, CASE WHEN json_valid(s) THEN json_array_length(s) END AS n, CASE WHEN json_valid(s) THEN len(list_filter(json_extract_string(s, '$[*].supported'), lambda x: x = 'true')) END AS k FROM {values("verdicts")}) SELECT id, round(k::DOUBLE / nullif(n, 0), 9) AS score FROM v""",
     "unsupported_claims": f"""WITH v AS (SELECT id, unnest(json_extract(s, '$[*]')) AS x FROM {values("verdicts")} WHERE json_valid(s)) SELECT id, (x->>'claim_index')::INTEGER AS claim_index FROM v WHERE coalesce(x->>'supported', 'false') <> 'true'""",
