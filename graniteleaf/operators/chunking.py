@@ -23,15 +23,16 @@ def pack(pieces: Column, budget: int, joiner: str) -> Column:
     """Greedy packing: a piece opens a new part if it would take the running estimate over the budget."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("tok"))
 
-    def step(a: Column, x: Column) -> Column:
-        t = T.approx_tokens(x)
+    def step(a: Column, p: Column) -> Column:
+        x, t = p["x"], p["t"]
         full = a["cur"].isNotNull() & (a["tok"] + t > budget)
         return F.struct(
             F.when(full, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
             F.when(full | a["cur"].isNull(), x).otherwise(F.concat_ws(joiner, a["cur"], x)).alias("cur"), F.when(full, t).otherwise(a["tok"] + t).alias("tok"),
         )
 
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    priced = F.transform(pieces, lambda x: F.struct(x.alias("x"), T.approx_tokens(x).alias("t")))  # each piece is counted once
+    return F.aggregate(priced, start, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
 
 
 def pieces(body: Column, budget: int) -> Column:
@@ -71,11 +72,13 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
     Order statistics come from the counts of each token number, so no task sorts the corpus.
     """
-    kinds = chunks.groupBy("kind").agg(F.count("*").alias("value")).select(F.concat(F.lit("kind:"), "kind").alias("metric"), "value")
-    whole = chunks.agg(F.count("*").alias("n"), F.countDistinct("unit_id").alias("u"))
-    by = chunks.groupBy("n_tokens").agg(F.count("*").alias("c"))
+    counts = chunks.groupBy("kind", "n_tokens").agg(F.count("*").alias("c"))  # one shuffle of these counts serves all below
+    kinds = counts.groupBy("kind").agg(F.sum("c").alias("value")).select(F.concat(F.lit("kind:"), "kind").alias("metric"), "value")
+    by = counts.groupBy("n_tokens").agg(F.sum("c").alias("c"))
+    whole = by.agg(F.sum("c").alias("n"))
+    units = chunks.agg(F.countDistinct("unit_id").alias("value")).select(F.lit("units").alias("metric"), "value")
     upto = Window.orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     ranked = by.withColumn("hi", F.sum("c").over(upto)).withColumn("lo", F.col("hi") - F.col("c")).crossJoin(F.broadcast(whole))
     picks = F.array(*[F.struct(F.lit(m).alias("m"), i.cast("long").alias("i")) for m, i in (("tokens_min", F.lit(0)), ("tokens_p50", F.floor(F.col("n") / 2)), ("tokens_p95", F.floor(F.col("n").cast("double") * F.lit(0.95))), ("tokens_max", F.col("n") - 1))])
     order = ranked.select("n_tokens", "lo", "hi", F.explode(picks).alias("p")).where("p.i >= lo and p.i < hi").select(F.col("p.m").alias("metric"), F.col("n_tokens").cast("long").alias("value"))
-    return whole.select(F.explode(F.create_map(F.lit("chunks"), "n", F.lit("units"), "u")).alias("metric", "value")).unionByName(kinds).unionByName(order)
+    return whole.select(F.lit("chunks").alias("metric"), F.coalesce("n", F.lit(0)).cast("long").alias("value")).unionByName(units).unionByName(kinds).unionByName(order)

@@ -41,7 +41,8 @@ def l2_normalize(v: Column) -> Column:
 def hash_encode(c: Column) -> Column:
     """A text as L2-normalised counts of its tokens in HASH_DIMS buckets of md5: the offline stand-in for an encoder."""
     buckets = F.transform(T.tokenize(c), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % HASH_DIMS)
-    counts = F.aggregate(buckets, F.array_repeat(F.lit(0.0), HASH_DIMS), lambda a, b: F.transform(a, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    count = lambda bs, i: (F.size(bs) - F.size(F.array_remove(bs, i))).cast("double")
+    counts = _let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMS - 1)), lambda i: count(bs, i)))
     return l2_normalize(counts)
 
 
