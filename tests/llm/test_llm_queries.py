@@ -53,3 +53,18 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in seen["mixed"]} <= {r["doc_id"] for r in seen["decontaminated"]}
     assert len(seen["sharded"]) == len(seen["mixed"])
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DIR).collect()) == sorted(r["doc_id"] for r in seen["sharded"])
+
+
+@pytest.mark.parametrize("some", [True, False])
+def test_pipeline_on_odd_tables(spark, tmp_path, some):
+    """Nulls in every column, blank and repeated rows, no labels, an empty benchmark, empty tables."""
+    long = "word " * 3 + " ".join(f"w{i}" for i in range(60_000))
+    rows = [(None, None, None, None, None), (1, None, "en", None, 3), (2, "", None, "s", None), (3, " \n", "en", "s", 2), (4, long, "en", "s", 1), (4, long, "en", "s", 1), (None, long, "en", "t", 1), (5, "a short text of eight words or so", "en", "t", 1)]
+    docs = spark.createDataFrame(rows if some else [], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, None, None), (None, 1, 0)] if some else [], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "")] if some else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    got = [r["text"] for r in out.collect()]
+    assert set(got) <= {r[1] for r in rows} and (bool(got) == some)
+    assert got.count(long) >= (1 if some else 0)
