@@ -3,10 +3,10 @@
 1. Texts with the same words in the same order form a class of copies; one row stands for them from here on.
 2. Each class has band hashes. Of all (rows, bands) whose expected recall at the threshold reaches `recall`, with `rows` given, the fewest bands are taken.
 3. Classes that share a band hash compare their signatures, in blocks of at most BLOCK rows, so no bucket is ever one task
-   and no bucket emits its pairs: a block emits a spanning forest of the pairs whose estimate lies within five standard errors
-   of the threshold. Components of these edges are the groups in which links can lie.
+   and no bucket emits its pairs: a pair of blocks emits stars, from the least member to the others of each group of
+   classes that pairs within five standard errors of the threshold connect. Components of these edges are the groups in which links can lie.
 4. Group by group, again in pairs of blocks, all n-gram sets are intersected, and each class gets the number of rows
-   linked to it; a spanning forest of the links gives the near-duplicate classes. Links are counted, never listed, so a group
+   linked to it; stars of the links give the near-duplicate classes. Links are counted, never listed, so a group
    of thousands of near copies costs rows in proportion to its blocks.
 """
 
@@ -113,23 +113,18 @@ def _runs(batches: Iterator[pd.DataFrame], cols: list[str]) -> Iterator[pd.DataF
         yield rest[0] if len(rest) == 1 else pd.concat(rest, ignore_index=True)
 
 
-def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the edges."""
-    root = list(range(n))
+def _least(label: np.ndarray, row: int, near: np.ndarray) -> None:
+    """Join the groups of a row and of the rows near it; a group is labelled by its least row."""
+    own = label[near]
+    least = min(int(own.min()), int(label[row]))
+    if own.max() != least or label[row] != least:
+        label[np.isin(label, np.append(own, label[row]))] = least
 
-    def top(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    kept = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = top(a), top(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+def _stars(keys: list[bytes], label: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Edges from each group's least key to its others: the same edges whichever bucket or block finds the group."""
+    rest = np.flatnonzero(label != np.arange(len(label))).tolist()
+    return [keys[label[k]] for k in rest], [keys[k] for k in rest]
 
 
 def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -141,19 +136,23 @@ def _sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def alike(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Edges (a, b) that join, in each pair of blocks of a bucket, the classes whose signatures agree in enough places."""
+    """Edges (a, b) that join, in each pair of blocks of a bucket, the groups of classes whose signatures agree in enough places."""
     a, b = [], []
     for part in _runs(batches, ["band", "i", "j"]):
+        part = part.sort_values("key")
         keys = part["key"].to_list()
         sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), -1)
         left, right = _sides(part)
+        label = np.arange(len(part))
         for s in range(0, len(left), 64):
             own = left[s : s + 64]
             near = (sig[own][:, None, :] == sig[right][None, :, :]).sum(2) >= least * sig.shape[1]
-            x, y = np.nonzero(near)
-            for p, q in _forest(len(part), own[x], right[y]):
-                a.append(keys[p])
-                b.append(keys[q])
+            for row, flags in zip(own.tolist(), near, strict=True):
+                if flags.any():
+                    _least(label, row, right[flags])
+        x, y = _stars(keys, label)
+        a += x
+        b += y
         if len(a) > 20_000:
             yield pd.DataFrame({"a": a, "b": b})
             a, b = [], []
@@ -187,9 +186,10 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def links(batches: Iterator[pd.DataFrame], width: int, threshold: float) -> Iterator[pd.DataFrame]:
-    """For each class of a pair of blocks: the rows linked to it there (`n`), and a spanning forest of the links (`other`)."""
+    """For each class of a pair of blocks: the rows linked to it there (`n`), and stars of the links (`other`)."""
     out: list[tuple] = []
     for part in _runs(batches, ["grp", "i", "j"]):
+        part = part.sort_values("key")
         keys, copies = part["key"].to_list(), part["copies"].to_numpy()
         sets = []
         texts = _encoded(part["text"])
@@ -207,7 +207,10 @@ def links(batches: Iterator[pd.DataFrame], width: int, threshold: float) -> Iter
             near &= mask | mask.T
         n = near @ copies
         out += [(keys[k], int(n[k]), None) for k in np.flatnonzero(n)]
-        out += [(keys[p], 0, keys[q]) for p, q in _forest(len(keys), *np.nonzero(np.triu(near)))]
+        label = np.arange(len(keys))
+        for row in np.flatnonzero(near.any(1)).tolist():
+            _least(label, row, np.flatnonzero(near[row]))
+        out += [(p, 0, q) for p, q in zip(*_stars(keys, label), strict=True)]
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["key", "n", "other"])
             out = []
@@ -256,7 +259,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the least id (null ids last), of several such rows one.
 
-    All columns stay. Nulls, repeated rows and empty tables as in join().
+    All columns stay. In a class without any id one row of each sequence of words stays. Nulls, repeated rows and empty
+    tables as in join().
     """
     classes = join(docs, id_col, text_col, **how).select("key", F.col(id_col).cast("long").alias("_i"), "class_id", "n_links")
     # the class of least id keeps its key's rows; without any id the least key stands for a class
