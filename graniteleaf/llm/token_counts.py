@@ -21,8 +21,8 @@ SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Entries that a worker's cache holds before it starts anew (about 60 MB).
 CACHE_ENTRIES = 400_000
-#: Rows that the frequent table is learnt from, and its entries. Both only save work: no count depends on them.
-SAMPLE_ROWS, FREQUENT = 2_000, 20_000
+#: Rows that the frequent table is learnt from, their largest size, and its entries. They only save work: no count depends on them.
+SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 2_000, 20_000, 20_000
 
 _tokenizers: dict = {}
 _caches: dict = {}
@@ -77,10 +77,11 @@ def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[i
 
 
 def frequent_units(docs: DataFrame, text_col: str, path: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the most frequent units of at most `rows` texts of at most 20,000 characters (the bound of what the driver reads)."""
+    """Lengths of the most frequent units of the first `rows` texts of at most SAMPLE_BYTES bytes: that many bytes at most reach the driver, and only as many partitions are read as that takes."""
     counts: Counter = Counter()
-    for r in docs.select(F.substring(F.col(text_col), 1, 20_000).alias("t")).where("t is not null").limit(rows).toLocalIterator():
-        counts.update(UNIT.findall(r["t"])[:-1])
+    text = F.col(text_col)
+    for r in docs.select(text.alias("t")).where(F.octet_length(text) <= SAMPLE_BYTES).limit(rows).collect():
+        counts.update(UNIT.findall(r["t"]))
     units = [u for u, _ in counts.most_common(most)]
     return dict(zip(units, _lengths(path, units), strict=True)) if units else {}
 
