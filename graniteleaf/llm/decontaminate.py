@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graniteleaf.llm.sums import PARTS, summed
 from graniteleaf.llm.textops import Words, chunks, mix
 
 SLOTS, BUCKETS, DIMS, EXTRA = 1 << 16, 1024, 64, 16
@@ -57,16 +58,6 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[Words]:
             yield Words(texts[a:b])
 
 
-def _summed(parts: DataFrame) -> dict[int, np.ndarray]:
-    """place, row: rows of each place added up by a task of its own; as many values as tasks, each of fixed size."""
-
-    def add(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"place": [p["place"].iloc[0]], "row": [np.sum(np.stack(p["row"].to_numpy()), axis=0)]})
-
-    done = parts.groupBy("place").applyInPandas(add, "place int, row array<double>")
-    return {r["place"]: np.array(r["row"]) for r in done.toLocalIterator()}
-
-
 def idf(docs: DataFrame) -> np.ndarray:
     """ln((1 + passages) / (1 + passages with the slot)) over all passages of docs(text)."""
 
@@ -80,7 +71,7 @@ def idf(docs: DataFrame) -> np.ndarray:
                 df += np.bincount(own[np.concatenate(([True], own[1:] != own[:-1]))] % SLOTS, minlength=SLOTS)
         yield pd.DataFrame({"place": [-1, *range(SLOTS // _SLICE)], "row": [np.array([float(n)]), *df.reshape(-1, _SLICE)]})
 
-    got = _summed(docs.mapInPandas(count, "place int, row array<double>"))
+    got = summed(docs.mapInPandas(count, PARTS))
     if not got:
         return np.zeros(SLOTS, np.float32)
     df = np.concatenate([got[i] for i in range(SLOTS // _SLICE)])
@@ -107,7 +98,7 @@ def directions(docs: DataFrame, weights: np.ndarray, powers: int = 1, seed: int
 
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, DIMS + EXTRA)))[0].astype(np.float32)
     for last in [False] * powers + [True]:
-        got = _summed(docs.mapInPandas(product(basis), "place int, row array<double>"))
+        got = summed(docs.mapInPandas(product(basis), PARTS))
         if not got:
             return np.zeros((BUCKETS, DIMS), np.float32)
         y = np.concatenate([got[i].reshape(64, -1) for i in range(BUCKETS // 64)])

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteleaf.llm.common import label_hash, stored
+from graniteleaf.llm.sums import PARTS, summed
 from graniteleaf.llm.textops import Words, chunks
 
 NAMES = ("log_words", "word_chars", "upper", "digit", "symbol", "bang", "pipe", "stop", "wide", "distinct", "same_next", "top_share", "repeat8", "lines", "dup_lines", "line_words")
@@ -129,14 +130,8 @@ def fit(rows: DataFrame, features: int = 256, width: float = 1.0, ridge: float =
                 a += z.T @ np.column_stack((z, p["y"].to_numpy() - model.base))
         yield pd.DataFrame({"place": np.arange(features), "row": list(a)})
 
-    def add(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"place": [p["place"].iloc[0]], "row": [np.sum(np.stack(p["row"].to_numpy()), axis=0)]})
-
-    # a row of the matrix is summed by one task: as many values as partitions, each of fixed size
-    total = fitted.select("x", "y").mapInPandas(equations, "place int, row array<double>").groupBy("place").applyInPandas(add, "place int, row array<double>")
-    a = np.zeros((features, features + 1))
-    for r in total.toLocalIterator():
-        a[r["place"]] = r["row"]
+    total = summed(fitted.select("x", "y").mapInPandas(equations, PARTS))
+    a = np.stack([total[i] for i in range(features)])
     model.weights = np.linalg.solve(a[:, :features] + ridge * sums["n"] * np.eye(features), a[:, features])
 
     @F.pandas_udf("double")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, token_counts
 from graniteleaf.llm.components import components
 from graniteleaf.llm.queries import tokenizer_path
+from graniteleaf.llm.sums import summed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, shard int"
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -307,3 +308,10 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan(empty).count() == 0
     taught = spark.createDataFrame([(i, p, 1.0 if (i, p) in found else 0.0) for i in range(60) for p in (10, 20, 30)], "id long, position int, label double")
     assert {(r["doc_id"], r["position"]) for r in secret_scan.scan(df, taught).collect()} == found
+
+
+def test_sums_over_many_tasks(spark):
+    parts = spark.range(0, 600, 1, 50).selectExpr("cast(id % 3 as int) as place", "transform(sequence(0, 4), x -> cast(id * x as double)) as row")
+    got = summed(parts)
+    assert sorted(got) == [0, 1, 2] and all(v.tolist() == [float(x * sum(range(p, 600, 3))) for x in range(5)] for p, v in got.items())
+    assert summed(parts.limit(0)) == {}
