@@ -3,7 +3,8 @@
 A text is cut at white space into units that the byte-level pre-tokenizer never joins: a word with the one blank
 before it, or a run of white space. Tier one is a compact table of the lengths of frequent units, broadcast in the
 task closure; tier two is a cache that each Python worker keeps between tasks. Only units in neither are encoded, in
-batches, by the tokenizer library itself. Nothing is shuffled, and no unit is ever sent between executors.
+batches, by the tokenizer library itself. No text and no sequence of units is shuffled: the frequent units of the whole
+table come from summaries of fixed size, one a task.
 """
 
 from __future__ import annotations
@@ -16,13 +17,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graniteleaf.llm.common import stored
+
 #: Unicode White_Space, as the pre-tokenizer's \s has it; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: Entries that a worker's cache holds before it starts anew (about 60 MB).
 CACHE_ENTRIES = 400_000
-#: Rows that the frequent table is learnt from, their largest size, and its entries. They only save work: no count depends on them.
-SAMPLE_ROWS, SAMPLE_BYTES, FREQUENT = 2_000, 20_000, 20_000
+#: Code points of the longest units that the frequent table and the cache take; longer ones are encoded where they stand.
+LONGEST = 64
+#: A frequent unit is at least one in FREQUENT of all units, so the table has at most that many entries.
+FREQUENT = 100_000
+#: Counters that a task keeps at most while it counts its units.
+COUNTERS = 4 * FREQUENT
+#: Code points that are cut into units at once.
+PIECE = 2_000_000
 
 _tokenizers: dict = {}
 _caches: dict = {}
@@ -63,36 +72,67 @@ def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[i
     new = list(missing)
     for i in range(0, len(new), 4096):
         cache.update(zip(new[i : i + 4096], _lengths(path, new[i : i + 4096]), strict=True))
-    both = cache if not frequent else None
     out = []
     for text, units in zip(texts, cut, strict=True):
         if units is None:
             out.append(_lengths(path, [text])[0])
-        elif both is not None:
-            out.append(sum(map(cache.__getitem__, units)))
         else:
             got = list(map(frequent.get, units))
             out.append(sum(n if n is not None else cache[u] for n, u in zip(got, units, strict=True)))
+    for u in new:
+        if len(u) > LONGEST:
+            del cache[u]
     return out
 
 
-def frequent_units(docs: DataFrame, text_col: str, path: str, rows: int = SAMPLE_ROWS, most: int = FREQUENT) -> dict[str, int]:
-    """Lengths of the most frequent units of the first `rows` texts of at most SAMPLE_BYTES bytes: that many bytes at most reach the driver, and only as many partitions are read as that takes."""
+def _thinned(counts: Counter, most: int) -> Counter:
+    """The `most` largest counters less the next one's count (Misra and Gries): what a unit loses in all is at most the number of units over `most`."""
+    top = counts.most_common(most + 1)
+    return Counter({u: n - top[-1][1] for u, n in top[:-1] if n > top[-1][1]})
+
+
+def _summary(batches: Iterator[pd.DataFrame], most: int, counters: int) -> Iterator[pd.DataFrame]:
+    """unit, n of a task's units that are at least one in `most`, and a row with null for the number of all units."""
     counts: Counter = Counter()
-    text = F.col(text_col)
-    for r in docs.select(text.alias("t")).where(F.octet_length(text) <= SAMPLE_BYTES).limit(rows).collect():
-        counts.update(UNIT.findall(r["t"]))
-    units = [u for u, _ in counts.most_common(most)]
+    total = lost = 0
+    for batch in batches:
+        for text in batch.iloc[:, 0]:
+            for i in range(0, len(text), PIECE):
+                units = UNIT.findall(text[i : i + PIECE])
+                total += len(units)
+                counts.update(units)
+                if len(counts) > counters:
+                    before = max(counts.values())
+                    counts = _thinned(counts, counters // 2)
+                    lost += before - max(counts.values(), default=0)
+    own = [(u, n) for u, n in counts.items() if len(u) <= LONGEST and (n + lost) * most >= total]
+    if total:
+        yield pd.DataFrame([(None, total), *own], columns=["unit", "n"])
+
+
+def frequent_units(docs: DataFrame, text_col: str, path: str, most: int = FREQUENT, counters: int = COUNTERS) -> dict[str, int]:
+    """Lengths of the units that are at least one in `most` of all units of all texts: `most` entries at most.
+
+    A unit that is so frequent in the table is so in some task, so each task hands on only its own frequent units, 2 * `most`
+    rows at most. Counts of a unit miss the tasks where it is rare; the table only saves work, no result depends on it.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    parts = stored(docs.select(text.alias("t")).mapInPandas(lambda it: _summary(it, most, counters), "unit string, n long"), "unit-summaries")
+    total = parts.where("unit is null").agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return {}
+    sums = parts.where("unit is not null").groupBy("unit").agg(F.sum("n").alias("n")).where(F.col("n") * most >= total)
+    units = [r["unit"] for r in sums.select("unit").toLocalIterator()]
     return dict(zip(units, _lengths(path, units), strict=True)) if units else {}
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, into: str = "n_tokens", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, into: str = "n_tokens", most: int = FREQUENT) -> DataFrame:
     """Add n_bytes (UTF-8), `into` (tokens as the library gives them, without added special tokens) and over_limit.
 
     Null text counts as empty: 0 bytes, 0 tokens. Columns of those names are replaced; all others stay. An empty
     table gives an empty table. Very long texts are held whole, one Arrow batch at a time.
     """
-    frequent = frequent_units(docs, text_col, tokenizer_path, sample_rows)
+    frequent = frequent_units(docs, text_col, tokenizer_path, most)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -100,7 +140,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
             texts, out, at, size = batch.tolist(), [], 0, 0
             for end, text in enumerate(texts, 1):  # a few MB at a time, so that the cut units stay small
                 size += len(text)
-                if size >= 2_000_000 or end == len(texts):
+                if size >= PIECE or end == len(texts):
                     out += count_texts(texts[at:end], tokenizer_path, frequent)
                     at, size = end, 0
             yield pd.Series(out, dtype="int64")

@@ -200,7 +200,7 @@ def test_tokens_as_the_library_counts(spark):
 
     rng = random.Random(2)
     signs = [" ", "  ", "\n", "\n\n ", "\t", "a", "Zb", "'s", "'", "é", "ß", "12", "!", "...", "<|endoftext|>", " ", "　", "\x85", "\x1c", "​", "漢字", "😀", "don't", "_", "\r\n"]
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [None, "", "word " * 30_000]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(1500)] + [None, "", "word " * 30_000, "x1" * 20_000 + " x"]
     df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int")
     got = {r["doc_id"]: r for r in token_counts.count_tokens(df, tokenizer_path()).collect()}
     lib = Tokenizer.from_file(tokenizer_path())
@@ -210,6 +210,19 @@ def test_tokens_as_the_library_counts(spark):
     assert token_counts.count_tokens(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_frequent_units_come_from_all_texts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(["the", f"of{i % 5}", *[f"r{rng.randrange(10**6)}" for _ in range(40)]]) for i in range(400)] + [None, "", "y" * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    own = Counter(u for t in texts for u in token_counts.UNIT.findall(t or ""))
+    total = sum(own.values())
+    for counters in (10**6, 1000):  # with few counters each task thins them
+        got = token_counts.frequent_units(df, "text", tokenizer_path(), 1000, counters)
+        assert "the" in got and {f" of{k}" for k in range(5)} <= set(got) and len(got) <= 1000
+        assert all(own[u] * 1000 >= total for u in got)
+    assert token_counts.frequent_units(df.limit(0), "text", tokenizer_path()) == {}
+
+
 def brute_rules(t):
     w = WS.findall(t or "")
     wins = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
