@@ -51,37 +51,34 @@ def _tokenizer(path: str):
 
 
 def _lengths(path: str, units: list[str]) -> list[int]:
-    return [len(e.ids) for e in _tokenizer(path)[0].encode_batch_fast(units, add_special_tokens=False)]
+    return [len(e) for e in _tokenizer(path)[0].encode_batch_fast(units, add_special_tokens=False)]
 
 
 def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[int]:
-    """Tokens of each text. A text that holds a special token's string goes whole to the library, which cuts there."""
-    tokenizer, special = _tokenizer(path)
-    cache = _caches.setdefault(path, {})
-    cut, missing = [], set()
-    for text in texts:
-        if special is not None and special.search(text):
-            cut.append(None)
-            continue
-        units = UNIT.findall(text)
-        cut.append(units)
-        missing.update(u for u in set(units) if u not in frequent and u not in cache)
-    if len(cache) + len(missing) > CACHE_ENTRIES:
-        cache.clear()
-        missing = {u for units in cut if units for u in units if u not in frequent}
-    new = list(missing)
+    """Tokens of each text. A text that holds a special token's string goes whole to the library, which cuts there.
+
+    A worker's dictionary holds the frequent units for good, and what it met beside them until it is full.
+    """
+    special = _tokenizer(path)[1]
+    known = _caches.get(path)
+    if known is None or known["frequent"] is not frequent:
+        known = _caches[path] = {"frequent": frequent, "lengths": (known["lengths"] if known else {}) | frequent}
+    cut = [None if special is not None and special.search(t) else UNIT.findall(t) for t in texts]
+    met: set[str] = set()
+    for units in cut:
+        met.update(units or ())
+    new = [u for u in met if u not in known["lengths"]]
+    if len(known["lengths"]) + len(new) > CACHE_ENTRIES:
+        known["lengths"] = dict(frequent)
+        new = [u for u in met if u not in frequent]
+    lengths = known["lengths"]
     for i in range(0, len(new), 4096):
-        cache.update(zip(new[i : i + 4096], _lengths(path, new[i : i + 4096]), strict=True))
-    out = []
-    for text, units in zip(texts, cut, strict=True):
-        if units is None:
-            out.append(_lengths(path, [text])[0])
-        else:
-            got = list(map(frequent.get, units))
-            out.append(sum(n if n is not None else cache[u] for n, u in zip(got, units, strict=True)))
+        some = new[i : i + 4096]
+        lengths.update(zip(some, _lengths(path, some), strict=True))
+    out = [_lengths(path, [t])[0] if units is None else sum(map(lengths.__getitem__, units)) for t, units in zip(texts, cut, strict=True)]
     for u in new:
         if len(u) > LONGEST:
-            del cache[u]
+            del lengths[u]
     return out
 
 
