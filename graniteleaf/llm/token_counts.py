@@ -9,6 +9,7 @@ table come from summaries of fixed size, one a task.
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,6 +41,7 @@ _caches: dict = {}
 def _tokenizer(path: str):
     """The library's tokenizer of one file, loaded once in each worker; no truncation or padding."""
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each core it sees
         from tokenizers import Tokenizer
 
         got = Tokenizer.from_file(path)
