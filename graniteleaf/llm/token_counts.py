@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -84,10 +85,10 @@ def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[i
     return out
 
 
-def _thinned(counts: Counter, most: int) -> Counter:
-    """The `most` largest counters less the next one's count (Misra and Gries): what a unit loses in all is at most the number of units over `most`."""
-    top = counts.most_common(most + 1)
-    return Counter({u: n - top[-1][1] for u, n in top[:-1] if n > top[-1][1]})
+def _thinned(counts: Counter, most: int) -> tuple[Counter, int]:
+    """The counters above the one after the `most` largest, less that one's count, and that count (Misra and Gries): what a unit loses in all is at most the number of units over `most`."""
+    less = int(np.partition(np.fromiter(counts.values(), np.int64, len(counts)), -most - 1)[-most - 1])
+    return Counter({u: n - less for u, n in counts.items() if n > less}), less
 
 
 def _summary(batches: Iterator[pd.DataFrame], most: int, counters: int) -> Iterator[pd.DataFrame]:
@@ -101,9 +102,8 @@ def _summary(batches: Iterator[pd.DataFrame], most: int, counters: int) -> Itera
                 total += len(units)
                 counts.update(units)
                 if len(counts) > counters:
-                    before = max(counts.values())
-                    counts = _thinned(counts, counters // 2)
-                    lost += before - max(counts.values(), default=0)
+                    counts, less = _thinned(counts, counters // 2)
+                    lost += less
     own = [(u, n) for u, n in counts.items() if len(u) <= LONGEST and (n + lost) * most >= total]
     if total:
         yield pd.DataFrame([(None, total), *own], columns=["unit", "n"])
