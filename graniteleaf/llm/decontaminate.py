@@ -5,7 +5,9 @@ passages of PASSAGE words of all texts, and on to BUCKETS signed features. A ran
 partition adds up its share of A'A Omega, once for each power iteration) gives DIMS latent directions. Every window of
 WINDOW words of every text, at half-window steps, is folded in and compared by cosine with the segments of all benchmark items. What
 is near enough is checked by the longest common subsequence of the item and the words around the window, and for
-middling ones by the item's answer, which must stand there word for word. Texts are read where they lie; only sums of fixed size are shuffled.
+middling ones by the item's answer, which must stand there word for word. What the cosine leaves out goes by an exact route to the same check:
+of an item's rarest words, those in a common subsequence of `likely` of its words must be at least so many (Items.fewest), so a
+window with fewer of them around it cannot hold the item. Texts are read where they lie; only sums of fixed size are shuffled.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ COSINE, SURE, LIKELY = 0.45, 0.7, 0.5
 ANSWER_WORDS = 5
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SLICE = 4096
+#: Pairs of texts and items that are counted in one dense array at most.
+_DENSE = 1 << 22
 
 
 def plain(text: str) -> bytes:
@@ -121,9 +125,9 @@ def answer_of(text: str) -> str:
 
 
 class Items:
-    """A block of benchmark items: segments in latent space, word hashes, answers."""
+    """A block of benchmark items: segments in latent space, word hashes, answers, and the items of each rare word."""
 
-    def __init__(self, rows: list[tuple[int, str, str]], table: np.ndarray):
+    def __init__(self, rows: list[tuple[int, str, str]], table: np.ndarray, weights: np.ndarray, likely: float):
         w = Words([plain(t) for _, t, _ in rows])
         a = Words([plain(t) for _, _, t in rows])
         self.ids = [r[0] for r in rows]
@@ -140,6 +144,9 @@ class Items:
         v = np.array(vectors, np.float32).reshape(-1, DIMS)
         self.vectors = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).T.copy()
         self.owner = np.array(self.owner, np.int64)
+        self.segment = np.searchsorted(self.owner, np.arange(len(self.words) + 1))
+        self.long = np.array([len(own) for own in self.words], np.int64)
+        self._rare(weights, likely)
         self.masks = []
         for own in self.words:
             m: dict[int, int] = {}
@@ -147,13 +154,69 @@ class Items:
                 m[h] = m.get(h, 0) | 1 << i
             self.masks.append(m)
 
+    def _rare(self, weights: np.ndarray, likely: float) -> None:
+        """Of each item the rarest words, all but at most two thirds of what the rule asks for; `fewest` of them stand in any text that meets it."""
+        self.fewest, rare = np.ones(len(self.words), np.int64), []
+        for k, own in enumerate(self.words):
+            least = max(int(np.ceil(likely * len(own) - 1e-9)), 1)
+            h, times = np.unique(own, return_counts=True)
+            order = np.argsort(-weights[_slots(h)], kind="stable")
+            rest = len(own) - np.cumsum(times[order])
+            used = order[: int(np.argmax(rest <= least * 2 // 3)) + 1]
+            if len(used):
+                self.fewest[k] = max(least - int(rest[len(used) - 1]), 1)
+            rare += [(h[i], k, times[i]) for i in used]
+        hashes = np.array([r[0] for r in rare], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.rare = np.unique(hashes)
+        self.rare_offset = np.concatenate((np.searchsorted(hashes[order], self.rare), [len(rare)])).astype(np.int64)
+        self.rare_item, self.rare_times = (np.array([r[i] for r in rare], np.int64)[order] for i in (1, 2))
+        self.maybe = np.zeros(SLOTS, bool)
+        self.maybe[_slots(self.rare)] = True
+
+    def around(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Windows (as _window_vectors numbers them, ascending) and items, all pairs that can meet the rule: the item's rare words around the window are not too few."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.maybe[_slots(w.hash)])
+        if not len(at):
+            return none
+        v = np.minimum(np.searchsorted(self.rare, w.hash[at]), len(self.rare) - 1)
+        at, v = at[self.rare[v] == w.hash[at]], v[self.rare[v] == w.hash[at]]
+        n = self.rare_offset[v + 1] - self.rare_offset[v]
+        entry = np.repeat(self.rare_offset[v] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, k, times = np.repeat(at, n), self.rare_item[entry], self.rare_times[entry]
+        text = np.searchsorted(w.offset, at, "right") - 1
+        # whole texts first: most pairs of a text and an item share too few words anywhere
+        own = text * len(self.long) + k
+        if (len(w.offset) - 1) * len(self.long) > _DENSE:
+            own = np.unique(own, return_inverse=True)[1]
+        enough = np.bincount(own, times)[own] >= self.fewest[k]
+        at, k, times, text, entry = at[enough], k[enough], times[enough], text[enough], entry[enough]
+        if not len(at):
+            return none
+        step, place = WINDOW // 2, at - w.offset[text]
+        blocks = -(-np.diff(w.offset) // step)
+        # the windows that have the word within their region: start - long <= place < start + WINDOW + long
+        low = np.maximum((place - WINDOW - self.long[k]) // step + 1, 0)
+        high = np.minimum((place + self.long[k]) // step, blocks[text] - 1)
+        # a word that stands there repeatedly counts once: each occurrence leaves out the windows of the one before it
+        order = np.argsort(entry, kind="stable")
+        again = (entry[order[1:]] == entry[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+        low[order[1:][again]] = np.maximum(low[order[1:]], high[order[:-1]] + 1)[again]
+        n = np.maximum(high - low + 1, 0)
+        window = np.repeat((np.cumsum(blocks) - blocks)[text] + low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair, own = np.unique(window * len(self.long) + np.repeat(k, n), return_inverse=True)
+        pair = pair[np.bincount(own, np.repeat(times, n)) >= self.fewest[pair % len(self.long)]]
+        return pair // len(self.long), pair % len(self.long)
+
     def lcs(self, k: int, region: np.ndarray) -> int:
         """Length of the longest common subsequence of item k and the region, by one long addition a word."""
         m, full = self.masks[k], (1 << len(self.words[k])) - 1
         v = full
         for h in region.tolist():
-            u = v & m.get(h, 0)
-            v = ((v + u) | (v - u)) & full
+            if h in m:
+                u = v & m[h]
+                v = ((v + u) | (v - u)) & full
         return len(self.words[k]) - v.bit_count()
 
     def answered(self, k: int, region: np.ndarray) -> bool:
@@ -194,12 +257,15 @@ def leaks(texts: list[str], items: Items, table: np.ndarray, cosine: float, sure
         if not len(w.hash) or not len(items.owner):
             continue
         vectors, text, starts = _window_vectors(w, table)
+        sharing, shared = items.around(w)
         best: dict[tuple[int, int], tuple[float, float, bool]] = {}
         for s in range(0, len(vectors), 4096):
             near = vectors[s : s + 4096] @ items.vectors
             rows = np.flatnonzero(near.max(1) >= cosine)
             x, y = np.nonzero(near[rows] >= cosine)
             x = rows[x]
+            own = slice(*np.searchsorted(sharing, [s, s + 4096]))
+            x, y = np.concatenate((x, sharing[own] - s)), np.concatenate((y, [items.segment[k] + near[i - s, items.segment[k] : items.segment[k + 1]].argmax() for i, k in zip(sharing[own], shared[own], strict=True)])).astype(np.int64)
             seen = set()
             for i, j in zip(x.tolist(), y.tolist(), strict=True):
                 k, at = int(items.owner[j]), s + i
@@ -224,7 +290,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row for each row of docs and each benchmark item that it holds: id_col, item_id, cosine, common (share of the item's words in the longest common subsequence), answered.
 
     A text holds an item if around one of its windows the common subsequence has at least `sure` of the item's words, or at
-    least `likely` and the answer stands there too. Items are taken in blocks of `block` (what a task is sent); each block
+    least `likely` and the answer stands there too; every such pair is found, whatever its cosine. Items are taken in blocks of `block` (what a task is sent); each block
     reads the texts once. Null and blank texts or items match nothing; repeated rows of docs give repeated rows,
     repeated items (by id) one row each. Null ids stay null. With `carry` the result is docs without the rows that hold an item,
     all columns and repeated rows kept. Empty tables give an empty table (with `carry`: docs).
@@ -262,7 +328,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def _search(rows: list, weights: np.ndarray, latent: np.ndarray, cosine: float, sure: float, likely: float):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _table(weights, latent)
-        items = Items(rows, table)
+        items = Items(rows, table, weights, likely)
         for batch in batches:
             ids = batch["id"].to_list()
             got = leaks(batch["text"].to_list(), items, table, cosine, sure, likely)
@@ -275,7 +341,7 @@ def _holds(rows: list, weights: np.ndarray, latent: np.ndarray, cosine: float, s
     @F.pandas_udf("boolean")
     def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = _table(weights, latent)
-        items = Items(rows, table)
+        items = Items(rows, table, weights, likely)
         for batch in batches:
             bad = {t for t, *_ in leaks(batch.to_list(), items, table, cosine, sure, likely)}
             yield pd.Series([i in bad for i in range(len(batch))], dtype="bool")

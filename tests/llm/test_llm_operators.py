@@ -300,6 +300,39 @@ def test_leaks(spark, docs, corpus, empty):
     assert decontaminate.find_leaks(docs, bench.limit(0), carry=True).count() == len(corpus)
 
 
+def test_leaks_that_the_cosine_misses():
+    """Every text that meets the rule at some window is found: short items at every offset, paraphrases down to half of the words."""
+    rng = random.Random(12)
+    words = vocabulary(rng, 3000)
+    items = [" ".join(rng.choice(words) for _ in range(n)) for n in (3, 8, 15, 16, 24, 40, 59)]
+    texts = []
+    for at in range(20):
+        for item in items:
+            for share in (1.0, 0.75, 0.6, 0.5):
+                w = item.split()
+                kept = [x if j > len(w) * 0.7 or rng.random() < share else rng.choice(words) for j, x in enumerate(w)]
+                rest = [rng.choice(words) for _ in range(70)]
+                texts.append(" ".join(rest[:at] + kept + rest[at:]))
+    rng2 = np.random.default_rng(2)
+    weights, latent = np.ones(decontaminate.SLOTS, np.float32), rng2.normal(size=(decontaminate.BUCKETS, decontaminate.DIMS)).astype(np.float32)
+    table = decontaminate._table(weights, latent)
+    own = decontaminate.Items([(k, t, decontaminate.answer_of(t)) for k, t in enumerate(items)], table, weights, 0.5)
+
+    def held(t, k):
+        w, long = decontaminate.Words([decontaminate.plain(t)]).hash, len(items[k].split())
+        for start in range(0, len(w), decontaminate.WINDOW // 2):
+            region = w[max(0, start - long) : start + decontaminate.WINDOW + long]
+            common = own.lcs(k, region) / long
+            if common >= 0.7 or common >= 0.5 and own.answered(k, region):
+                return True
+        return False
+
+    want = {(i, k) for i, t in enumerate(texts) for k in range(len(items)) if held(t, k)}
+    assert {k for _, k in want} == set(range(len(items)))
+    assert {(t, k) for t, k, *_ in decontaminate.leaks(texts, own, table, decontaminate.COSINE, 0.7, 0.5)} == want
+    assert {(t, k) for t, k, *_ in decontaminate.leaks(texts, own, table, 2.0, 0.7, 0.5)} == want
+
+
 def test_secrets(spark, docs, empty):
     rng = random.Random(3)
     words = vocabulary(rng)
