@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from graniteleaf.operators import retrieval
 from graniteleaf.plans import oracles, queries
 
 DIR = "/root/testdata/sf0.001"
@@ -36,3 +37,20 @@ def test_approximate_neighbours_are_mostly_the_exact_ones(spark):
     exact = {(r["query_id"], r["chunk_id"]) for r in queries.dense_topk(spark, DIR).where("rank <= 3").collect()}
     found = {(r["query_id"], r["chunk_id"]) for r in queries.dense_topk_lsh(spark, DIR).collect()}
     assert len(exact & found) >= 0.8 * len(exact)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_approximate_neighbours_reach_the_recall_on_the_whole_top_k(spark, sf):
+    v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    q, c = v.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding"), v.selectExpr("vec_id AS chunk_id", "embedding")
+    exact = {(r["query_id"], r["chunk_id"]) for r in retrieval.dense(q, c, 10).collect()}
+    found = {(r["query_id"], r["chunk_id"]) for r in retrieval.dense_lsh(q, c, 10).collect()}
+    assert len(found) == len(exact) == 10 * q.count()
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_queries_without_bucket_mates_are_searched_exactly(spark):
+    v = spark.createDataFrame([(i, [float(i == j) for j in range(8)]) for i in range(8)], "chunk_id long, embedding array<double>")
+    q = v.selectExpr("chunk_id AS query_id", "embedding")
+    got = retrieval.dense_lsh(q, v, 5, width=1e-6).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in retrieval.dense(q, v, 5).collect())
