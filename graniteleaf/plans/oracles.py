@@ -177,6 +177,8 @@ UNION ALL SELECT 'tokens_min', l[1] FROM so UNION ALL SELECT 'tokens_p50', l[n /
 p AS (SELECT a.query_id, c.chunk_id, coalesce(score, 0) AS score FROM asked a CROSS JOIN corpus c LEFT JOIN bs ON bs.query_id = a.query_id AND bs.chunk_id = c.chunk_id),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM p) SELECT * FROM r WHERE rank <= 10""",
     "dense_topk": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
+    "dense_topk_every_20th": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
     "rrf_hybrid": f"WITH {LEX}, {DENSE}, {fused([1.0])} SELECT query_id, chunk_id, score, rank FROM fr WHERE rank <= {K}",
     "rrf_weighted": f"WITH {LEX}, {DENSE}, {fused([DEFAULT.kind_weight])} SELECT query_id, chunk_id, score, rank FROM fr WHERE rank <= {K}",

@@ -201,10 +201,18 @@ def dense_topk(s, d):
     return retrieval.dense(v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
+@query
+def dense_topk_every_20th(s, d):
+    """dense_topk with a query set that grows with the table."""
+    v = _vectors(s, d)
+    return retrieval.dense(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+
+
 @query
 def dense_topk_lsh(s, d):
+    """The questions of dense_topk and of dense_topk_every_20th."""
     v = _vectors(s, d)
-    return retrieval.dense_lsh(v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+    return retrieval.dense_lsh(v.where("vec_id < 50 OR vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
 def _fused(s, d, weights):

@@ -39,6 +39,12 @@ def test_approximate_neighbours_are_mostly_the_exact_ones(spark):
     assert len(exact & found) >= 0.8 * len(exact)
 
 
+def test_every_20th_vector_is_a_query(spark):
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
+    assert {r["query_id"] for r in queries.dense_topk_every_20th(spark, DIR).collect()} == ids
+    assert ids <= {r["query_id"] for r in queries.dense_topk_lsh(spark, DIR).collect()}
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_approximate_neighbours_reach_the_recall_on_the_whole_top_k(spark, sf):
     v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
