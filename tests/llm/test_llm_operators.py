@@ -178,6 +178,25 @@ def test_mixture(docs, corpus, empty):
     assert mixed.columns == docs.columns and mixed.count() > 0
 
 
+def test_small_sources_come_near_their_targets(spark):
+    """Sources far below total / 2**18 words, beside one of 50 million: each is taken near its target, and scheduled whole."""
+    sizes = [("big", 50_000_000), *[(f"s{i:02d}", i + 1) for i in range(60)], ("zero", 0)]
+    plan = mixing.targets(spark.createDataFrame(sizes, "source string, source_size long"))
+    rows = {r["source"]: r for r in plan.collect()}
+    taken, met = Counter(), {}
+    for r in mixing.schedule(plan).collect():
+        p = rows[r["source"]]
+        if p["source"] != "big":
+            start = lambda j: j * p["total"] // 2 ** p["bits"]
+            taken[r["source"]] += min(start(r["block"] + 1), p["source_size"]) - start(r["block"])
+            met.setdefault(r["source"], set()).add(r["block"])
+    for i in range(60):
+        p = rows[f"s{i:02d}"]
+        assert p["target"] > 0 and abs(taken[p["source"]] - p["target"]) <= p["source_size"] / 8 + 1
+        assert sum(min((b + 1) * p["total"] // 2 ** p["bits"], p["source_size"]) - b * p["total"] // 2 ** p["bits"] for b in met[p["source"]]) == p["source_size"]
+    assert rows["big"]["bits"] == mixing.BITS and "zero" not in met
+
+
 def test_shards(docs, corpus, empty):
     out = sharding.shard(docs, 7, carry=False).collect()
     size = lambda t: len((t or "").encode()) + 8
