@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest. DataFrame functions and Spark ML only.
 
-A candidate is a word of at least eight characters with a digit in it, one of a well-known key format, or a value given to a credential word. The forest sees its
+A candidate is a word of at least eight characters with a digit in it, one of a well-known key format, or any value given to a credential word, with
+blanks around the assignment sign or without. The forest sees its
 length, the transitions between character classes, how much of it dictionary words cover, its path, and its neighbouring
 words. The dictionary is counted over all documents. The forest is trained from labelled findings; where no
 reviewed findings exist, weak_labels() labels candidates by the formats of well-known secrets.
@@ -19,7 +20,9 @@ from graniteleaf.llm.common import WS, stored
 CREDENTIAL = "(?i)(?:password|passwd|pwd|secret|token|api_?key|access_?key|auth)"
 #: Public formats of well-known keys (fixed values).
 KNOWN = "(?:AKIA|ASIA)[0-9A-Z]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk[-_][A-Za-z0-9_-]{16,}|xox[a-z]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}[.]"
-PLACEHOLDER = "(?i)example|sample|dummy|placeholder|changeme|test|fake|xxxx"
+_FILLER = "example|sample|dummy|placeholder|changeme|test|fake"
+#: In the value itself anywhere (AKIA...EXAMPLE), in the words around it as whole words only (not in latest).
+FILLED, PLACEHOLDER = f"(?i){_FILLER}|xxxx", f"(?i)(?<![\\p{{L}}0-9])(?:{_FILLER})(?![\\p{{L}}0-9])|xxxx"
 PATH = "(?i)test|example|sample|fixture|mock|doc|spec"
 FEATURES = ("length", "digits", "uppers", "lowers", "others", "hex", "distinct", "letter_digit", "digit_letter", "lower_upper", "upper_lower", "covered", "key_inside", "key_before", "assigned", "placeholder", "path_test", "path_depth")
 #: Labelled candidates that the forest is trained on at most, and documents a dictionary word must stand in.
@@ -36,21 +39,31 @@ def _count(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)).cast("double")
 
 
+def _given(word: Column, last: Column, before: Column) -> Column:
+    """The word is given to a credential word that stands before it: `password: x`, `password = x`, `password =x`. `last` is the word before, `before` the two before."""
+    sign_first = F.rlike(last, F.lit("[:=]>?[\"'(]*$")) & F.rlike(before, F.lit(f"{CREDENTIAL}[\"')\\]]*[ ]?[:=]+>?[\"'(]*$"))
+    return F.coalesce(sign_first | (F.rlike(word, F.lit("^[:=]+[^:=]")) & F.rlike(last, F.lit(f"{CREDENTIAL}[\"')\\]]*$"))), F.lit(False))
+
+
 def candidates(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """id, position (of the word in its text, from 0), finding, and FEATURES, one row a candidate."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    likely = docs.where(F.rlike(text, F.lit(f"[0-9]|{KNOWN}|{CREDENTIAL}[^\\p{{L}}]{{0,3}}[:=]"))).select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "").alias("w"))
+    likely = docs.where(F.rlike(text, F.lit(f"[0-9]|{KNOWN}|{CREDENTIAL}[^\\p{{L}}]*[:=]"))).select(F.col(id_col).alias("id"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.filter(F.split(text, f"[{WS}]+"), lambda w: w != "").alias("w"))
 
-    def wanted(w: Column) -> Column:
-        return ((F.length(w) >= 8) & F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit("[A-Za-z0-9+/_=-]{8,}"))) | F.rlike(w, F.lit(KNOWN)) | F.rlike(w, F.lit(f"{CREDENTIAL}[\"']?[:=].{{4,}}"))
+    def wanted(w: Column, i: Column) -> Column:
+        given = _given(w, F.get("w", i - 1), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1))) & F.rlike(w, F.lit("[^\"':=>({\\[]"))
+        return given | ((F.length(w) >= 8) & F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit("[A-Za-z0-9+/_=-]{8,}"))) | F.rlike(w, F.lit(KNOWN)) | F.rlike(w, F.lit(f"{CREDENTIAL}[\"']?[:=]+[\"']*[^\"':=]"))
 
-    spots = F.filter(F.transform("w", lambda w, i: F.when(wanted(w), i)), lambda i: i.isNotNull())
+    spots = F.filter(F.transform("w", lambda w, i: F.when(wanted(w, i), i)), lambda i: i.isNotNull())
     around = likely.select("id", "path", "w", F.explode(spots).alias("position"))
     get = lambda k: F.coalesce(F.get("w", F.col("position") + k), F.lit(""))
-    c = around.select("id", "path", "position", get(0).alias("word"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), F.concat_ws(" ", get(-2), get(-1), get(1), get(2)).alias("near"))
+    c = around.select("id", "path", "position", get(0).alias("word"), get(-1).alias("last"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), F.concat_ws(" ", get(-2), get(-1), get(1), get(2)).alias("near"))
     key = f"^[\"'({{\\[]*{CREDENTIAL}[\"']?[:=]+[\"']?"
     value = F.regexp_replace(F.regexp_replace("word", key, ""), "^[^A-Za-z0-9+]+|[^A-Za-z0-9=/+]+$", "")
-    c = c.withColumn("finding", value).where(F.length("finding") >= 4)
+    bare = F.regexp_replace(F.regexp_replace("word", key, ""), "^[\"'(:=]+|[\"'),;]+$", "")
+    c = c.withColumn("_given", _given(F.col("word"), F.col("last"), F.col("before"))).withColumn("_told", F.col("_given") | F.rlike("word", F.lit(key)))
+    # a value given to a credential word counts at any length, and one of other signs than the stripped ones stays as it is
+    c = c.withColumn("finding", F.when(F.col("_told") & (F.length(value) == 0), bare).otherwise(value)).where((F.length("finding") >= 4) | (F.col("_told") & (F.length("finding") > 0)))
     n = F.length("finding").cast("double")
     c = c.withColumns({
         "length": n, "digits": _count(F.col("finding"), "[0-9]") / n, "uppers": _count(F.col("finding"), "[A-Z]") / n, "lowers": _count(F.col("finding"), "[a-z]") / n,
@@ -58,7 +71,7 @@ def candidates(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
         "letter_digit": _count(F.col("finding"), "[A-Za-z](?=[0-9])") / n, "digit_letter": _count(F.col("finding"), "[0-9](?=[A-Za-z])") / n,
         "lower_upper": _count(F.col("finding"), "[a-z](?=[A-Z])") / n, "upper_lower": _count(F.col("finding"), "[A-Z](?=[a-z])") / n,
         "key_inside": F.rlike("word", F.lit(key)).cast("double"), "key_before": F.rlike("before", F.lit(CREDENTIAL)).cast("double"),
-        "assigned": (F.rlike("before", F.lit("[:=]$")) | F.rlike("word", F.lit(key))).cast("double"), "placeholder": F.rlike(F.concat_ws(" ", "near", "word"), F.lit(PLACEHOLDER)).cast("double"),
+        "assigned": (F.rlike("before", F.lit("[:=]$")) | F.col("_told")).cast("double"), "placeholder": (F.rlike(F.concat_ws(" ", "near", "word"), F.lit(PLACEHOLDER)) | F.rlike("finding", F.lit(FILLED))).cast("double"),
         "path_test": F.rlike("path", F.lit(PATH)).cast("double"), "path_depth": F.size(F.split("path", "/")).cast("double"),
     })
     runs = c.select("finding").distinct().select("finding", F.explode(F.regexp_extract_all(F.lower("finding"), F.lit("\\p{L}{3,}"), F.lit(0))).alias("run"))
