@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,6 +32,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context has been given.
+
+    Only in one process (a local master), where neither is set, a temporary folder is made and set; elsewhere that is an error.
+    """
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if got:
+        return got.rstrip("/")
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = "file://" + tempfile.mkdtemp(prefix="graniteleaf-")
+    spark.sparkContext.setCheckpointDir(made)
+    return shared_dir(spark)
+
+
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graniteleaf/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back: lineage ends there, lost executors cost no recomputation.
+
+    DataFrame.checkpoint() would compute its input twice (count, then write); a table is written in one pass and read by column.
+    What an application has stored stays until it calls drop_stored(), as results read from it lazily.
+    """
+    spark = df.sparkSession
+    path = f"{_stored_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove all tables that this application has stored; results that still read from them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line, blank lines skipped; never inferred."""
     return spark.read.schema(schema).json(path)
