@@ -2,68 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from graniteleaf.sources.tables import drop_stored, shared_dir, ship, stored, table  # noqa: F401
+
 #: White space that splits words, the same in Java, RE2 and Python.
 WS = "\\x20\\x09-\\x0D"
 #: The same as characters, for translate().
 WS_CHARS = " \t\n\x0b\f\r"
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of all executors, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_graniteleaf_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp(prefix="graniteleaf-")) / "graniteleaf.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(to))
-    sc._graniteleaf_shipped = True
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or what the context has been given.
-
-    Only where neither is set (tests in one process) a temporary folder is made and set.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got.rstrip("/")
-    own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if own.isDefined():
-        return own.get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="graniteleaf-")
-    spark.sparkContext.setCheckpointDir(made)
-    return shared_dir(spark)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lineage ends there, lost executors cost no recomputation.
-
-    DataFrame.checkpoint() would compute its input twice (count, then write); a table is written in one pass and read by column.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graniteleaf/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def label_hash(key: Column | str) -> Column:
     """crc32 of the id as text, the fold rule of labelled rows; a null id counts as empty text."""
     return F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit("")).cast("binary"))
@@ -88,9 +38,32 @@ def ranked(df: DataFrame, group: list[str], bucket: Column, order: list[Column],
     return df.withColumn("_own", own).join(before, [*names, "_bucket"]).withColumn("rank_before", F.col("_earlier") + F.col("_own")).drop(*names, "_bucket", "_weight", "_own", "_earlier")
 
 
-def shuffle_key(seed: int, *cols: str) -> Column:
-    """64 pseudo-random bits of a row's own values (never of its place), for orders that reruns repeat."""
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in cols])
+#: Rows of one key that a task may hold in a join before they are dealt over several, and the most keys that can be hot.
+HOT_ROWS, HOT_KEYS = 500, 100_000
+
+
+def hot_keys(left: DataFrame, on: str, least: int | None = None) -> list[tuple]:
+    """(key, parts) of the keys with more than `least` (HOT_ROWS) rows of left, and more than one in HOT_KEYS of them: fewer than HOT_KEYS keys."""
+    most = max(HOT_ROWS if least is None else least, left.count() // HOT_KEYS)
+    hot = left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    return [tuple(r) for r in hot.select(on, F.ceil(F.col("n") / most).cast("int")).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", hot: list[tuple] | None = None) -> DataFrame:
+    """left joined with right, which holds each value of `on` at most once, without one task for all rows of a hot key.
+
+    The rows of a hot key (hot_keys, a bounded list that is broadcast) are dealt by a salt over its parts, and its row of right is
+    repeated for each part. left is read twice; hand in a stored table. Null keys match nothing, as in any join.
+    """
+    hot = hot_keys(left, on) if hot is None else hot
+    if not hot:
+        return left.join(right, on, how)
+    kind = dict(left.dtypes)[on]
+    many = F.broadcast(left.sparkSession.createDataFrame(hot, f"_hot {kind}, _many int"))
+    parts = F.coalesce(F.col("_many"), F.lit(1))
+    dealt = left.join(many, F.col(on) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), parts).cast("int")).drop("_hot", "_many")
+    each = right.join(many, F.col(on) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hot", "_many")
+    return dealt.join(each, [on, "_salt"], how).drop("_salt")
 
 
 def md5_key(seed: str, *cols: str) -> Column:
@@ -98,5 +71,3 @@ def md5_key(seed: str, *cols: str) -> Column:
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in cols])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
-
-DOCUMENTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])

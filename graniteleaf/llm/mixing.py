@@ -19,7 +19,7 @@ from graniteleaf.llm.common import WS, md5_key, ranked, stored
 
 #: log2 of the slots, for sources of FINE blocks and more; smaller ones have as many bits more as give them FINE blocks.
 BITS = 18
-FINE = 16
+FINE = 64
 SEED = "mix-1"
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniteleaf.llm.common import WS, stored
+from graniteleaf.llm.common import WS, ship, spread_join, stored
 from graniteleaf.llm.components import components
 from graniteleaf.llm.textops import Words, chunks, mix
 
@@ -227,6 +227,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     by text, not by id: repeated rows and repeated or null ids are rows like others. Extra columns are not read. An
     empty table gives an empty table.
     """
+    ship(docs.sparkSession)
     bands = bands_for(threshold, recall, rows)
     total = bands * rows
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -250,10 +251,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     roots = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     named = classes.select("key", "id", "copies").join(counts, "key", "left").join(roots, F.col("key") == F.col("node"), "left")
-    named = named.select("key", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root"))
+    named = stored(named.select("key", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "join-named")
     least_id = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(least_id, "root").select("key", "class_id", "n_links")
-    return keyed.select(F.col("id").alias(id_col), "key").join(named, "key").select(id_col, "class_id", "n_links", "key")
+    named = spread_join(named, least_id, "root").select("key", "class_id", "n_links")
+    return spread_join(keyed.select(F.col("id").alias(id_col), "key"), named, "key").select(id_col, "class_id", "n_links", "key")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -262,11 +263,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All columns stay. In a class without any id one row of each sequence of words stays. Nulls, repeated rows and empty
     tables as in join().
     """
-    classes = join(docs, id_col, text_col, **how).select("key", F.col(id_col).cast("long").alias("_i"), "class_id", "n_links")
+    classes = join(docs, id_col, text_col, **how).select("key", F.col(id_col).cast("long").alias("_i"), "class_id")
     # the class of least id keeps its key's rows; without any id the least key stands for a class
-    named = classes.groupBy("key").agg(F.min("_i").alias("_i"), F.first("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
+    named = classes.groupBy("key").agg(F.min("_i").alias("_i"), F.first("class_id").alias("class_id"))
     chosen = named.where(F.col("_i").eqNullSafe(F.col("class_id"))).select("key", F.col("_i").alias("_least"))
     rows = docs.select(F.struct("*").alias("_all"), F.col(id_col).cast("long").alias("_i"), word_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
-    rows = rows.join(chosen, F.col("_k") == F.col("key")).where(F.col("_i").eqNullSafe(F.col("_least")))
+    # met by key and id together, so that the copies of a text do not gather in one task
+    rows = rows.join(chosen, (F.col("_k") == F.col("key")) & F.col("_i").eqNullSafe(F.col("_least")))
     # rows alike in key and id: any one of them
     return rows.groupBy("_k", "_i").agg(F.first("_all").alias("_all")).select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])

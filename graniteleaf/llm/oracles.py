@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from graniteleaf.llm import quality_rules as rules
-from graniteleaf.llm.mixing import BITS, SEED
+from graniteleaf.llm.mixing import BITS, FINE, SEED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -41,17 +41,18 @@ w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, [5, 2,
 l AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(weight) OVER (ORDER BY 3 * source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 t AS (SELECT *, least((3 * source_size)::DOUBLE, (max(level) OVER ()) * weight) AS target FROM l),
-b AS (SELECT *, CASE WHEN total > 0 THEN least(floor(sum(target) OVER (ORDER BY place) / total * {2**BITS} + 0.5)::BIGINT, {2**BITS}) ELSE 0 END AS hi FROM t),
-n AS (SELECT *, hi - coalesce(lag(hi) OVER (ORDER BY place), 0) AS slots, CASE WHEN total > 0 THEN ((source_size::HUGEINT * {2**BITS} - 1) // total)::BIGINT + 1 ELSE 1 END AS blocks FROM b),
-r AS (SELECT *, least(slots, 3 * blocks) // blocks AS epochs, ((least(slots, 3 * blocks) % blocks)::HUGEINT * total // {2**BITS})::BIGINT AS head FROM n),
+g AS (SELECT *, {BITS} + CASE WHEN source_size > 0 THEN greatest(ceil(log2(total::DOUBLE * {FINE} / (source_size::DOUBLE * {2**BITS}))), 0)::INTEGER ELSE 0 END AS bits, sum(target) OVER (ORDER BY place) AS upto FROM t),
+q AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY place), 0) AS since, (1::HUGEINT << bits) AS points FROM g),
+b AS (SELECT *, CASE WHEN total > 0 THEN least(floor(upto / total * points + 0.5)::HUGEINT, points) - least(floor(since / total * points + 0.5)::HUGEINT, points) ELSE 0 END AS slots,
+  CASE WHEN total > 0 THEN (source_size::HUGEINT * points - 1) // total + 1 ELSE 1 END AS blocks FROM q),
+r AS (SELECT *, (least(slots, 3 * blocks) // blocks)::BIGINT AS epochs, ((least(slots, 3 * blocks) % blocks) * total // points)::BIGINT AS head FROM b),
 p AS (SELECT h.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM h)
 SELECT doc_id, size, source_size, target, (CASE WHEN size = 0 THEN 0 ELSE epochs * size + greatest(least(first + size, head) - first, 0) END)::BIGINT AS taken
 FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
 """
 
-_GRID = ", ".join(f"('{r}', {c}::DOUBLE)" for r, (_, cs) in rules.RULES.items() for c in cs)
-_VALUE = "CASE rule " + " ".join(f"WHEN '{r}' THEN ({e.replace(' / ', '::DOUBLE / ')})" for r, (e, _) in rules.RULES.items()) + " END"
-_TESTS = sum(len(cs) for _, cs in rules.RULES.values())
+#: The step of a rule is one more than the number of its cutoffs (which fall) that the value does not exceed.
+_FIRST = "least(" + ", ".join(f"1 + len(list_filter({list(map(float, cs))}::DOUBLE[], lambda c: NOT {e.replace(' / ', '::DOUBLE / ')} > c))" for e, cs in rules.RULES.values()) + ")"
 _P = rules.MAX_FALSE
 OP9 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -65,14 +66,15 @@ x AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i+7],
 y AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS j FROM x WHERE c > 1),
 z AS (SELECT rid, sum(least(8, coalesce(j - i, 8)))::BIGINT AS n_repeat_words FROM y GROUP BY rid),
 f AS (SELECT s.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM s LEFT JOIN z USING (rid)),
-m AS (SELECT lang, quality, rule, cutoff, {_VALUE} > cutoff AS hit FROM f JOIN labels USING (doc_id), (VALUES {_GRID}) AS g(rule, cutoff) WHERE quality IS NOT NULL),
-q AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND hit) AS k, count(*) FILTER (WHERE quality = 0 AND hit) AS bad FROM m GROUP BY ALL),
-u AS (SELECT *, (SELECT count(*) FROM (SELECT DISTINCT lang FROM m)) AS strata FROM q),
-o AS (SELECT lang, rule, cutoff, bad FROM u WHERE good > 0 AND bad > 0 AND k < good * {_P}
-  AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({_P}) + (good - i) * ln(1 - {_P})))) <= {rules.DELTA} / ({_TESTS} * strata)),
-c AS (SELECT lang, rule, max({{'b': bad, 'c': cutoff}}).c AS cutoff FROM o GROUP BY ALL),
-j AS (SELECT rid, bool_or({_VALUE} > cutoff) AS above FROM f JOIN c ON f.lang IS NOT DISTINCT FROM c.lang GROUP BY rid),
-e AS (SELECT f.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, coalesce(above, false) AS above FROM f LEFT JOIN j USING (rid))
+ff AS (SELECT *, {_FIRST} AS first FROM f),
+m AS (SELECT lang, quality, first FROM ff JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+u AS (SELECT lang, step, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND first <= step) AS k, count(*) FILTER (WHERE quality = 0 AND first <= step) AS bad,
+  (SELECT count(*) FROM (SELECT DISTINCT lang FROM m)) AS strata FROM m, range(1, {rules.STEPS + 1}) AS r(step) GROUP BY ALL),
+o AS (SELECT *, good > 0 AND k < good * {_P}
+  AND list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(good + 1) - lgamma(i + 1) - lgamma(good - i + 1) + i * ln({_P}) + (good - i) * ln(1 - {_P})))) <= {rules.DELTA} / strata AS passes FROM u),
+p AS (SELECT * FROM o WHERE bad > 0 AND NOT EXISTS (SELECT 1 FROM o AS x WHERE x.lang IS NOT DISTINCT FROM o.lang AND x.step <= o.step AND NOT x.passes)),
+c AS (SELECT lang, arg_max(step, bad * 100 - step) AS step FROM p GROUP BY lang),
+e AS (SELECT ff.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed, coalesce(first <= step, false) AS above FROM ff LEFT JOIN c ON ff.lang IS NOT DISTINCT FROM c.lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM e
 """
 

@@ -8,6 +8,7 @@ are counted on a grid of 1/2000, and pooled into the non-decreasing step functio
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniteleaf.llm.common import label_hash, stored
+from graniteleaf.llm.common import label_hash, ship, stored
 from graniteleaf.llm.sums import PARTS, summed
 from graniteleaf.llm.textops import Words, chunks
 
@@ -45,6 +46,11 @@ def _shares(keys: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return distinct, top, twice
 
 
+def _capitals(text: str) -> int:
+    """Upper-case letters, one look-up a kind of character."""
+    return sum(n for c, n in Counter(text).items() if c.isupper())
+
+
 def _statistics(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     w = Words(texts)
@@ -55,7 +61,7 @@ def _statistics(texts: list[bytes]) -> np.ndarray:
     ends = np.cumsum([len(t) + 1 for t in texts])
     starts = np.concatenate(([0], ends[:-1]))
     kinds = np.add.reduceat(_CLASS[w.data].astype(np.int32), starts, axis=0) / np.maximum(chars, 1)[:, None]
-    caps = np.array([sum(map(str.isupper, t.decode("utf-8", "replace"))) if kinds[i, 6] > 0 else 0 for i, t in enumerate(texts)]) / np.maximum(chars, 1)
+    caps = np.array([_capitals(t.decode("utf-8", "replace")) if kinds[i, 6] > 0 else 0 for i, t in enumerate(texts)]) / np.maximum(chars, 1)
     kinds[:, 0] = np.maximum(kinds[:, 0], caps)
     distinct, top, _ = _shares(w.hash, doc, n)
     same = np.bincount(doc[1:], (w.hash[1:] == w.hash[:-1]) & (doc[1:] == doc[:-1]), n) if len(doc) else np.zeros(n)
@@ -152,16 +158,13 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts have all statistics 0 and are scored like any other. Without usable labels all scores are 0.5. With `carry` the
     columns of docs are kept and score, held_out and predicted added (or replaced). An empty table gives an empty table.
     """
-    fold = label_hash(id_col) % folds
-    if carry:
-        s = docs.select(F.struct("*").alias("_all"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        learn = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    else:
-        s = learn = stored(docs.select(F.col(id_col).alias("_id"), statistics_of(F.col(text_col)).alias("_x")), "quality-statistics")
+    ship(docs.sparkSession)
+    x = statistics_of(F.col(text_col)).alias("_x")
+    # the texts are read once, and only numbers are shuffled; with `carry` the rows are stored with their statistics
+    s = stored(docs.select(F.col(id_col).alias("_id"), x, *([F.struct("*").alias("_all")] if carry else [])), "quality-statistics")
     known = labels.where(F.col(label_col).isNotNull() & (label_hash(id_col) % folds != 0)).select(F.col(id_col).alias("_l"), F.col(label_col).cast("double").alias("y"))
-    rows = learn.where(label_hash("_id") % folds != 0).join(known, F.col("_id") == F.col("_l"))
-    x = F.col("_x") if not carry else statistics_of(F.col("_text"))
-    rows = stored(rows.select(x.alias("x"), "y", F.when(label_hash("_id") % folds == folds - 1, "calibrate").otherwise("fit").alias("part")), "quality-rows")
+    rows = s.select("_id", "_x").where(label_hash("_id") % folds != 0).join(known, F.col("_id") == F.col("_l"))
+    rows = stored(rows.select(F.col("_x").alias("x"), "y", F.when(label_hash("_id") % folds == folds - 1, "calibrate").otherwise("fit").alias("part")), "quality-rows")
     model = fit(rows)
 
     @F.pandas_udf("double")
@@ -169,13 +172,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for x in batches:
             yield pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
-    @F.pandas_udf("double")
-    def score_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in batches:
-            yield pd.Series(model.score(statistics([v.encode("utf-8", "surrogatepass") for v in t])) if len(t) else [], dtype="float64")
-
-    value = score_text(F.coalesce("_text", F.lit(""))) if carry else score("_x")
-    s = s.withColumn("score", value)
+    s = s.withColumn("score", score("_x"))
     new = {"held_out": label_hash("_id") % folds == 0, "score": F.col("score"), "predicted": F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int")}
     kept = [F.col("_all").getField(c).alias(c) for c in docs.columns if c not in new] if carry else [F.col("_id").alias(id_col)]
     return s.select(*kept, *[v.alias(n) for n, v in new.items()])

@@ -1,10 +1,12 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Base rules reject what is too short or repeats itself. Beyond them, each rule compares one statistic of a document with
-a cutoff that is chosen for each stratum (language) from a fixed grid: on labelled documents, the exact binomial upper bound on the
-share of good documents that the cutoff would reject must not exceed `max_false`, at confidence 1 - `delta` corrected (Bonferroni) for all
-strata, rules and cutoffs that are tested. Among the cutoffs that pass, the one that rejects most bad documents is
-taken, of equals the most lenient; one that rejects no bad document is not used. A stratum with too few labels gets no cutoff.
+a cutoff. The cutoffs of all rules go together in steps, from lenient to strict (LADDER), and a stratum (language) gets one step: its
+documents go if any rule rejects them there. Steps are tested on labelled documents, in order: the exact binomial upper
+bound on the share of good documents that the rules of a step reject together must not exceed `max_false`, at confidence 1 - `delta`
+shared among the strata (Bonferroni). The steps of a stratum are a fixed sequence that ends at the first failure, so testing
+many of them costs no confidence, and what is guaranteed holds for the verdict, not for each rule apart. Of the steps
+that pass, the most lenient that rejects most bad documents is taken; one that rejects none is not used. A stratum with too few labels gets no step.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from graniteleaf.llm.common import WS, WS_CHARS, stored
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: rule: its statistic, over the columns of stats(), and its grid of cutoffs (a document above the cutoff is rejected).
+#: rule: its statistic, over the columns of stats(), and its cutoff at each step (a document above the cutoff is rejected).
 RULES = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3)),
-    "bangs": ("n_bangs / greatest(word_chars, 1)", (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3)),
-    "capitals": ("n_capitals / greatest(word_chars, 1)", (0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8)),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.02, 0.05, 0.08, 0.1, 0.15, 0.2, 0.25)),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", (0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02, 0.01)),
+    "bangs": ("n_bangs / greatest(word_chars, 1)", (0.3, 0.2, 0.12, 0.08, 0.05, 0.03, 0.02, 0.01)),
+    "capitals": ("n_capitals / greatest(word_chars, 1)", (0.8, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", (0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1)),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", (0.28, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.05)),
 }
-MAX_FALSE, DELTA = 0.005, 0.05
+STEPS = 8
+#: Largest share of good documents that the rules may reject in a stratum, and the chance that this fails in any.
+MAX_FALSE, DELTA = 0.02, 0.05
 
 
 def stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
@@ -73,20 +77,32 @@ def log_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k == 0, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1)).cast("long")), F.struct(first.alias("term"), first.alias("sum")), step, lambda a: a["sum"]))
 
 
+def first_step() -> Column:
+    """The first step (1 is the most lenient) at which some rule rejects a row of stats(); STEPS + 1 if none does."""
+    each = []
+    for expr, cutoffs in RULES.values():
+        value = F.expr(expr).cast("double")
+        step = F.lit(STEPS + 1)
+        for i, cut in reversed(list(enumerate(cutoffs, 1))):
+            step = F.when(value > cut, i).otherwise(step)
+        each.append(step)
+    return F.least(*each)
+
+
 def thresholds(labelled: DataFrame, stratum: str, max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff from labelled rows (stratum, quality, the columns of stats()): a few rows a stratum."""
-    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.expr(e).cast("double").alias("value")) for r, (e, cs) in RULES.items() for c in cs])
-    tests = sum(len(cs) for _, cs in RULES.values())
-    rejected = F.col("g.value") > F.col("g.cutoff")
-    counted = labelled.select(F.col(stratum).alias("stratum"), "quality", F.explode(grid).alias("g")).groupBy("stratum", "g.rule", "g.cutoff").agg(
-        F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when((F.col("quality") == 1) & rejected, 1).otherwise(0)).alias("k"), F.sum(F.when((F.col("quality") == 0) & rejected, 1).otherwise(0)).alias("bad")
+    """stratum, step from labelled rows (stratum, quality, the columns of stats()): a row for each stratum that gets a step."""
+    counted = labelled.select(F.col(stratum).alias("stratum"), "quality", first_step().alias("first")).groupBy("stratum", "first").agg(
+        F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("g"), F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("b")
     )
-    strata = F.size(F.collect_set(F.coalesce("stratum", F.lit("\0null"))).over(Window.partitionBy()))
-    counted = counted.withColumn("_limit", F.lit(math.log(delta)) - F.ln(strata * tests))
+    # from here on a row for each stratum and step
+    sums = counted.groupBy("stratum").agg(F.sum("g").alias("good"), F.map_from_entries(F.collect_list(F.struct("first", F.struct("g", "b")))).alias("at"))
+    upto = lambda field: F.aggregate(F.sequence(F.lit(1), F.col("step")), F.lit(0).cast("long"), lambda a, i: a + F.coalesce(F.try_element_at("at", i)[field], F.lit(0)))
+    steps = sums.withColumn("strata", F.count("*").over(Window.partitionBy())).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(STEPS)))).select("stratum", "strata", "step", "good", upto("g").alias("k"), upto("b").alias("bad"))
     # at k / n >= max_false no bound can pass, and the sum would be long
-    passed = counted.where((F.col("good") > 0) & (F.col("bad") > 0) & (F.col("k") < F.col("good") * max_false)).where(log_tail(F.col("good"), F.col("k"), max_false) <= F.col("_limit"))
-    best = passed.groupBy("stratum", "rule").agg(F.max(F.struct("bad", "cutoff")).alias("b"))
-    return best.select("stratum", "rule", F.col("b.cutoff").alias("cutoff"))
+    likely = (F.col("good") > 0) & (F.col("k") < F.col("good") * max_false)
+    fails = ~F.coalesce(likely & (F.when(likely, log_tail(F.col("good"), F.col("k"), max_false)) <= F.lit(math.log(delta)) - F.ln("strata")), F.lit(False))
+    passed = steps.withColumn("_failed", F.max(fails.cast("int")).over(Window.partitionBy("stratum").orderBy("step"))).where("_failed = 0 AND bad > 0")
+    return passed.groupBy("stratum").agg(F.max(F.struct("bad", -F.col("step"))).alias("b")).select("stratum", (-F.col("b")["col2"]).alias("step"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30, max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
@@ -94,17 +110,14 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: st
 
     labels(id_col, quality 0/1): rows with null quality count as unlabelled, a document labelled twice counts twice. Null
     text has no words and so fails the base rule. Null strata are a stratum of their own. Without labels only the base rule
-    decides. Extra columns of docs are not read. An empty table gives an empty table.
+    decides. Strata are values of a column of few values (their steps are broadcast). Extra columns of docs are not read. An empty table gives an empty table.
     """
     s = docs.select(F.col(id_col).alias("_id"), F.col(stratum).cast("string").alias("_stratum"), F.col(text_col).alias("_text"))
     s = stored(stats(s, "_text", ("_id", "_stratum")), "rule-stats")
     known = labels.where("quality is not null").select(F.col(id_col).alias("_l"), "quality")
     cut = thresholds(s.join(known, F.col("_id") == F.col("_l")), "_stratum", max_false, delta)
-    cut = cut.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff")).withColumnRenamed("stratum", "_s")
-    s = s.join(cut, F.col("_stratum").eqNullSafe(F.col("_s")), "left")
+    s = s.join(F.broadcast(cut.withColumnRenamed("stratum", "_s")), F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    above = F.lit(False)
-    for rule, (expr, _) in RULES.items():
-        above = above | F.coalesce(F.expr(expr).cast("double") > F.col(rule), F.lit(False))
+    above = F.coalesce(first_step() <= F.col("step"), F.lit(False))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return s.select(F.col("_id").alias(id_col), *names, base.alias("base_failed"), (~base & ~above).alias("kept"), "n_bangs", "n_capitals", "n_lines")
