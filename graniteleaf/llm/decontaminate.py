@@ -7,7 +7,8 @@ WINDOW words of every text, at half-window steps, is folded in and compared by c
 is near enough is checked by the longest common subsequence of the item and the words around the window, and for
 middling ones by the item's answer, which must stand there word for word. What the cosine leaves out goes by an exact route to the same check:
 of an item's rarest words, those in a common subsequence of `likely` of its words must be at least so many (Items.fewest), so a
-window with fewer of them around it cannot hold the item. Texts are read where they lie; only sums of fixed size are shuffled.
+window with fewer of them around it cannot hold the item. Texts are cut to words twice, for the passages' slots (stored) and for the
+search, where they lie; only sums of fixed size are shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graniteleaf.llm.common import ship, stored
 from graniteleaf.llm.sums import PARTS, summed
 from graniteleaf.llm.textops import Words, chunks, mix
 
@@ -46,15 +48,6 @@ def _features() -> tuple[np.ndarray, np.ndarray]:
     return (h % np.uint64(BUCKETS)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0).astype(np.float32)
 
 
-def _passages(words: Words) -> np.ndarray:
-    """The number of the passage of each word; a text's last passage may be short."""
-    n = np.diff(words.offset)
-    count = -(-n // PASSAGE)
-    first = np.cumsum(count) - count
-    inside = np.arange(words.offset[-1]) - np.repeat(words.offset[:-1], n)
-    return np.repeat(first, n) + inside // PASSAGE
-
-
 def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[Words]:
     for batch in batches:
         texts = [plain(t) for t in batch.iloc[:, -1]]
@@ -62,47 +55,64 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[Words]:
             yield Words(texts[a:b])
 
 
-def idf(docs: DataFrame) -> np.ndarray:
-    """ln((1 + passages) / (1 + passages with the slot)) over all passages of docs(text)."""
+def passages(docs: DataFrame) -> DataFrame:
+    """slots (two bytes a word) of each passage of PASSAGE words of docs(text); a text's last passage may be short. Stored, as three passes read it."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for w in _batches(batches):
+            s = _slots(w.hash).astype(np.uint16)
+            ends = zip(w.offset[:-1].tolist(), w.offset[1:].tolist(), strict=True)
+            yield pd.DataFrame({"slots": [s[i : min(i + PASSAGE, q)].tobytes() for p, q in ends for i in range(p, q, PASSAGE)]})
+
+    return stored(docs.mapInPandas(cut, "slots binary"), "passages")
+
+
+def _passage_slots(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """The slots of some thousand passages together, the passage of each, and their number."""
+    for batch in batches:
+        rows = batch["slots"].tolist()
+        for i in range(0, len(rows), 2048):
+            some = rows[i : i + 2048]
+            yield np.frombuffer(b"".join(some), np.uint16).astype(np.int64), np.repeat(np.arange(len(some)), [len(r) // 2 for r in some]), len(some)
+
+
+def idf(cut: DataFrame) -> np.ndarray:
+    """ln((1 + passages) / (1 + passages with the slot)) over all passages()."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(SLOTS), 0
-        for w in _batches(batches):
-            if len(w.hash):
-                p = _passages(w)
-                n += int(p[-1]) + 1
-                own = np.sort((p * SLOTS + _slots(w.hash)).astype(np.int32 if p[-1] < 1 << 15 else np.int64))
-                df += np.bincount(own[np.concatenate(([True], own[1:] != own[:-1]))] % SLOTS, minlength=SLOTS)
+        for s, p, many in _passage_slots(batches):
+            n += many
+            own = np.sort((p * SLOTS + s).astype(np.int32))  # 2,048 passages: under 2**27
+            df += np.bincount(own[np.concatenate(([True], own[1:] != own[:-1]))] % SLOTS, minlength=SLOTS)
         yield pd.DataFrame({"place": [-1, *range(SLOTS // _SLICE)], "row": [np.array([float(n)]), *df.reshape(-1, _SLICE)]})
 
-    got = summed(docs.mapInPandas(count, PARTS))
+    got = summed(cut.mapInPandas(count, PARTS))
     if not got:
         return np.zeros(SLOTS, np.float32)
     df = np.concatenate([got[i] for i in range(SLOTS // _SLICE)])
     return np.log((1 + got[-1][0]) / (1 + df)).astype(np.float32)
 
 
-def directions(docs: DataFrame, weights: np.ndarray, powers: int = 1, seed: int = 5) -> np.ndarray:
-    """Latent directions (BUCKETS x DIMS), each scaled to unit variance over the passages: a randomised SVD with `powers` + 1 passes."""
+def directions(cut: DataFrame, weights: np.ndarray, powers: int = 1, seed: int = 5) -> np.ndarray:
+    """Latent directions (BUCKETS x DIMS), each scaled to unit variance over the passages(): a randomised SVD with `powers` + 1 passes."""
     bucket, sign = _features()
     scaled = weights * sign
 
     def product(basis: np.ndarray):
         def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out = np.zeros(basis.shape)
-            for w in _batches(batches):
-                if len(w.hash):
-                    s, p = _slots(w.hash), _passages(w)
-                    a = np.bincount(p * BUCKETS + bucket[s], scaled[s], (int(p[-1]) + 1) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
-                    a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
-                    out += a.T @ (a @ basis)
+            for s, p, many in _passage_slots(batches):
+                a = np.bincount(p * BUCKETS + bucket[s], scaled[s], many * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+                a /= np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-6)
+                out += a.T @ (a @ basis)
             yield pd.DataFrame({"place": np.arange(BUCKETS // 64), "row": list(out.reshape(BUCKETS // 64, -1))})
 
         return f
 
     basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, DIMS + EXTRA)))[0].astype(np.float32)
     for last in [False] * powers + [True]:
-        got = summed(docs.mapInPandas(product(basis), PARTS))
+        got = summed(cut.mapInPandas(product(basis), PARTS))
         if not got:
             return np.zeros((BUCKETS, DIMS), np.float32)
         y = np.concatenate([got[i].reshape(64, -1) for i in range(BUCKETS // 64)])
@@ -296,9 +306,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     all columns and repeated rows kept. Empty tables give an empty table (with `carry`: docs).
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    whole = docs.select(text.alias("text"))
-    weights = idf(whole)
-    latent = directions(whole, weights)
+    ship(docs.sparkSession)
+    cut = passages(docs.select(text.alias("text")))
+    weights = idf(cut)
+    latent = directions(cut, weights)
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer")).where(F.coalesce(F.trim("text"), F.lit("")) != "")
 
     def blocks() -> Iterator[list[tuple[int, str, str]]]:

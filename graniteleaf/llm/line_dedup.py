@@ -2,10 +2,10 @@
 
 The reference-count table says of each line key in how many documents it stands; adding and deleting documents adds
 and subtracts counts, and is exact in any order. Keys that stand in at least `min_docs` documents are hot. Each shard of
-keys has a cuckoo filter of its hot keys, which supports insertions and deletions as keys turn hot or cold. Documents
-probe the filters where they lie, without a shuffle; the few cold keys that a filter claims by accident are found from
-the table beforehand and sent along, so verdicts are exact. Filters beyond a checked size are not sent: the texts'
-keys are then joined with the table instead.
+keys has a cuckoo filter of its hot keys; updated_filters() inserts keys that turn hot and deletes keys that turn cold, so a
+stored filter follows the table. Documents probe the filters. Filters of up to MAX_SENT bytes in all are sent to where the
+documents lie, with the few cold keys that they claim by accident, found from the table beforehand. Of larger ones each
+stays with its shard, and the documents' keys are dealt to the shards; claims are checked against the table. Either way verdicts are exact.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteleaf.llm.common import WS_CHARS, stored
+from graniteleaf.llm.common import HOT_KEYS, WS_CHARS, ship, spread_join, stored
 
 #: Bytes of filters and exceptions that may be sent to every task.
 MAX_SENT = 64 << 20
+#: Hot keys of a shard, about, when its filter is first built; keys of the documents that one task probes, about, where they are dealt.
+SHARD_KEYS, PROBED = 500_000, 5_000_000
 SLOTS = 4
 
 
@@ -56,8 +58,18 @@ class CuckooFilter:
         return (self.table[a] == mark[:, None]).any(1) | (self.table[b] == mark[:, None]).any(1)
 
     def insert(self, keys: np.ndarray) -> None:
-        for mark, a, b in zip(*self._places(keys), strict=True):
-            if not self._put(mark, int(a), int(b)):
+        mark, a, b = self._places(keys)
+        rest = np.arange(len(keys))
+        for at in (a, b):  # all that find a free slot in their bucket at once, by their place among those that want the bucket
+            order = rest[np.argsort(at[rest], kind="stable")]
+            first = np.concatenate(([True], at[order[1:]] != at[order[:-1]])) if len(order) else np.zeros(0, bool)
+            nth = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+            free = np.argsort(self.table[at[order]] != 0, axis=1, kind="stable")
+            fits = nth < (self.table[at[order]] == 0).sum(1)
+            self.table[at[order[fits]], free[fits, nth[fits]]] = mark[order[fits]]
+            rest = order[~fits]
+        for i in rest:
+            if not self._put(mark[i], int(a[i]), int(b[i])):
                 raise OverflowError("the filter is full; build it anew with more room")
 
     def _put(self, mark: np.uint32, a: int, b: int) -> bool:
@@ -126,7 +138,7 @@ def reference_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def changed_counts(counts: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None, text_col: str = "text") -> DataFrame:
-    """The table after documents come and go. Removing what was added gives back the table before."""
+    """The table after documents come and go. Removing what was added gives back the table before. Counts of keys that are removed oftener than they were added end at none."""
     parts = counts.select("key", "n_docs")
     if added is not None:
         parts = parts.unionByName(reference_counts(added, text_col))
@@ -149,9 +161,40 @@ def filters(counts: DataFrame, min_docs: int, shards: int) -> DataFrame:
     return hot.groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
 
+def updated_filters(own: DataFrame, before: DataFrame, after: DataFrame, min_docs: int, shards: int) -> DataFrame:
+    """shard, filter: the stored filters of the table `before`, with the keys inserted and deleted that turn hot or cold in `after`.
+
+    A shard whose filter gets full is built anew from the table. Only keys whose verdict changes are shuffled to the filters.
+    """
+    hot = lambda c, name: c.select("key", (F.col("n_docs") >= min_docs).alias(name))
+    turned = hot(before, "was").join(hot(after, "now"), "key", "full").select("key", F.coalesce("was", F.lit(False)).alias("was"), F.coalesce("now", F.lit(False)).alias("now"))
+    turned = turned.where("was <> now").select(shard_of(F.col("key"), shards).alias("shard"), "key", "now")
+
+    def change(old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        shard = (old if len(old) else keys)["shard"].iloc[0]
+        f = CuckooFilter.from_bytes(old["filter"].iloc[0]) if len(old) else CuckooFilter(len(keys))
+        try:
+            if len(keys):
+                all_ = as_keys(list(keys["key"]))
+                f.delete(all_[~keys["now"].to_numpy(bool)])
+                f.insert(all_[keys["now"].to_numpy(bool)])
+        except OverflowError:
+            return pd.DataFrame({"shard": [shard], "filter": [None]})
+        return pd.DataFrame({"shard": [shard], "filter": [f.to_bytes()]})
+
+    made = stored(own.groupBy("shard").cogroup(turned.groupBy("shard")).applyInPandas(change, "shard int, filter binary"), "line-filters")
+    full = [r["shard"] for r in made.where("filter IS NULL").select("shard").collect()]
+    if not full:
+        return made
+    return made.where("filter IS NOT NULL").unionByName(filters(after.where(shard_of(F.col("key"), shards).isin(full)), min_docs, shards))
+
+
+def _shards(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (keys[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32).byteswap() % np.uint32(shards)  # the first four bytes, big-endian, as shard_of has them
+
+
 def probe(keys: np.ndarray, sent: dict[int, CuckooFilter], shards: int) -> np.ndarray:
-    own = (keys[:, 0] & np.uint64(0xFFFFFFFF)).astype(np.uint32).byteswap() % np.uint32(shards)  # the first four bytes, big-endian, as shard_of has them
-    out = np.zeros(len(keys), bool)
+    own, out = _shards(keys, shards), np.zeros(len(keys), bool)
     for s, f in sent.items():
         at = np.flatnonzero(own == s)
         if len(at):
@@ -175,28 +218,33 @@ def kept_lines(texts: list[str], is_hot, min_chars: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_dropped"])
 
 
-def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", counts: DataFrame | None = None, max_sent: int = MAX_SENT) -> DataFrame:
+def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text", counts: DataFrame | None = None, own: DataFrame | None = None, shards: int | None = None, max_sent: int = MAX_SENT) -> DataFrame:
     """docs with `text_col` freed of the lines whose key stands in at least min_docs documents, plus n_lines (before) and n_dropped.
 
     Every row of docs is a document, repeated rows too. Null and empty texts are one empty line. Keys of fewer than
     min_chars code points are never dropped. A text all of whose lines go becomes empty. Columns named n_lines and
-    n_dropped are replaced, all others stay. `counts` is the reference-count table to use (default: that of docs).
-    An empty table gives an empty table.
+    n_dropped are replaced, all others stay. `counts` is the reference-count table to use (default: that of docs), `own` with `shards`
+    the filters that belong to it (default: built from it). An empty table gives an empty table.
     """
-    counts = stored(reference_counts(docs, text_col), "line-counts") if counts is None else counts
-    n_hot = counts.where(F.col("n_docs") >= min_docs).count()
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    shards = max(1, -(-n_hot // 500_000))
-    if n_hot * 4 / 0.4 > max_sent:  # a filter has 4 bytes a slot, at a load of over 0.42
-        verdict = _by_join(docs, counts, min_docs, min_chars, text)
-    else:
-        sent = {r["shard"]: bytes(r["filter"]) for r in filters(counts, min_docs, shards).toLocalIterator()}
-        false = _claimed(counts.where(F.col("n_docs") < min_docs), sent, shards)
-        if false.limit(max_sent // 64).count() >= max_sent // 64:
-            verdict = _by_join(docs, counts, min_docs, min_chars, text)
-        else:
+    given = counts is not None
+    counts = counts if given else stored(reference_counts(docs, text_col), "line-counts")
+    hot = counts.where(F.col("n_docs") >= min_docs)
+    if own is None:
+        shards = max(1, -(-hot.count() // SHARD_KEYS))
+        own = stored(filters(counts, min_docs, shards), "line-filters")
+    verdict = None
+    if (own.agg(F.sum(F.octet_length("filter")).alias("n")).first()["n"] or 0) <= max_sent:
+        sent = {r["shard"]: bytes(r["filter"]) for r in own.toLocalIterator()}
+        # keys of docs that a given table may lack are cold too
+        cold = reference_counts(docs, text_col).join(hot, "key", "left_anti") if given else counts.where(F.col("n_docs") < min_docs)
+        false = _claimed(cold, sent, shards)
+        if false.limit(max_sent // 64 + 1).count() <= max_sent // 64:
             wrong = {bytes(r["key"]) for r in false.toLocalIterator()}
             verdict = docs.withColumn("_kept", _by_filter(sent, wrong, shards, min_chars)(text))
+    if verdict is None:
+        verdict = _by_route(docs, own, hot, shards, min_chars, text)
     new = {text_col: "text", "n_lines": "n_lines", "n_dropped": "n_dropped"}
     return verdict.select(*[c for c in docs.columns if c not in new], *[F.col("_kept").getField(f).alias(n) for n, f in new.items()])
 
@@ -228,22 +276,45 @@ def _by_filter(sent: dict[int, bytes], wrong: set[bytes], shards: int, min_chars
     return keep
 
 
-def _by_join(docs: DataFrame, counts: DataFrame, min_docs: int, min_chars: int, text) -> DataFrame:
-    """The way without filters: the distinct keys of each distinct text meet the hot keys in a join, and go back to the texts."""
+def _by_route(docs: DataFrame, own: DataFrame, hot: DataFrame, shards: int, min_chars: int, text) -> DataFrame:
+    """The way for filters that are too large to send: the keys of each text go to the filter of their shard, and what it claims goes back.
+
+    Keys of more than one in HOT_KEYS of all lines (fewer than HOT_KEYS keys) are answered in place by a list of them, so no shard
+    gets a key that gathers. A shard's keys are dealt over as many tasks as PROBED asks, each with a copy of its filter.
+    """
 
     @F.pandas_udf("array<binary>")
     def keys(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: list({line_key(x) for x in t.split("\n")}))
 
     @F.pandas_udf(RESULT)
-    def keep(texts: pd.Series, hot: pd.Series) -> pd.DataFrame:
+    def keep(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         out = []
-        for t, h in zip(texts, hot, strict=True):
-            own = {bytes(k) for k in h}
-            out.append(kept_lines([t], lambda ks, own=own: [k in own for k in ks], min_chars))
+        for t, h in zip(texts, found, strict=True):
+            some = {bytes(k) for k in h}
+            out.append(kept_lines([t], lambda ks, some=some: [k in some for k in ks], min_chars))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"text": [], "n_lines": [], "n_dropped": []})
 
-    docs = docs.withColumn("_t", F.md5(text))
-    each = docs.select("_t", text.alias("_x")).dropDuplicates(["_t"]).select("_t", F.explode(keys("_x")).alias("key"))
-    found = each.join(counts.where(F.col("n_docs") >= min_docs).select("key"), "key").groupBy("_t").agg(F.collect_list("key").alias("_hot"))
-    return docs.join(found, "_t", "left").withColumn("_kept", keep(text, F.coalesce("_hot", F.array().cast("array<binary>"))))
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        f = None
+        for batch in batches:
+            mine = batch["filter"].notna().to_numpy()
+            cuts = [*np.flatnonzero(mine).tolist(), len(batch)]
+            for a, b in zip([0, *cuts], cuts, strict=False):
+                if a < b and mine[a]:
+                    f, a = CuckooFilter.from_bytes(batch["filter"].iloc[a]), a + 1
+                if a < b and f is not None:
+                    part = batch.iloc[a:b]
+                    yield part.loc[f.contains(as_keys(list(part["key"]))), ["_t", "key"]]
+
+    each = stored(docs.select(F.unhex(F.md5(text)).alias("_t"), F.explode(keys(text)).alias("key")).distinct(), "line-keys")
+    n = each.count()
+    often = F.broadcast(hot.where(F.col("n_docs") > max(n // HOT_KEYS, 1000)).select("key"))
+    dealt = -(-n // (shards * PROBED)) or 1
+    asked = each.join(often, "key", "left_anti").select(shard_of(F.col("key"), shards).alias("shard"), F.pmod(F.xxhash64("_t"), F.lit(dealt)).cast("int").alias("part"), F.lit(1).alias("ord"), "_t", "key", F.lit(None).cast("binary").alias("filter"))
+    held = own.select("shard", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))).alias("part"), F.lit(0).alias("ord"), F.lit(None).cast("binary").alias("_t"), F.lit(None).cast("binary").alias("key"), "filter")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(shards * dealt, 100_000))
+    claimed = held.unionByName(asked).repartition(parts, "shard", "part").sortWithinPartitions("shard", "part", "ord").mapInPandas(ask, "_t binary, key binary")
+    sure = claimed.join(hot.select("key"), "key", "left_semi").unionByName(each.join(often, "key", "left_semi").select("key", "_t"))
+    found = sure.groupBy("_t").agg(F.collect_list("key").alias("_hot"))
+    return spread_join(docs.withColumn("_t", F.unhex(F.md5(text))), found, "_t", "left").withColumn("_kept", keep(text, F.coalesce("_hot", F.array().cast("array<binary>"))))

@@ -31,7 +31,7 @@ RULES = {
 }
 STEPS = 8
 #: Largest share of good documents that the rules may reject in a stratum, and the chance that this fails in any.
-MAX_FALSE, DELTA = 0.02, 0.05
+MAX_FALSE, DELTA = 0.01, 0.05
 
 
 def stats(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:

@@ -1,7 +1,8 @@
 """Token counts by a map-side two-tier lookup.
 
 A text is cut at white space into units that the byte-level pre-tokenizer never joins: a word with the one blank
-before it, or a run of white space. Tier one is a compact table of the lengths of frequent units, broadcast in the
+before it, or a run of white space. (Files with another pre-tokenizer, a normalizer or another library are not cut: their texts go whole to
+the library.) Of a unit that is not known yet, the signs after its letters are looked up apart, and words are encoded many to a call. Tier one is a compact table of the lengths of frequent units, broadcast in the
 task closure; tier two is a cache that each Python worker keeps between tasks. Only units in neither are encoded, in
 batches, by the tokenizer library itself. No text and no sequence of units is shuffled: the frequent units of the whole
 table come from summaries of fixed size, one a task.
@@ -9,8 +10,10 @@ table come from summaries of fixed size, one a task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,11 +22,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteleaf.llm.common import stored
+from graniteleaf.llm.common import ship, stored
 
 #: Unicode White_Space, as the pre-tokenizer's \s has it; Python's own \s has four control characters more.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 UNIT = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+SPACES = re.compile(f"[{SPACE}]")
+SIGNS = string.punctuation
 #: Entries that a worker's cache holds before it starts anew (about 60 MB).
 CACHE_ENTRIES = 400_000
 #: Code points of the longest units that the frequent table and the cache take; longer ones are encoded where they stand.
@@ -39,22 +44,69 @@ _tokenizers: dict = {}
 _caches: dict = {}
 
 
-def _tokenizer(path: str):
-    """The library's tokenizer of one file, loaded once in each worker; no truncation or padding."""
-    if path not in _tokenizers:
+class _Library:
+    """The tokenizer library on one file: token numbers of whole texts, and whether units may be counted apart."""
+
+    def __init__(self, path: str):
+        self.pieces = None
+        if path.endswith(".model"):
+            from sentencepiece import SentencePieceProcessor
+
+            self.pieces, self.cuttable, self.special = SentencePieceProcessor(model_file=path), False, None
+            return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library would start a thread for each core it sees
         from tokenizers import Tokenizer
 
-        got = Tokenizer.from_file(path)
-        got.no_truncation()
-        got.no_padding()
-        special = [t.content for t in got.get_added_tokens_decoder().values()]
-        _tokenizers[path] = got, re.compile("|".join(map(re.escape, special))) if special else None
+        self.own = Tokenizer.from_file(path)
+        self.own.no_truncation()
+        self.own.no_padding()
+        special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        kind = json.loads(self.own.pre_tokenizer.__getstate__()) if self.own.pre_tokenizer is not None else {}
+        self.cuttable = self.own.normalizer is None and kind.get("type") == "ByteLevel" and kind.get("use_regex") is True and kind.get("add_prefix_space") is False
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        if self.pieces is not None:
+            return [len(x) for x in self.pieces.encode(texts)]
+        return [len(e) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def word_lengths(self, words: list[str]) -> list[int]:
+        """Of words of letters with a blank before them: each is one pre-token of the words written one after another."""
+        place = self.own.encode("".join(words), add_special_tokens=False).word_ids
+        n = np.bincount(place) if place else np.zeros(0, np.int64)
+        return n.tolist() if len(n) == len(words) else self.lengths(words)
+
+
+def _tokenizer(path: str) -> _Library:
+    """Loaded once in each worker."""
+    if path not in _tokenizers:
+        _tokenizers[path] = _Library(path)
     return _tokenizers[path]
 
 
 def _lengths(path: str, units: list[str]) -> list[int]:
-    return [len(e) for e in _tokenizer(path)[0].encode_batch_fast(units, add_special_tokens=False)]
+    return _tokenizer(path).lengths(units)
+
+
+def _is_word(unit: str) -> bool:
+    return unit[:1] == " " and unit[1:].isalpha()
+
+
+def _learn(library: _Library, lengths: dict[str, int], new: list[str]) -> None:
+    """Add the lengths of new units. Signs that follow the letters of a word are a pre-token of their own, so `word`, `word,` and `word.` are encoded once."""
+    parts = {u: u.rstrip(SIGNS) for u in new}
+    split = [(u, w, u[len(w) :]) for u, w in parts.items() if len(w) < len(u) and _is_word(w)]
+    both = {x for _, w, tail in split for x in (w, tail) if x not in lengths}
+    both.update(u for u, w in parts.items() if len(w) == len(u) or not _is_word(w))
+    words = [u for u in both if _is_word(u)]
+    for i in range(0, len(words), 2048):
+        some = words[i : i + 2048]
+        lengths.update(zip(some, library.word_lengths(some), strict=True))
+    others = [u for u in both if not _is_word(u)]
+    for i in range(0, len(others), 4096):
+        some = others[i : i + 4096]
+        lengths.update(zip(some, library.lengths(some), strict=True))
+    lengths.update((u, lengths[w] + lengths[tail]) for u, w, tail in split)
 
 
 def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[int]:
@@ -62,11 +114,13 @@ def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[i
 
     A worker's dictionary holds the frequent units for good, and what it met beside them until it is full.
     """
-    special = _tokenizer(path)[1]
+    library = _tokenizer(path)
+    if not library.cuttable:
+        return [n for i in range(0, len(texts), 256) for n in library.lengths(texts[i : i + 256])]
     known = _caches.get(path)
     if known is None or known["frequent"] is not frequent:
         known = _caches[path] = {"frequent": frequent, "lengths": (known["lengths"] if known else {}) | frequent}
-    cut = [None if special is not None and special.search(t) else UNIT.findall(t) for t in texts]
+    cut = [None if library.special is not None and library.special.search(t) else UNIT.findall(t) for t in texts]
     met: set[str] = set()
     for units in cut:
         met.update(units or ())
@@ -75,10 +129,8 @@ def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[i
         known["lengths"] = dict(frequent)
         new = [u for u in met if u not in frequent]
     lengths = known["lengths"]
-    for i in range(0, len(new), 4096):
-        some = new[i : i + 4096]
-        lengths.update(zip(some, _lengths(path, some), strict=True))
-    out = [_lengths(path, [t])[0] if units is None else sum(map(lengths.__getitem__, units)) for t, units in zip(texts, cut, strict=True)]
+    _learn(library, lengths, new)
+    out = [library.lengths([t])[0] if units is None else sum(map(lengths.__getitem__, units)) for t, units in zip(texts, cut, strict=True)]
     for u in new:
         if len(u) > LONGEST:
             del lengths[u]
@@ -98,13 +150,13 @@ def _summary(batches: Iterator[pd.DataFrame], most: int, counters: int) -> Itera
     for batch in batches:
         for text in batch.iloc[:, 0]:
             for i in range(0, len(text), PIECE):
-                units = UNIT.findall(text[i : i + PIECE])
+                units = text[i : i + PIECE].split(" ")  # words with the blank before them; lines' first words are left to the caches
                 total += len(units)
                 counts.update(units)
                 if len(counts) > counters:
                     counts, less = _thinned(counts, counters // 2)
                     lost += less
-    own = [(u, n) for u, n in counts.items() if len(u) <= LONGEST and (n + lost) * most >= total]
+    own = [(" " + u, n) for u, n in counts.items() if len(u) < LONGEST and (n + lost) * most >= total and u and not SPACES.search(u)]
     if total:
         yield pd.DataFrame([(None, total), *own], columns=["unit", "n"])
 
@@ -131,7 +183,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     Null text counts as empty: 0 bytes, 0 tokens. Columns of those names are replaced; all others stay. An empty
     table gives an empty table. Very long texts are held whole, one Arrow batch at a time.
     """
-    frequent = frequent_units(docs, text_col, tokenizer_path, most)
+    ship(docs.sparkSession)
+    frequent = frequent_units(docs, text_col, tokenizer_path, most) if _tokenizer(tokenizer_path).cuttable else {}
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
