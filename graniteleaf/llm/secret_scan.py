@@ -69,7 +69,7 @@ def candidates(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
     spots = F.filter(F.transform("w", lambda w, i: F.when(wanted(w, i), i)), lambda i: i.isNotNull())
     around = likely.select("id", "path", "w", F.explode(spots).alias("position"))
     get = lambda k: F.coalesce(F.get("w", F.col("position") + k), F.lit(""))
-    c = around.select("id", "path", "position", get(0).alias("word"), get(-1).alias("last"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), F.filter(F.array(get(-2), get(-1), get(1), get(2)), lambda w: w != "").alias("near"), F.concat_ws(" ", get(0), get(1), get(2), get(3)).alias("opened"))
+    c = around.select("id", "path", "position", get(0).alias("word"), get(-1).alias("last"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), F.filter(F.array(get(-2), get(-1), get(1), get(2)), lambda w: F.rlike(w, F.lit("[\\p{L}0-9]"))).alias("near"), F.concat_ws(" ", get(0), get(1), get(2), get(3)).alias("opened"))
     key = f"^[\"'({{\\[]*{CREDENTIAL}[\"']?[:=]+[\"']?"
     value = F.regexp_replace(F.regexp_replace("word", key, ""), "^[^A-Za-z0-9+]+|[^A-Za-z0-9=/+]+$", "")
     bare = F.regexp_replace(F.regexp_replace("word", key, ""), "^[\"'(:=]+|[\"'),;]+$", "")
