@@ -125,7 +125,7 @@ def trained(labelled: DataFrame, rows: int = TRAIN_ROWS, trees: int = 20, depth:
     kinds = used.agg(F.min("label").alias("a"), F.max("label").alias("b")).first()
     if kinds["a"] is None or kinds["a"] == kinds["b"]:
         return None
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False).fit(used)
+    return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=5, seed=seed, cacheNodeIds=False).fit(used)
 
 
 def scored(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
