@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteleaf.llm.common import ranked, stored
+from graniteleaf.llm.common import md5_key, ranked, stored
 
 #: Buckets of the hash and of the fractional rank; their sums are all that one task reads of another's rows.
 BUCKETS = 4096
@@ -33,10 +33,10 @@ def shard(docs: DataFrame, n_shards: int, strata: str = "source", text_col: str
         *([F.struct("*").alias("_all")] if carry else []), F.col(id_col).cast("long").alias("_id"), F.col(strata).cast("string").alias("_stratum"),
         (F.octet_length(text) + 8).cast("long").alias("_size"), F.crc32(text.cast("binary")).cast("long").alias("_crc"),
     )
-    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_id", "_crc", "_size"))
+    rows = rows.withColumn("_hash", md5_key(f"shard-{seed}", "_id", "_crc", "_size"))
     if not carry:
         rows = stored(rows, "shard-rows")  # a few numbers a row; the texts are read once
-    within = ranked(rows, ["_stratum"], F.shiftright("_hash", 52), [F.col("_hash"), F.col("_id"), F.col("_crc")])
+    within = ranked(rows, ["_stratum"], F.shiftright("_hash", 48), [F.col("_hash"), F.col("_id"), F.col("_crc")])
     sizes = rows.groupBy(F.coalesce("_stratum", F.lit("\0null")).alias("_s")).agg(F.count("*").alias("_n"))
     within = within.join(sizes, F.coalesce("_stratum", F.lit("\0null")) == F.col("_s")).drop("_s")
     within = within.withColumn("_at", (F.col("rank_before") + 0.5) / F.col("_n")).drop("rank_before", "_n")

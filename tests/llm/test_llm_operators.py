@@ -228,6 +228,18 @@ def test_shards(docs, corpus, empty):
     assert max(by.values()) - min(by.values()) <= 1 and len(by) == 7
     for s in by:
         assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(by[s]))
+    # placement, recomputed: rank by hash within the source, order by fractional rank, cut
+    crc = lambda t: zlib.crc32((t or "").encode())
+    md5 = lambda d: int(hashlib.md5(f"shard-7|{'~' if d[0] is None else d[0]}|{crc(d[1])}|{size(d[1])}".encode()).hexdigest()[:15], 16)
+    low = lambda v: (v is not None, v if v is not None else 0)
+    n, at, order = Counter(d[3] for d in corpus), Counter(), []
+    for d in sorted(corpus, key=lambda d: (md5(d), low(d[0]), crc(d[1]))):
+        order.append(((at[d[3]] + 0.5) / n[d[3]], (d[3] is not None, d[3] or ""), md5(d), low(d[0]), crc(d[1]), d[0]))
+        at[d[3]] += 1
+    whole, more = divmod(len(corpus), 7)
+    ends = [k * whole + min(k, more) for k in range(8)]
+    placed = Counter((d[5], d[4], k, i - ends[k]) for k in range(7) for i, d in enumerate(sorted(order)) if ends[k] <= i < ends[k + 1])
+    assert Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in out) == placed
     full = sharding.shard(docs, 7, carry=True).collect()
     per = Counter((r["shard"], r["source"]) for r in full)
     for s in {d[3] for d in corpus}:
@@ -409,6 +421,25 @@ def test_leaks(spark, docs, corpus, empty):
     assert decontaminate.find_leaks(docs, bench.limit(0), carry=True).count() == len(corpus)
 
 
+@pytest.mark.parametrize("changed", [0.0, 0.15, 0.25])
+def test_leaks_with_and_without_the_cosine(spark, changed):
+    """Paraphrases at stated rates, against a search without gates: all that meet the rule are found, and at these rates nearly all do."""
+    rng = random.Random(21)
+    words = vocabulary(rng, 3000)
+    items = [" ".join(rng.choice(words) for _ in range(n)) + "." for n in range(20, 60)]
+    texts = []
+    for k, t in enumerate(items):
+        own = [w if rng.random() >= changed else rng.choice(words) for w in t.split()]
+        rest = [rng.choice(words) for _ in range(300)]
+        texts.append((k, " ".join(rest[: 7 * k % 300] + own + rest[7 * k % 300 :])))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    pairs = lambda cosine: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(df, bench, cosine=cosine).collect()}
+    got = pairs(decontaminate.COSINE)
+    assert got == pairs(-1.0) and all(a == b for a, b in got)
+    assert len(got) >= {0.0: 40, 0.15: 39, 0.25: 30}[changed]
+
+
 def test_leaks_that_the_cosine_misses():
     """Every text that meets the rule at some window is found: short items at every offset, paraphrases down to half of the words."""
     rng = random.Random(12)
