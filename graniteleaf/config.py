@@ -26,6 +26,7 @@ class Settings:
     tokens_per_minute: int = 8000
     window_seconds: int = 60
     max_claims: int = 20
+    reply_tokens: int = 2500
 
 
 DEFAULT = Settings()

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The citation pattern (first kind and first number in a bracket of either width) and the line openers of enumerations.
+#: The citation pattern (first kind and first number in a bracket of either width), the line openers of enumerations, where sentences end, the shape of a duration.
 CITATION = "(?i)[\\[【]\\s*(Article|Annex|Recital)[^\\]】]*?(\\d+|[IVXLC]+)[^\\]】]*?[\\]】]"
 MARKER = "^\\s*(?:\\d{1,3}\\.|\\(\\d{1,3}\\)|\\([a-z]{1,3}\\)|\\([ivxlcdm]{1,7}\\)|Section\\s+[A-Z]\\.)\\s"
 SENTENCE = "(?<!\\bNo\\.)(?<!\\bArt\\.)(?<=[.;:])\\s+(?=[A-Z(\"'])"
+DURATION = "^(?:(\\d+)h)?(?:(\\d+)m)?(?:([\\d.]+)s)?$"
+#: Named character references. `amp` is decoded last.
+REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "middot": "·", "sect": "§", "para": "¶", "deg": "°", "laquo": "«", "raquo": "»", "ndash": "–", "mdash": "—", "hellip": "…", "bull": "•", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€", "times": "×", "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "acirc": "â", "ccedil": "ç", "ocirc": "ô", "ouml": "ö", "uuml": "ü", "auml": "ä", "Ouml": "Ö", "Uuml": "Ü", "Auml": "Ä", "szlig": "ß", "ntilde": "ñ", "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú"}
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it: lambdas are not deduplicated."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -27,6 +35,22 @@ def repair_superscripts(html: Column) -> Column:
     return F.regexp_replace(html, "(\\d)(\\s*)<span class=\"(?![^\"]*oj-note-tag)[^\"]*\\boj-super\\b[^\"]*\">\\s*(\\d+)\\s*</span>", "$1$2^$3")
 
 
+def decode_references(c: Column) -> Column:
+    """Character references of HTML as characters: the named ones of REFERENCES and numeric ones, each once; others stay as they are."""
+    for name, sign in REFERENCES.items():
+        c = F.regexp_replace(c, f"&{name};", sign)
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&lt(?![a-zA-Z;])", "<"), "&gt(?![a-zA-Z;])", ">"), "&quot(?![a-zA-Z;])", '"')
+    parts = F.split(c, "&#(?=(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)(?!38;|[xX]0{0,4}26;)")
+
+    def decoded(p: Column, i: Column) -> Column:
+        code = F.substring_index(p, ";", 1)
+        number = F.when(F.rlike(code, F.lit("^[xX]")), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("long")
+        sign = F.when((number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(i == 0, p).otherwise(F.concat(sign, F.substr(p, F.length(code) + 2)))
+
+    return F.regexp_replace(F.array_join(F.transform(parts, decoded), ""), "&(?:amp;?|#38;|#[xX]0{0,4}26;)", "&")
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, "(?U)\\s+"), lambda w: w != "")
 
@@ -59,11 +83,10 @@ def without_first_line(c: Column) -> Column:
 def duration_seconds(c: Column) -> Column:
     """205ms, 7.66s, 59m2.4s, 1h2m3s; anything else is 0."""
     c = strip(F.coalesce(c, F.lit("")))
-    shape = "^(?:(\\d+)h)?(?:(\\d+)m)?(?:([\\d.]+)s)?$"
     number = lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))
     ms = number(F.regexp_extract(c, "^(.*)ms$", 1)) / 1000.0
-    part = lambda i: number(F.regexp_extract(c, shape, i))
-    return F.when(c.endswith("ms"), ms).when(F.rlike(c, F.lit(shape)), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(0.0)
+    part = lambda i: number(F.regexp_extract(c, DURATION, i))
+    return F.when(c.endswith("ms"), ms).when(F.rlike(c, F.lit(DURATION)), part(1) * 3600 + part(2) * 60 + part(3)).otherwise(0.0)
 
 
 def model_family(c: Column) -> Column:

@@ -8,31 +8,30 @@ from pyspark.sql.window import Window
 
 from graniteleaf.config import DEFAULT, Settings
 from graniteleaf.functions import text as T
+from graniteleaf.sources.tables import stored
+
+
+def _cut(items: Column, starts: Column, joiner: str) -> Column:
+    """Items (an array) joined from each start (places from 1, ascending) to the next."""
+    until = lambda p, s, i: F.coalesce(F.get(s, i + 1), F.size(p) + 1)
+    return T.let(F.struct(items.alias("p"), starts.alias("s")), lambda x: F.transform(x["s"], lambda a, i: F.array_join(F.slice(x["p"], a, until(x["p"], x["s"], i) - a), joiner)))
 
 
 def atoms(body: Column) -> Column:
     """Lines grouped so that each group begins at an enumeration marker (the first begins anyway)."""
-    lines = F.split(body, "\n")
-    return F.aggregate(
-        lines, F.array().cast("array<string>"),
-        lambda a, x: F.when((F.size(a) == 0) | F.rlike(x, F.lit(T.MARKER)), F.concat(a, F.array(x))).otherwise(F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat_ws("\n", F.element_at(a, -1), x)))),
-    )
+    opens = lambda lines: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: (i == 1) | F.rlike(F.element_at(lines, i), F.lit(T.MARKER)))
+    return T.let(F.split(body, "\n"), lambda lines: _cut(lines, opens(lines), "\n"))
 
 
 def pack(pieces: Column, budget: int, joiner: str) -> Column:
-    """Greedy packing: a piece opens a new part if it would take the running estimate over the budget."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("tok"))
+    """Greedy packing: a piece opens a new part if it would take the running estimate over the budget. The fold keeps only where parts begin."""
+    first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("tok"), F.lit(1).alias("i"))
 
-    def step(a: Column, p: Column) -> Column:
-        x, t = p["x"], p["t"]
-        full = a["cur"].isNotNull() & (a["tok"] + t > budget)
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
-            F.when(full | a["cur"].isNull(), x).otherwise(F.concat_ws(joiner, a["cur"], x)).alias("cur"), F.when(full, t).otherwise(a["tok"] + t).alias("tok"),
-        )
+    def step(a: Column, t: Column) -> Column:
+        full = (a["i"] == 1) | (a["tok"] + t > budget)
+        return F.struct(F.when(full, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"]).alias("starts"), F.when(full, t).otherwise(a["tok"] + t).alias("tok"), (a["i"] + 1).alias("i"))
 
-    priced = F.transform(pieces, lambda x: F.struct(x.alias("x"), T.approx_tokens(x).alias("t")))  # each piece is counted once
-    return F.aggregate(priced, start, step, lambda a: F.when(a["cur"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))))
+    return T.let(pieces, lambda p: _cut(p, F.aggregate(F.transform(p, T.approx_tokens), first, step, lambda a: a["starts"]), joiner))
 
 
 def pieces(body: Column, budget: int) -> Column:
@@ -72,11 +71,11 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
     Order statistics come from the counts of each token number, so no task sorts the corpus.
     """
-    counts = chunks.groupBy("kind", "n_tokens").agg(F.count("*").alias("c"))  # one shuffle of these counts serves all below
+    counts = stored(chunks.groupBy("kind", "n_tokens").agg(F.count("*").alias("c"), F.sum((F.col("part") == 1).cast("long")).alias("u")), "chunk-counts")  # chunked once; a row for each token number
     kinds = counts.groupBy("kind").agg(F.sum("c").alias("value")).select(F.concat(F.lit("kind:"), "kind").alias("metric"), "value")
     by = counts.groupBy("n_tokens").agg(F.sum("c").alias("c"))
     whole = by.agg(F.sum("c").alias("n"))
-    units = chunks.agg(F.countDistinct("unit_id").alias("value")).select(F.lit("units").alias("metric"), "value")
+    units = counts.agg(F.coalesce(F.sum("u"), F.lit(0)).alias("value")).select(F.lit("units").alias("metric"), "value")  # every unit has one first part
     upto = Window.orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     ranked = by.withColumn("hi", F.sum("c").over(upto)).withColumn("lo", F.col("hi") - F.col("c")).crossJoin(F.broadcast(whole))
     picks = F.array(*[F.struct(F.lit(m).alias("m"), i.cast("long").alias("i")) for m, i in (("tokens_min", F.lit(0)), ("tokens_p50", F.floor(F.col("n") / 2)), ("tokens_p95", F.floor(F.col("n").cast("double") * F.lit(0.95))), ("tokens_max", F.col("n") - 1))])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 TYPES = ("single_hop", "multi_hop", "unanswerable")
 GRADES = ("correct", "partial", "incorrect")
@@ -86,10 +85,6 @@ def first_questions(questions: DataFrame, n: int) -> DataFrame:
     return questions.orderBy("ord").limit(n)
 
 
-def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """key, first: where each value first stands (for stable sorts)."""
-    return rows.groupBy(key).agg(F.min(order).alias("first"))
-
-
-def running_rank(df: DataFrame, by: list[str], order: list[Column], into: str = "rank") -> DataFrame:
-    return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+def to_save(rows: DataFrame) -> DataFrame:
+    """Rows as they are saved: without the passages they were answered from."""
+    return rows.drop("contexts")

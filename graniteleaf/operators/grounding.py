@@ -51,6 +51,22 @@ def fabricated(cited: Column, retrieved: Column) -> Column:
     return F.array_except(cited, retrieved)
 
 
+def cited_hits(hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """hits(query_id, chunk_id, unit_id, ...) with `cited`: whether the answer (query_id, cited_units) cites the hit's unit."""
+    j = hits.join(answers.select("query_id", "cited_units"), "query_id", "left")
+    return j.withColumn("cited", F.coalesce(F.array_contains("cited_units", F.col("unit_id").cast("string")), F.lit(False))).drop("cited_units")
+
+
+def asked_service(prompts: DataFrame, ask) -> DataFrame:
+    """prompts(query_id, prompt) -> query_id, answer, by a function from prompt to answer that runs where the prompts lie (null: no answer)."""
+
+    def call(batches):
+        for batch in batches:
+            yield batch[["query_id"]].assign(answer=[ask(p) for p in batch["prompt"]])
+
+    return prompts.select("query_id", "prompt").mapInPandas(call, f"query_id {dict(prompts.dtypes)['query_id']}, answer string")
+
+
 def passage_preview(text: Column, most: int = 2400) -> Column:
     body = T.without_first_line(text)
     return F.when(F.length(body) > most, F.concat(F.substring(body, 1, most), F.lit("…"))).otherwise(body)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from graniteleaf.config import DEFAULT, Settings
 from graniteleaf.functions import text as T
 
-#: The columns that an index keeps beside id, vector and text.
+#: The columns that an index keeps beside id, vector and text.
 META = ("kind", "unit_id", "citation", "title", "chapter_title", "section_title", "part", "n_parts", "url", "n_tokens")
 #: Width of the hashing encoder that stands in where no text encoder is at hand.
 HASH_DIMS = 64
+_LETTER = 40
 
 
 def without_kind(chunks: DataFrame, kind: str) -> DataFrame:
@@ -23,11 +24,6 @@ def index_projection(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "text", *META)
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once, however often body names it: lambdas are not deduplicated."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def l2_normalize(v: Column) -> Column:
     """Unit length in doubles; a zero vector stays zero."""
 
@@ -35,14 +31,22 @@ def l2_normalize(v: Column) -> Column:
         norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
         return F.zip_with(d, F.array_repeat(norm, F.size(d)), lambda x, n: F.when(n > 0, x / n).otherwise(x))
 
-    return _let(F.transform(v, lambda x: x.cast("double")), scaled)
+    return T.let(F.transform(v, lambda x: x.cast("double")), scaled)
+
+
+def hit_columns(run: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A run (query_id, chunk_id, score, rank) with the metadata of its hits, joined after the cut: nine columns a hit; what a chunk lacks is null."""
+    wanted = ("text", "kind", "unit_id", "citation", "chapter_title", "url")
+    meta = chunks.select("chunk_id", *[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+    return run.join(meta, "chunk_id", "left").select("query_id", "chunk_id", "text", "score", "rank", "kind", "unit_id", "citation", "chapter_title", "url")
 
 
 def hash_encode(c: Column) -> Column:
     """A text as L2-normalised counts of its tokens in HASH_DIMS buckets of md5: the offline stand-in for an encoder."""
-    buckets = F.transform(T.tokenize(c), lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % HASH_DIMS)
-    count = lambda bs, i: (F.size(bs) - F.size(F.array_remove(bs, i))).cast("double")
-    counts = _let(buckets, lambda bs: F.transform(F.sequence(F.lit(0), F.lit(HASH_DIMS - 1)), lambda i: count(bs, i)))
+    # a bucket is a letter, a text a string of letters: a count is what the string loses without a letter
+    letter = lambda t: F.chr(F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % HASH_DIMS + _LETTER)
+    count = lambda s, i: (F.octet_length(s) - F.octet_length(F.replace(s, F.lit(chr(_LETTER + i)), F.lit("")))).cast("double")
+    counts = T.let(F.array_join(F.transform(T.tokenize(c), letter), ""), lambda s: F.array(*[count(s, i) for i in range(HASH_DIMS)]))
     return l2_normalize(counts)
 
 

@@ -21,6 +21,20 @@ def pick_judge(generators: DataFrame, preferences: DataFrame, default: str, avai
     return j.groupBy("model").agg(F.coalesce(F.min_by("judge", "pos"), F.lit(default)).alias("judge"))
 
 
+def claims_prompt(question: Column, answer: Column) -> Column:
+    return F.concat(F.lit("List the separate statements of fact in this answer as a JSON array of strings.\n\nQuestion: "), question, F.lit("\n\nAnswer: "), answer)
+
+
+def verify_prompt(context: Column, numbered: Column) -> Column:
+    ask = "Say of each numbered statement whether the passages support it. Reply with a JSON array of {claim_index, supported, reason}.\n\nPassages:\n"
+    return F.concat(F.lit(ask), context, F.lit("\n\nStatements:\n"), numbered)
+
+
+def grade_prompt(question: Column, reference: Column, answer: Column) -> Column:
+    ask = f"Grade the answer against the reference as one of {', '.join(GRADES)}. Reply with a JSON object of grade and reason.\n\nQuestion: "
+    return F.concat(F.lit(ask), question, F.lit("\n\nReference: "), reference, F.lit("\n\nAnswer: "), answer)
+
+
 def number_claims(claims: Column, most: int = 20) -> Column:
     return F.array_join(F.transform(F.slice(claims, 1, most), lambda c, i: F.concat(i.cast("string"), F.lit(". "), c)), "\n")
 

@@ -25,7 +25,7 @@ def metrics_at(hits: DataFrame, gold: DataFrame, ks: list[int], by: tuple[str, .
     wide = hits.withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(set(ks))])))
     units = topk_units(wide, keys, F.col("k"))
     listed = units.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("unit_rank", "unit_id"))).alias("u"))
-    grid = hits.select(*by).distinct().crossJoin(gold) if by else gold
+    grid = gold.crossJoin(F.broadcast(hits.select(*by).distinct())) if by else gold  # a row a mode or weight
     grid = grid.where(F.size("gold_units") > 0).withColumn("k", F.explode(F.array(*[F.lit(k) for k in sorted(set(ks))])))
     j = grid.join(listed, keys, "left").withColumn("u", F.coalesce(F.transform("u", lambda x: x["unit_id"]), F.expr("slice(gold_units, 1, 0)")))
     hit = F.transform("u", lambda x: F.array_contains("gold_units", x))

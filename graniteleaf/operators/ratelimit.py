@@ -18,26 +18,54 @@ PROVIDERS = (
 )
 
 
+class Unavailable(RuntimeError):
+    """No answer from the service after all tries."""
+
+
+class DailyQuotaExhausted(Unavailable):
+    """A quota by the day is used up; trying again does not help before it resets."""
+
+
 def available(provider: str, environment: dict[str, str]) -> bool:
     keys = {p: key for p, _, key in PROVIDERS}
     return provider in keys and (keys[provider] is None or bool(environment.get(keys[provider])))
 
 
-def estimate_tokens(messages: DataFrame, by: str, reply: int = 2500) -> DataFrame:
+def listed_models(models: DataFrame, provider: str) -> list[str]:
+    """The models of a provider, from a table models(provider, model) of a few rows; [] if it cannot be read."""
+    try:
+        return [r["model"] for r in models.where(F.col("provider") == provider).select("model").orderBy("model").collect()]
+    except Exception:  # noqa: BLE001 a list of models is only a hint
+        return []
+
+
+def estimate_tokens(messages: DataFrame, by: str, reply: int = DEFAULT.reply_tokens) -> DataFrame:
     """int(characters / 3.5) + reply of each conversation, in binary doubles."""
     return messages.groupBy(by).agg((F.floor(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double") / F.lit(3.5)) + reply).cast("long").alias("estimate"))
 
 
-def rolling_budget(ledger: DataFrame, seconds: int, limit: float, key: str = "model") -> DataFrame:
+def rolling_budget(ledger: DataFrame, seconds: int = DEFAULT.window_seconds, limit: float = DEFAULT.tokens_per_minute, key: str = "model", fraction: float = DEFAULT.usage_fraction, limits: DataFrame | None = None) -> DataFrame:
     """ledger(key, ts, tokens, ...) with spent (in the window before, both ends included) and would_block.
 
-    A call over budget is let through if nothing else lies in its window. One range frame a key; frames are short, so a
-    key with many calls streams through its task.
+    The budget is `fraction` of the key's limit: that of limits(key, limit), as latest_limit() learns them, else `limit`. A call over
+    budget is let through if nothing else lies in its window. Calls are ranked within a key and a stretch of time, with the calls of one window before the
+    stretch beside them, so a key with most of the calls is spread over many tasks.
     """
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    spent = F.sum("tokens").over(w) - F.col("tokens")
-    others = F.count("*").over(w) - 1
-    return ledger.withColumns({"spent": spent, "would_block": (others > 0) & (spent + F.col("tokens") > limit)})
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = seconds * 1_000_000
+    stretch = max(64 * width, 3_600_000_000)
+    own = F.floor(F.col("_at") / stretch).cast("long")
+    rows = ledger.withColumn("_at", at)
+    # a call that reaches into the next stretch is counted there too, but not returned from there
+    both = rows.withColumn("_s", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_at") + width) / stretch).cast("long"))))).withColumn("_own", F.col("_s") == own)
+    w = Window.partitionBy(key, "_s").orderBy("_at").rangeBetween(-width, 0)
+    both = both.withColumns({"spent": F.sum("tokens").over(w) - F.col("tokens"), "_others": F.count("*").over(w) - 1}).where("_own")
+    most = F.lit(float(limit))
+    if limits is not None:
+        both = both.join(limits.select(F.col(key).alias("_k"), F.col("limit").cast("double").alias("_limit")), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+        most = F.coalesce(F.col("_limit"), most)
+    over = F.col("spent") + F.col("tokens") > most * fraction
+    return both.withColumn("would_block", (F.col("_others") > 0) & over).drop("_at", "_s", "_own", "_others", "_limit")
 
 
 def latest_limit(headers: DataFrame, key: str = "model") -> DataFrame:
@@ -51,6 +79,12 @@ def classify_status(status: Column, body: Column) -> tuple[Column, Column]:
     return kind, F.when(daily, T.duration_seconds(F.regexp_extract(body, "try again in ([0-9hms.]+)", 1)) / 60)
 
 
+def retry_schedule(failures: DataFrame, tries: int = 8) -> DataFrame:
+    """failures(..., status, retry_after) with attempt (from 0) and wait: a row for each wait before the last try; none for what is not tried again."""
+    again = failures.where((F.col("status") == 429) | (F.col("status") >= 500))
+    return again.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("wait", backoff_seconds(F.col("attempt"), F.col("retry_after")))
+
+
 def backoff_seconds(attempt: Column, retry_after: Column | None = None, settings: Settings = DEFAULT) -> Column:
     """Half a second more than the server's wait, or than 2 * 2**attempt; at most 120."""
     own = F.lit(2.0) * F.pow(F.lit(2.0), attempt)

@@ -56,6 +56,24 @@ def unsupported(rows: DataFrame, most: int = 25) -> DataFrame:
     return top.select("query_id", F.col("v.claim_index").alias("claim_index"), F.translate(F.substring(F.coalesce("v.reason", F.lit("")), 1, 120), "|", "/").alias("reason"))
 
 
+def banner(coverage: DataFrame) -> DataFrame:
+    """line: how many questions are scored, and which are missing; no row if none is."""
+    c = coverage.where("scored < total")
+    return c.select(F.concat(F.lit("Partial run: "), F.col("scored").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" questions scored; missing: "), "missing").alias("line"))
+
+
+def markdown(tables: list[tuple[str, DataFrame, list[str], str]]) -> DataFrame:
+    """ord, line: a whole report from (title, table, columns, order column), each a heading, a header and its rows."""
+    out = None
+    for i, (title, df, cols, order) in enumerate(tables):
+        rows = markdown_rows(df, cols, order).select(F.struct(F.lit(i).alias("t"), F.lit(1).alias("p"), F.col("ord").cast("double").alias("o")).alias("ord"), "line")
+        bar = "| " + " | ".join(cols) + " |"
+        head = df.sparkSession.createDataFrame([((i, 0, float(j)), x) for j, x in enumerate(("", f"## {title}", "", bar, "|" + "---|" * len(cols)))], rows.schema)
+        part = head.unionByName(rows)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def markdown_rows(df: DataFrame, cols: list[str], order: str) -> DataFrame:
     """ord, line: table rows of a Markdown report."""
     return df.select(F.col(order).alias("ord"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), F.lit(" |")).alias("line"))

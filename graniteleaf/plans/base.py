@@ -9,7 +9,7 @@ from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
 from graniteleaf.operators import evaluation, grounding, metrics, retrieval
 from graniteleaf.operators.judging import validated_grade
-from graniteleaf.sources.tables import table
+from graniteleaf.sources.tables import stored, table
 
 #: Sources whose documents count as the weighted kind.
 WEIGHTED_SOURCES = ("src0", "src1", "src2", "src3", "src4")
@@ -27,10 +27,13 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """query_id, ord, question, gold_units (documents that hold the question's text), type, reference."""
+    """query_id, ord, question, gold_units (documents that hold the question's text), type, reference.
+
+    The questions are the stated query set; Spark broadcasts them if their size allows.
+    """
     q = asked(spark, d)
     docs = corpus(spark, d).select("chunk_id", "text")
-    gold = docs.join(F.broadcast(q), F.col("text").contains(F.col("question"))).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("g"))
+    gold = stored(docs.join(q, F.col("text").contains(F.col("question"))).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("g")), "gold")
     q = q.join(gold, "query_id", "left").withColumn("gold_units", F.coalesce("g", F.array().cast("array<bigint>"))).drop("g")
     n = F.size("gold_units")
     return q.withColumns({"ord": F.col("query_id"), "type": F.when(n == 0, "unanswerable").when(n == 1, "single_hop").otherwise("multi_hop"), "reference": F.concat(F.lit("ref "), F.col("query_id").cast("string"))})
@@ -38,11 +41,11 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 def runs(spark: SparkSession, d: str, depth: int = POOL) -> dict[str, DataFrame]:
     c, q = corpus(spark, d), asked(spark, d)
-    return {"bm25": retrieval.search(q, c, depth, "bm25"), "dense": retrieval.search(q, c, depth, "dense")}
+    return {m: stored(retrieval.search(q, c, depth, m), f"run-{m}") for m in ("bm25", "dense")}  # searched once, whatever reads them
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    return retrieval.search(asked(spark, d), corpus(spark, d), k, "bm25").withColumn("unit_id", F.col("chunk_id"))
+    return stored(retrieval.search(asked(spark, d), corpus(spark, d), k, "bm25").withColumn("unit_id", F.col("chunk_id")), "hits")
 
 
 def all_modes(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
@@ -50,7 +53,7 @@ def all_modes(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     r = runs(spark, d)
     h = retrieval.fused(r, corpus(spark, d).select("chunk_id", "kind"), k, [DEFAULT.kind_weight])
     parts = [x.where(F.col("rank") <= k).select(F.lit(m).alias("mode"), "query_id", F.col("chunk_id").alias("unit_id"), "rank") for m, x in (("bm25", r["bm25"]), ("dense", r["dense"]), ("hybrid", h))]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "modes")
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:

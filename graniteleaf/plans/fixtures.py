@@ -13,6 +13,11 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         (1, 1, "oj-ti-section-1", "CHAPTER I"), (1, 2, "oj-ti-section-2", "General"), (1, 3, "oj-normal", "art one"), (1, 4, "oj-ti-section-1", "Section 1"), (1, 5, "oj-ti-section-2", "Scope"), (1, 6, "oj-normal", "art two"), (1, 7, "oj-note-tag", "note"),
         (1, 8, "oj-ti-section-1", "Chapter II"), (1, 9, "oj-normal", "art three"), (1, 10, "oj-ti-section-2", "Rights"), (1, 11, "oj-ti-section-2", "stray"), (1, 12, "oj-ti-section-1", "TITLE X"), (1, 13, "oj-normal", "art four"), (2, 1, "oj-ti-art", "Article 1"), (2, 2, "oj-normal", "no heading"),
     ]),
+    "marked_pages": ("page_id int, html string", [
+        (1, '<div class="eli-container"><p class="oj-ti-section-1">CHAPTER I</p><p class="oj-ti-section-2">General &amp; first</p><div class="eli-subdivision" id="art_1"><p class="oj-ti-art">Article 1</p><p class="oj-sti-art">Scope`</p><p class="oj-normal">1. This &lt;rule&gt; holds.</p><p class="oj-note">a note</p><p>2. Also&#8212;here.</p></div>'
+            '<div class="eli-subdivision" id="art_2"><p class="oj-ti-art">Article 2</p><p>Only a body.</p></div></div><div class="eli-container" id="anx_I"><p class="oj-doc-ti">ANNEX I</p><p class="oj-doc-ti">Lists</p><p>(a) one</p></div>'),
+        (2, '<div id="rct_3" class="eli-subdivision"><p>(3) Whereas x.</p></div>'), (3, "<p>no subdivision</p>"), (4, None),
+    ]),
     "kinds": ("id int, classes string, element_id string", [(1, "eli-subdivision", "art_6"), (2, "eli-subdivision", "rct_27"), (3, "eli-container", "anx_III"), (4, "eli-subdivision", "anx_I"), (5, "x eli-subdivision y", "art_99"), (6, "", "art_1")]),
     "units": ("kind string, element_id string, label string, title string, body string, chapter string, chapter_title string, section string, section_title string", [
         ("article", "art_6", "Article 6", "Rules`", "b1", "CHAPTER I", "CHAPTER I - General", "", ""), ("article", "art_7", None, None, "b2", "CHAPTER I", "", "SECTION 1", "SECTION 1 - x"),
@@ -30,7 +35,7 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "verdicts": ("id int, s string", [(1, '[{"claim_index":0,"supported":true,"reason":"r"},{"claim_index":1,"supported":false,"reason":"n"}]'), (2, "[]"), (3, "none"), (4, '[{"claim_index":0,"supported":false},{"claim_index":1},{"claim_index":2,"supported":true}]')]),
     "claims": ("id int, claims array<string>", [(1, ["a", "b"]), (2, [str(i) for i in range(25)]), (3, [])]),
     "models": ("model string", [("openai/gpt-oss-20b",), ("llama-3.3-70b",), ("qwen/qwen3.6-27b",), ("Solo",)]),
-    "preferences": ("model string, pos int", [("openai/gpt-oss-120b", 1), ("qwen/qwen3.6-27b", 2), ("llama-3.3-70b-versatile", 3), ("openai/gpt-oss-20b", 4), ("llama-3.1-8b-instant", 5)]),
+    "preferences": ("model string, pos int", [("openai/judge-large", 1), ("qwen/judge", 2), ("llama-judge", 3), ("openai/judge-small", 4)]),
     "grades": ("id int, grade string", [(1, "correct"), (2, "partial"), (3, "incorrect"), (4, "great"), (5, None)]),
     "figures": ("id int, p double, d double", [(1, 0.9091, 0.7951), (2, None, None), (3, 1.0, 0.0), (4, 0.33333, 0.12345)]),
     "running": ("setting string, value string", [("mode", "hybrid"), ("k", "8"), ("model", "m1"), ("judge", None)]),

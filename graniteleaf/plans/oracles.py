@@ -6,7 +6,7 @@ from graniteleaf.config import DEFAULT
 from graniteleaf.functions.text import CITATION
 from graniteleaf.operators import ratelimit, report
 from graniteleaf.plans.base import BASE_URL, K, POOL, WEIGHTED_SOURCES
-from graniteleaf.plans.fixtures import values
+from graniteleaf.plans.fixtures import _literal, values
 from graniteleaf.plans.queries import KS, WEIGHTS
 
 TOKENS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
@@ -33,7 +33,7 @@ ASKED = "asked AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 LEX = f"{CORPUS}, {ASKED}, {TERMS}, {bm25('asked')}"
 _BUCKET = "('0x' || substr(md5(term), 1, 4))::BIGINT % 64"
 DENSE = f"""dc AS (SELECT chunk_id, {_BUCKET} AS b, sum(tf)::DOUBLE AS c FROM tf GROUP BY ALL), dn AS (SELECT chunk_id, sqrt(sum(c * c)) AS m FROM dc GROUP BY 1),
-qc AS (SELECT query_id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM qt GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(c * c)) AS m FROM qc GROUP BY 1),
+qd AS (SELECT query_id, unnest({TOKENS.format("('" + DEFAULT.query_prefix + "' || question)")}) AS term FROM asked), qc AS (SELECT query_id, {_BUCKET} AS b, count(*)::DOUBLE AS c FROM qd GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(c * c)) AS m FROM qc GROUP BY 1),
 ds AS (SELECT qc.query_id, dc.chunk_id, round(sum((dc.c / dn.m) * (qc.c / qn.m)), 9) AS score FROM qc JOIN dc USING (b) JOIN dn USING (chunk_id) JOIN qn USING (query_id) GROUP BY ALL),
 dr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds)"""
 
@@ -131,10 +131,28 @@ RECURSIVE = "WITH RECURSIVE "
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate({0}, chr(160) || '’‘“”', ' ''''""'), '[ \t]+', ' ', 'g'), '^\s+', ''), '\s+$', ''), '(\d)\s+\^(\d)', '\1^\2', 'g')"""
 _BARE = r"regexp_replace(html, '(?is)<(?:script\b.*?</script>|style\b.*?</style>|!--.*?-->)', '', 'g')"
 _NEXT = r"<(h1|p|li|div|/h1|/p|/li|/div|/article|footer)\b"
+_NAMED = ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")
+
+
+def _decoded(c: str) -> str:
+    """The references that pages have; the ampersand last, as it may build others. A last one may lack its semicolon."""
+    for name, sign in _NAMED:
+        c = f"regexp_replace({c}, '&{name}{';?' if name == 'amp' else ';'}', '{sign}', 'g')"
+    return c
+
+
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(x, '(?is)^<[^>]*>', ''), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
 #: No look-ahead in RE2: the page is cut at every mark that opens or ends a block, and the cuts that a block opens are kept.
 BLOCKS = rf"""cut AS (SELECT page_id, string_split(regexp_replace({_BARE}, '(?i){_NEXT}', chr(2) || '\0', 'g'), chr(2)) AS c FROM pages),
-pc AS (SELECT page_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM cut), op AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos FROM pc WHERE regexp_matches(x, '(?is)^<(h1|p|li)\b[^>]*>')),
-blocks AS (SELECT page_id, pos, lower(regexp_extract(x, '(?is)^<(h1|p|li)\b', 1)) AS tag, {_CLEAN.format("regexp_replace(regexp_replace(regexp_replace(x, '(?is)^<[^>]*>', ''), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')")} AS text FROM op)"""
+pce AS (SELECT page_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM cut), op AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos FROM pce WHERE regexp_matches(x, '(?is)^<(h1|p|li|div)\b[^>]*>')),
+blocks AS (SELECT page_id, pos, lower(regexp_extract(x, '(?is)^<(h1|p|li|div)\b', 1)) AS tag, regexp_extract(x, '(?is)^<[^>]*\sclass="([^"]*)"', 1) AS classes, regexp_extract(x, '(?is)^<[^>]*\sid="([^"]*)"', 1) AS element_id, {_CLEAN.format(_decoded(_TEXT))} AS text FROM op)"""
+_PAGE_TEXT = "SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks WHERE text <> '' GROUP BY 1"
+_UNITS = [
+    (1, "art_1", "article", "Article 1 - Scope", "Scope", "CHAPTER I", "CHAPTER I - General & first", "[CHAPTER I - General & first] ", "1. This <rule> holds.\n2. Also—here."),
+    (1, "art_2", "article", "Article 2", "", "CHAPTER I", "CHAPTER I - General & first", "[CHAPTER I - General & first] ", "Only a body."),
+    (1, "anx_I", "annex", "ANNEX I - Lists", "Lists", "Annexes", "Annexes", "[Annexes] ", "(a) one"),
+    (2, "rct_3", "recital", "Recital (3)", "", "Recitals", "Recitals (non-binding interpretive context)", "[Recitals (non-binding interpretive context)] ", "Whereas x."),
+]
 
 O: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, length(html) AS n_chars, contains(html, '<article') AS has_article FROM pages",
@@ -142,11 +160,13 @@ O: dict[str, str] = {
     "scan_queries": f"WITH {QUESTIONS} SELECT query_id, question, type, array_to_string(gold_units, ',') AS gold FROM questions",
     "provider_lookup": "SELECT *, key_variable IS NOT NULL AS needs_key FROM (VALUES " + ", ".join(f"('{p}', '{u}', {repr(k) if k else 'NULL'})" for p, u, k in ratelimit.PROVIDERS) + ") AS v(provider, base_url, key_variable)",
     "report_lines": f"WITH {FAILURES} SELECT string_agg('| ' || failure || ' | ' || n || ' | ' || meaning || ' |', chr(10) ORDER BY place) AS body FROM fp",
-    "clean_text": f"SELECT id, {_CLEAN.format('s')} AS cleaned FROM {values('clean')}",
+    "clean_text": f"SELECT id, md5({_CLEAN.format('s')}) AS cleaned_md5 FROM (SELECT -id::BIGINT AS id, s FROM {values('clean')} UNION ALL SELECT doc_id, text FROM documents)",
     "superscript_repair": rf"""SELECT id, CASE WHEN contains(html, 'oj-note-tag') THEN html ELSE regexp_replace(html, '(\d)(\s*)<span class="oj-super">\s*(\d+)\s*</span>', '\1\2^\3', 'g') END AS repaired FROM {values("supers")}""",
     "drop_blocks": f"SELECT doc, pos, text FROM {values('blocks')} WHERE NOT (contains(classes, 'oj-note') OR contains(classes, 'oj-ti-art') OR contains(classes, 'oj-sti-art') OR contains(classes, 'oj-doc-ti'))",
     "page_blocks": f"WITH {BLOCKS} SELECT * FROM blocks WHERE text <> ''",
-    "page_text": f"WITH {BLOCKS} SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks WHERE text <> '' GROUP BY 1",
+    "page_text": f"WITH {BLOCKS} {_PAGE_TEXT}",
+    "page_chunks": f"{RECURSIVE}{BLOCKS}, documents AS (SELECT page_id AS doc_id, text, 'page' AS source, 'html' AS lang FROM ({_PAGE_TEXT})), {CHUNKS} SELECT chunk_id, unit_id, part, n_parts, body, text, n_tokens FROM ct",
+    "page_units": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(p), *(_literal(x) for x in (i, k, c, t, ch, ct, f"{BASE_URL}#{i}", b, f"{head}{c}\n{b}"))]) + ")" for p, i, k, c, t, ch, ct, head, b in _UNITS) + ") AS v(page_id, chunk_id, kind, citation, title, chapter, chapter_title, url, body, text)",
     "heading_ffill": f"""WITH b AS (SELECT *, contains(classes, 'oj-ti-section-1') AS h, upper(text) LIKE 'CHAPTER%' AS c, upper(text) LIKE 'SECTION%' AS s, contains(classes, 'oj-ti-section-2') AS t FROM {values("blocks")}),
 p AS (SELECT *, max(CASE WHEN h AND c THEN pos END) OVER w AS cp, max(CASE WHEN h AND s THEN pos END) OVER w AS sp FROM b WINDOW w AS (PARTITION BY doc ORDER BY pos)),
 q AS (SELECT *, CASE WHEN sp > coalesce(cp, 0) THEN sp END AS own FROM p),
@@ -159,7 +179,7 @@ SELECT element_id AS unit_id, kind, CASE kind WHEN 'recital' THEN 'Recital (' ||
   CASE kind WHEN 'recital' THEN 'Recitals' WHEN 'annex' THEN 'Annexes' ELSE chapter END AS chapter, CASE kind WHEN 'recital' THEN 'Recitals (non-binding interpretive context)' WHEN 'annex' THEN 'Annexes' ELSE chapter_title END AS chapter_title,
   CASE kind WHEN 'article' THEN section ELSE '' END AS section, CASE kind WHEN 'article' THEN section_title ELSE '' END AS section_title, CASE kind WHEN 'recital' THEN trim(regexp_replace(body, '^\\(\\d+\\)\\s*', '')) ELSE body END AS body, '{BASE_URL}#' || element_id AS url, number FROM u""",
     "approx_tokens": f"SELECT doc_id, {tokens('text')} AS n_tokens FROM documents",
-    "enumerated_atoms": f"""WITH ln AS (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS p FROM {values("atoms")}),
+    "enumerated_atoms": f"""WITH ln AS (SELECT id, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS p FROM (SELECT -id::BIGINT AS id, body FROM {values("atoms")} UNION ALL SELECT doc_id, text FROM documents)),
 lg AS (SELECT *, sum(CASE WHEN p = 1 OR regexp_matches(line, '{_MARK}') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY p) AS a FROM ln) SELECT id, (a - 1)::INTEGER AS pos, string_agg(line, chr(10) ORDER BY p) AS atom FROM lg GROUP BY id, a""",
     "sentence_split": f"WITH x AS (SELECT -id::BIGINT AS id, body FROM {values('sentences')} UNION ALL SELECT doc_id, text FROM documents) SELECT id, unnest({sentences('body')}) AS sentence, (generate_subscripts({sentences('body')}, 1) - 1)::INTEGER AS pos FROM x",
     "pack_sentences": f"{RECURSIVE} s AS (SELECT doc_id AS id, unnest({sentences('text')}) AS piece, generate_subscripts({sentences('text')}, 1) AS i FROM documents), {packed('s', repr(' '))} SELECT id AS doc_id, pos::INTEGER AS pos, part FROM pk",
@@ -173,13 +193,12 @@ UNION ALL SELECT 'tokens_min', l[1] FROM so UNION ALL SELECT 'tokens_p50', l[n /
     "index_no_recitals": f"WITH {CORPUS} SELECT chunk_id, kind FROM corpus WHERE kind <> 'recital'",
     "bm25_index_stats": f"WITH {CORPUS}, {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {LEX} SELECT * FROM br WHERE rank <= 10",
-    "bm25_topk_padded": f"""WITH {CORPUS}, {TERMS}, asked AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN array_to_string(({TOKENS.format("text")})[-2:], ' ') ELSE 'zzzzqq' END AS question FROM benchmark), {bm25("asked")},
+    "bm25_topk_padded": f"""WITH {CORPUS}, {TERMS}, asked AS (SELECT item_id AS query_id, text AS question FROM benchmark UNION ALL SELECT -1 - item_id, ({TOKENS.format("text")})[-1] FROM benchmark UNION ALL SELECT -1000000, 'zzzzqq'), {bm25("asked")},
 p AS (SELECT a.query_id, c.chunk_id, coalesce(score, 0) AS score FROM asked a CROSS JOIN corpus c LEFT JOIN bs ON bs.query_id = a.query_id AND bs.chunk_id = c.chunk_id),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM p) SELECT * FROM r WHERE rank <= 10""",
-    "dense_topk": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 50),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
-    "dense_topk_every_20th": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
+    "dense_topk": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INTEGER AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
+    "hit_projection": f"WITH {LEX} SELECT query_id, chunk_id, md5(text) AS text, score, rank, kind, 'doc_' || chunk_id AS unit_id, 'Document ' || chunk_id AS citation, NULL::VARCHAR AS chapter_title, '{BASE_URL}#doc_' || chunk_id AS url FROM br JOIN corpus USING (chunk_id) WHERE rank <= 10",
     "rrf_hybrid": f"WITH {LEX}, {DENSE}, {fused([1.0])} SELECT query_id, chunk_id, score, rank FROM fr WHERE rank <= {K}",
     "rrf_weighted": f"WITH {LEX}, {DENSE}, {fused([DEFAULT.kind_weight])} SELECT query_id, chunk_id, score, rank FROM fr WHERE rank <= {K}",
     "rrf_drop_kind": f"WITH {LEX}, {DENSE}, {fused([0.0])} SELECT query_id, chunk_id, score, rank FROM fr WHERE rank <= {K}",
@@ -192,7 +211,14 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
     "config_drift": f"SELECT setting, r.value AS running, m.value AS measured FROM {values('running')} r JOIN {values('measured')} m USING (setting) WHERE r.value IS DISTINCT FROM m.value",
     "estimate_tokens": "SELECT conv_id, (trunc(coalesce(sum(length(text)), 0)::DOUBLE / 3.5::DOUBLE) + 2500)::BIGINT AS estimate FROM conversations GROUP BY 1",
     "rolling_token_budget": """WITH l AS (SELECT event_id, user_id, ts, floor(abs(value))::BIGINT AS t FROM events), w AS (SELECT event_id, t, sum(t) OVER f AS s, count(*) OVER f AS c FROM l WINDOW f AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
-SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > 100 AS would_block FROM w""",
+SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > 120 * 0.75 AS would_block FROM w""",
+    "learnt_token_budget": """WITH l AS (SELECT event_id, user_id, ts, floor(abs(value))::BIGINT AS t FROM events), m AS (SELECT user_id, max(t) AS most FROM l WHERE user_id % 2 = 0 GROUP BY 1),
+w AS (SELECT event_id, user_id, t, sum(t) OVER f AS s, count(*) OVER f AS c FROM l WINDOW f AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
+SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > coalesce(most, 120) * 0.75 AS would_block FROM w LEFT JOIN m USING (user_id)""",
+    "retry_schedule": f"SELECT id, a::INTEGER AS attempt, CASE WHEN id = 3 THEN 7.5::DOUBLE ELSE least(2 * 2::DOUBLE ** a + 0.5, 120) END AS wait FROM {values('statuses')}, range(8) AS r(a) WHERE status = 429 OR status >= 500",
+    "available_providers": "SELECT * FROM (VALUES ('groq', true), ('openai', false), ('ollama', true), ('extractive', false)) AS v(provider, there)",
+    "cited_hits": f"WITH {BASE} SELECT query_id, rank, unit_id = query_id AND query_id % 5 > 0 AS cited FROM hits WHERE rank <= {K}",
+    "coverage_banner": f"WITH {QUESTIONS}, {ASKED}, {ANSWERS}, c AS (SELECT count(a.query_id) AS n, count(*) AS m, string_agg(q.query_id::VARCHAR, ',' ORDER BY ord) FILTER (WHERE a.query_id IS NULL) AS x FROM questions q LEFT JOIN answers a ON a.query_id = q.query_id) SELECT 'Partial run: ' || n || ' of ' || m || ' questions scored; missing: ' || x AS line FROM c WHERE n < m",
     "parse_duration": f"""SELECT id, round(CASE WHEN s LIKE '%ms' THEN coalesce(try_cast(regexp_extract(s, '^(.*)ms$', 1) AS DOUBLE), 0) / 1000 WHEN regexp_matches(s, '^(?:(\\d+)h)?(?:(\\d+)m)?(?:([\\d.]+)s)?$')
   THEN coalesce(try_cast(regexp_extract(s, '^(\\d+)h', 1) AS DOUBLE), 0) * 3600 + coalesce(try_cast(regexp_extract(s, '(?:^|h)(\\d+)m', 1) AS DOUBLE), 0) * 60 + coalesce(try_cast(regexp_extract(s, '(?:^|h|m)([\\d.]+)s$', 1) AS DOUBLE), 0) ELSE 0 END, 6) AS seconds FROM (SELECT id, trim(coalesce(s, '')) AS s FROM {values("durations")})""",
     "latest_limit": "SELECT user_id AS model, arg_max(event_id, {'ts': ts, 'event_id': event_id}) AS limit FROM events WHERE event_id % 3 > 0 GROUP BY 1".replace("AS limit", 'AS "limit"'),

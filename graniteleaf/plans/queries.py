@@ -62,7 +62,8 @@ def report_lines(s, d):
 
 @query
 def clean_text(s, d):
-    return fixture(s, "clean").select("id", T.clean_text(_doc("s")).alias("cleaned"))
+    lit = fixture(s, "clean").select((-F.col("id")).cast("long").alias("id"), T.clean_text(_doc("s")).alias("cleaned"))
+    return lit.unionByName(table(s, d, "documents").select(F.col("doc_id").alias("id"), T.clean_text(_doc()).alias("cleaned"))).select("id", F.md5("cleaned").alias("cleaned_md5"))
 
 
 @query
@@ -90,6 +91,21 @@ def page_text(s, d):
     return parsing.page_text(table(s, d, "pages"))
 
 
+@query
+def page_chunks(s, d):
+    """From html to chunks: every page's text as a unit."""
+    p = table(s, d, "pages").select("page_id", "html")
+    u = parsing.page_text(p).select(F.concat(F.lit("doc_"), F.col("page_id").cast("string")).alias("unit_id"), F.lit("article").alias("kind"), F.concat(F.lit("Document "), F.col("page_id").cast("string")).alias("citation"), *[F.lit(v).alias(c) for c, v in (("title", ""), ("chapter", "page"), ("chapter_title", ""), ("section", "html"), ("section_title", ""))], F.lit("").alias("url"), F.col("text").alias("body"))
+    return chunking.chunk_units(u).select("chunk_id", "unit_id", "part", "n_parts", "body", "text", "n_tokens")
+
+
+@query
+def page_units(s, d):
+    """Marked-up pages: elements, headings, kinds, units and their chunks."""
+    u = parsing.page_units(fixture(s, "marked_pages"), base.BASE_URL)
+    return chunking.chunk_units(u.drop("meta")).select("page_id", "chunk_id", "kind", "citation", "title", "chapter", "chapter_title", "url", "body", "text")
+
+
 @query
 def heading_ffill(s, d):
     return parsing.forward_fill_headings(fixture(s, "blocks")).select("doc", "pos", "chapter", "chapter_title", "section", "section_title")
@@ -116,7 +132,8 @@ def approx_tokens(s, d):
 
 @query
 def enumerated_atoms(s, d):
-    return fixture(s, "atoms").select("id", F.posexplode(chunking.atoms(F.col("body"))).alias("pos", "atom"))
+    both = fixture(s, "atoms").select((-F.col("id")).cast("long").alias("id"), "body").unionByName(table(s, d, "documents").select(F.col("doc_id").alias("id"), _doc().alias("body")))
+    return both.select("id", F.posexplode(chunking.atoms(F.col("body"))).alias("pos", "atom"))
 
 
 @query
@@ -186,9 +203,18 @@ def bm25_topk(s, d):
 
 @query
 def bm25_topk_padded(s, d):
-    """Questions of two rare words and one of none: rankings filled up with chunks of score 0."""
-    q = base.asked(s, d).select("query_id", F.when(F.col("query_id") % 2 == 0, F.array_join(F.slice(T.tokenize(F.col("question")), -2, 2), " ")).otherwise("zzzzqq").alias("question"))
-    return retrieval.bm25(q, base.corpus(s, d), 10, padded=True)
+    """All questions, their last words (ids from -1 down) and one without a match: rankings filled up with chunks of score 0."""
+    q = base.asked(s, d)
+    last = q.select((-1 - F.col("query_id")).alias("query_id"), F.try_element_at(T.tokenize(F.col("question")), F.lit(-1)).alias("question"))
+    none = s.range(1).select(F.lit(-1_000_000).cast("long").alias("query_id"), F.lit("zzzzqq").alias("question"))
+    return retrieval.bm25(q.unionByName(last).unionByName(none), base.corpus(s, d), 10, padded=True)
+
+
+@query
+def hit_projection(s, d):
+    """The nine columns of a hit; documents have no title line and no chapter."""
+    chunks = base.corpus(s, d).select("chunk_id", "kind", "text", F.concat(F.lit("doc_"), F.col("chunk_id").cast("string")).alias("unit_id"), F.concat(F.lit("Document "), F.col("chunk_id").cast("string")).alias("citation"), F.concat(F.lit(base.BASE_URL + "#doc_"), F.col("chunk_id").cast("string")).alias("url"))
+    return indexing.hit_columns(retrieval.search(base.asked(s, d), base.corpus(s, d), 10, "bm25"), chunks).withColumn("text", F.md5("text"))
 
 
 def _vectors(s, d):
@@ -197,22 +223,15 @@ def _vectors(s, d):
 
 @query
 def dense_topk(s, d):
-    v = _vectors(s, d)
-    return retrieval.dense(v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
-
-
-@query
-def dense_topk_every_20th(s, d):
-    """dense_topk with a query set that grows with the table."""
     v = _vectors(s, d)
     return retrieval.dense(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
 @query
 def dense_topk_lsh(s, d):
-    """The questions of dense_topk and of dense_topk_every_20th."""
+    """The queries of dense_topk."""
     v = _vectors(s, d)
-    return retrieval.dense_lsh(v.where("vec_id < 50 OR vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
+    return retrieval.dense_lsh(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
 def _fused(s, d, weights):
@@ -293,12 +312,38 @@ def config_drift(s, d):
 
 @query
 def estimate_tokens(s, d):
-    return ratelimit.estimate_tokens(table(s, d, "conversations"), "conv_id", DEFAULT.max_claims * 125)
+    return ratelimit.estimate_tokens(table(s, d, "conversations"), "conv_id", DEFAULT.reply_tokens)
 
 
 @query
 def rolling_token_budget(s, d):
-    return ratelimit.rolling_budget(base.ledger(s, d), 3600, 100.0).select("event_id", "spent", "would_block")
+    return ratelimit.rolling_budget(base.ledger(s, d), 3600, 120.0).select("event_id", "spent", "would_block")
+
+
+@query
+def learnt_token_budget(s, d):
+    """The budget by limits that were read from answers."""
+    calls = base.ledger(s, d)
+    learnt = calls.groupBy("model").agg(F.max("tokens").alias("limit")).where(F.col("model") % 2 == 0)
+    return ratelimit.rolling_budget(calls, 3600, 120.0, limits=learnt).select("event_id", "spent", "would_block")
+
+
+@query
+def retry_schedule(s, d):
+    f = fixture(s, "statuses").withColumn("retry_after", F.when(F.col("id") == 3, 7.0))
+    return ratelimit.retry_schedule(f).select("id", "attempt", "wait")
+
+
+@query
+def available_providers(s, d):
+    return s.createDataFrame([(p, ratelimit.available(p, {"GROQ_API_KEY": "x"})) for p in ("groq", "openai", "ollama", "extractive")], "provider string, there boolean")
+
+
+@query
+def cited_hits(s, d):
+    hits = base.bm25_hits(s, d, K).withColumn("unit_id", F.concat(F.lit("art_"), F.col("chunk_id").cast("string")))
+    told = base.asked(s, d).select("query_id", F.array(F.concat(F.lit("art_"), F.col("query_id").cast("string"))).alias("cited_units")).where("query_id % 5 > 0")
+    return grounding.cited_hits(hits, told).select("query_id", "rank", "cited")
 
 
 @query
@@ -439,6 +484,11 @@ def coverage(s, d):
     return evaluation.coverage(base.questions(s, d), base.answers(s, d))
 
 
+@query
+def coverage_banner(s, d):
+    return report.banner(evaluation.coverage(base.questions(s, d), base.answers(s, d)))
+
+
 @query
 def ragas_input(s, d):
     rows = base.eval_rows(s, d).withColumn("contexts", F.when(F.col("query_id") % 2 == 0, F.col("retrieved_units")).otherwise(F.array().cast("array<string>")))

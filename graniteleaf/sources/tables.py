@@ -95,6 +95,26 @@ def write_index(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def ensure_index(spark: SparkSession, path: str, build) -> DataFrame:
+    """The index at path; where there is none, build() is written there first."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS")):
+        write_index(build(), path)
+    return read_index(spark, path)
+
+
+def read_pages(spark: SparkSession, path: str, mark: str = "eli-subdivision") -> DataFrame:
+    """page_id, url, html of the files under path (a landing zone that something else fills); a page without `mark` is an error, as such pages are error pages."""
+    raw = spark.read.format("binaryFile").load(path)
+    html = F.decode(F.col("content"), "UTF-8")
+    checked = F.when(html.contains(mark), html).otherwise(F.raise_error(F.concat(F.lit("no subdivision in "), F.col("path"))))
+    return raw.select(F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), checked.alias("html"))
+
+
 def append_checkpoint(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").json(path)
 

@@ -46,8 +46,8 @@ def test_queries_without_hits_are_misses(spark):
 
 
 def test_fixtures(spark):
-    q = {n: dict(rows(queries.QUERIES[n](spark, ""))) for n in ("clean_text", "superscript_repair", "parse_citations", "parse_duration", "extract_json", "faithfulness", "model_family")}
-    assert q["clean_text"] == {1: "10^25", 2: "a b", 3: "'x' \"y\"", 4: "two blanks here", 5: "line\none", 6: "", 7: None}
+    q = {n: dict(rows(queries.QUERIES[n](spark, ""))) for n in ("superscript_repair", "parse_citations", "parse_duration", "extract_json", "faithfulness", "model_family")}
+    assert dict(rows(fixture(spark, "clean").select("id", T.clean_text(F.col("s"))))) == {1: "10^25", 2: "a b", 3: "'x' \"y\"", 4: "two blanks here", 5: "line\none", 6: "", 7: None}
     assert q["superscript_repair"][1] == "10^25" and "oj-super" in q["superscript_repair"][2] and "oj-note-tag" in q["superscript_repair"][4]
     assert q["parse_citations"] == {1: "art_99,anx_III,rct_53", 2: "art_99,anx_III", 3: "art_6", 4: "art_i", 5: "art_6", 6: "", 7: ""}
     assert [q["parse_duration"][i] for i in range(1, 7)] == [0.205, 7.66, 3542.4, 3723, 0, 0]
@@ -62,10 +62,73 @@ def test_outline(spark):
     assert got[1] == "Intro\n(a) first\n        (i) deep\n            x" and got[2] == "1 2 3" and got[3] == "a" and got[4] is None
 
 
+def test_outline_of_odd_markup(spark):
+    cases = [
+        "<p>one<p>two<p>three", "<div>" * 2000 + "deep", "<table>" + "<tr><td>a<td><table>" * 300 + "<tr><td>x<td>y", "<table><tr><td></td><td><p>only</p><p>body</p></td></tr></table>",
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>c<td>d</table>after", "<p>5 &amp; 6<br>7</p>", '<div class="oj-note">x<div>y</div></div>z', '<table><tr><td><span class="oj-note-tag">n</td><td>m</td></tr></table>', "", "<script>var a = '<p>';</script>t",
+    ]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, html string").orderBy("id").select(parsing.render_outline("html")).collect()]
+    assert got[0] == "one\ntwo\nthree" and got[1] == "deep" and got[3] == "only\n    body" and got[4] == "a b\nc d\nafter"
+    assert got[2].startswith("a ") and got[2].rstrip().endswith("x y") and got[5] == "5 & 6 7" and got[6] == "z" and got[7] == "m" and got[8] == "" and got[9] == "t"
+
+
+def test_character_references(spark):
+    cases = {"a &amp;lt; b": "a &lt; b", "&lt;p&gt;": "<p>", "&#233;&#xE9;&#x1F600;": "éé😀", "&#38;amp; &amp": "&amp; &", "&#0;&#xD800;": "\ufffd\ufffd", "&bogus; &am": "&bogus; &am", "&#12 x": "&#12 x", "": "", "&#": "&#", "&nbsp;&hellip;": "\u00a0…", "&#038;": "&"}
+    got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.decode_references(F.col("s")))
+    assert dict(rows(got)) == cases
+
+
+def test_padding_stands_before_negative_scores(spark):
+    """700 chunks with the term, whose weight is negative, before 20 empty ones: the first in the ranking are the empty ones."""
+    c = spark.createDataFrame([(i, "article", "word" if i < 700 else "") for i in range(720)], "chunk_id int, kind string, text string")
+    q = spark.createDataFrame([(1, "word"), (2, "none"), (3, None)], "query_id int, question string")
+    odd = DEFAULT.__class__(bm25_floor=-1.0)
+    scored = retrieval.bm25_scores(q, c).withColumn("score", -F.abs("score") - 0.1)
+    pad = retrieval.padding(q, scored, c, 5)
+    assert sorted(rows(pad.select("query_id", "chunk_id"))) == [(1, i) for i in range(700, 705)] + [(2, i) for i in range(5)] + [(3, i) for i in range(5)]
+    ranked = retrieval.bm25(q, c, 25, odd, padded=True).where("query_id = 1").orderBy("rank").collect()
+    assert len(ranked) == 25
+    best = retrieval.top_k(scored.unionByName(pad), 5, 6).where("query_id = 1").orderBy("rank").collect()
+    assert [r["chunk_id"] for r in best] == list(range(700, 705)) and all(r["score"] == 0 for r in best)
+
+
+def test_dense_without_nulls_and_in_tiles(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)] + [(99, None)], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)] + [(9, None)], "query_id long, embedding array<double>")
+    want = sorted(rows(retrieval.dense(q, v, 3)))
+    monkeypatch.setattr(retrieval, "TILE", 16)
+    assert sorted(rows(retrieval.dense(q, v, 3))) == want and len(want) == 21 and {r[1] for r in want if r[0] == 0} == {39, 38, 37}
+
+
+def test_service_side(spark, tmp_path):
+    from graniteleaf.operators import grounding, report
+
+    assert ratelimit.available("groq", {}) is False and ratelimit.available("ollama", {}) and ratelimit.available("x", {}) is False
+    models = spark.createDataFrame([("groq", "b"), ("groq", "a")], "provider string, model string")
+    assert ratelimit.listed_models(models, "groq") == ["a", "b"] and ratelimit.listed_models(spark.range(1), "groq") == []
+    assert issubclass(ratelimit.DailyQuotaExhausted, ratelimit.Unavailable)
+    told = grounding.asked_service(spark.createDataFrame([(1, "p")], "query_id long, prompt string"), lambda p: p.upper())
+    assert rows(told) == [(1, "P")]
+    row = spark.createDataFrame([("q", "a", "[]", 1)], "question string, answer string, context string, place int")
+    for f in (judging.claims_prompt("question" and F.col("question"), F.col("answer")), judging.verify_prompt(F.col("context"), F.lit("0. c")), judging.grade_prompt(F.col("question"), F.lit("r"), F.col("answer"))):
+        assert "a" in row.select(f).first()[0]
+    built = []
+    ensure = lambda: tables.ensure_index(spark, str(tmp_path / "i"), lambda: built.append(1) or spark.range(3))
+    assert ensure().count() == 3 and ensure().count() == 3 and built == [1]
+    lines = report.markdown([("T", row, ["question", "answer"], "place")])
+    assert [r["line"] for r in lines.orderBy("ord").collect()] == ["", "## T", "", "| question | answer |", "|---|---|", "| q | a |"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "a.html").write_text('<div class="eli-subdivision">é</div>')
+    assert "é" in tables.read_pages(spark, str(tmp_path / "p")).first()["html"]
+    (tmp_path / "p" / "b.html").write_text("error")
+    with pytest.raises(Exception, match="no subdivision"):
+        tables.read_pages(spark, str(tmp_path / "p")).collect()
+
+
 def test_headings_and_atoms(spark):
     got = {(r["doc"], r["pos"]): (r["chapter"], r["section"]) for r in parsing.forward_fill_headings(fixture(spark, "blocks")).collect()}
     assert got[1, 3] == ("CHAPTER I", "") and got[1, 6] == ("CHAPTER I", "Section 1") and got[1, 9] == ("Chapter II", "")
-    atoms = [r["atom"] for r in queries.enumerated_atoms(spark, "").where("id = 1").orderBy("pos").collect()]
+    atoms = fixture(spark, "atoms").where("id = 1").select(chunking.atoms(F.col("body"))).first()[0]
     assert atoms == ["1. a\n  b", "(a) c", "(iv) d", "Section A. e\nplain"]
 
 
@@ -131,7 +194,7 @@ def test_failure_taxonomy(spark):
 
 def test_rolling_minute(spark):
     df = spark.createDataFrame([("m", 0, 1), ("m", 50, 2), ("m", 61, 4)], "model string, s int, tokens int").withColumn("ts", F.timestamp_seconds("s"))
-    got = {r["s"]: (r["spent"] + r["tokens"], r["would_block"]) for r in ratelimit.rolling_budget(df, 60, 5).collect()}
+    got = {r["s"]: (r["spent"] + r["tokens"], r["would_block"]) for r in ratelimit.rolling_budget(df, 60, 10, fraction=0.5).collect()}
     assert got == {0: (1, False), 50: (3, False), 61: (6, True)}
 
 
@@ -187,3 +250,13 @@ def test_indexed_bm25_is_the_same(spark, tmp_path):
     indexing.write_lexical_index(indexing.lexical_index(base.corpus(spark, d)), str(tmp_path / "i"))
     got = retrieval.bm25_indexed(base.asked(spark, d), spark.read.parquet(str(tmp_path / "i")), 10)
     assert sorted(rows(got)) == sorted(rows(queries.bm25_topk(spark, d)))
+
+
+def test_command_line(spark, capsys):
+    from graniteleaf.__main__ import main
+
+    main(["/root/testdata/sf0.001", "--query", "provider_lookup"])
+    assert "groq" in capsys.readouterr().out
+    main(["/root/testdata/sf0.001", "--modes", "bm25", "--ks", "3", "--limit", "40"])
+    out = capsys.readouterr().out
+    assert "bm25" in out and "dense" not in out

@@ -13,6 +13,7 @@ TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversati
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
+    c.execute("SET temp_directory = ''")
     for t in TABLES:
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     return c
@@ -33,18 +34,6 @@ def test_same_rows(spark, con, name):
     assert sorted((tuple(plain(x[c]) for c in cols) for x in df.collect()), key=repr) == want
 
 
-def test_approximate_neighbours_are_mostly_the_exact_ones(spark):
-    exact = {(r["query_id"], r["chunk_id"]) for r in queries.dense_topk(spark, DIR).where("rank <= 3").collect()}
-    found = {(r["query_id"], r["chunk_id"]) for r in queries.dense_topk_lsh(spark, DIR).collect()}
-    assert len(exact & found) >= 0.8 * len(exact)
-
-
-def test_every_20th_vector_is_a_query(spark):
-    ids = {r["vec_id"] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").where("vec_id % 20 = 0").collect()}
-    assert {r["query_id"] for r in queries.dense_topk_every_20th(spark, DIR).collect()} == ids
-    assert ids <= {r["query_id"] for r in queries.dense_topk_lsh(spark, DIR).collect()}
-
-
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_approximate_neighbours_reach_the_recall_on_the_whole_top_k(spark, sf):
     v = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
