@@ -101,9 +101,26 @@ def json_text(c: Column) -> Column:
     return F.coalesce(valid(bare), F.when(inner != "", valid(inner)))
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A double with so many digits after the point, rounded from its exact binary value (half to even), as C's printf does; format_string rounds its decimal text half up."""
+    scale = F.lit(float(10**digits))
+
+    def rounded(x: Column) -> Column:
+        p, high = x * scale, x * F.lit(134217729.0)
+        high = high - (high - x)
+        lost = (high * scale - p) + (x - high) * scale  # p + lost is the product without rounding
+        whole = F.floor(p)
+        over = (p - whole - F.lit(0.5)) + lost
+        return whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+
+    n = let(F.abs(c), rounded)
+    text = let(n, lambda v: F.concat(F.call_function("div", v, F.lit(10**digits)).cast("string"), F.lit("."), F.lpad((v % 10**digits).cast("string"), digits, "0")))
+    return F.concat(F.when(c < 0, "-").otherwise(""), text)
+
+
 def percent(c: Column) -> Column:
-    return F.when(c.isNull(), "—").otherwise(F.format_string("%.1f%%", c * 100))
+    return F.when(c.isNull(), "—").otherwise(F.concat(fixed(c * 100, 1), F.lit("%")))
 
 
 def decimal3(c: Column) -> Column:
-    return F.when(c.isNull(), "—").otherwise(F.format_string("%.3f", c))
+    return F.when(c.isNull(), "—").otherwise(fixed(c, 3))

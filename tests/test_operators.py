@@ -72,6 +72,14 @@ def test_outline_of_odd_markup(spark):
     assert got[2].startswith("a ") and got[2].rstrip().endswith("x y") and got[5] == "5 & 6 7" and got[6] == "z" and got[7] == "m" and got[8] == "" and got[9] == "t"
 
 
+def test_fixed_digits_as_printf(spark):
+    rng = __import__("random").Random(3)
+    values = [0.4295, 0.0005, 0.0015, 0.1235, 1.0, 0.0, -0.25, 12.3456, 0.9995, *[round(rng.random(), 4) for _ in range(400)]]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for d in (1, 3):
+        assert [r[0] for r in df.select(T.fixed(F.col("x"), d)).collect()] == [f"{v:.{d}f}" for v in values]
+
+
 def test_character_references(spark):
     cases = {"a &amp;lt; b": "a &lt; b", "&lt;p&gt;": "<p>", "&#233;&#xE9;&#x1F600;": "éé😀", "&#38;amp; &amp": "&amp; &", "&#0;&#xD800;": "\ufffd\ufffd", "&bogus; &am": "&bogus; &am", "&#12 x": "&#12 x", "": "", "&#": "&#", "&nbsp;&hellip;": "\u00a0…", "&#038;": "&"}
     got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", T.decode_references(F.col("s")))
