@@ -37,18 +37,23 @@ def repair_superscripts(html: Column) -> Column:
 
 def decode_references(c: Column) -> Column:
     """Character references of HTML as characters: the named ones of REFERENCES and numeric ones, each once; others stay as they are."""
+    return let(c, lambda x: F.when(x.contains("&"), _decoded(x)).otherwise(x))
+
+
+def _decoded(c: Column) -> Column:
     for name, sign in REFERENCES.items():
-        c = F.regexp_replace(c, f"&{name};", sign)
+        c = F.replace(c, F.lit(f"&{name};"), F.lit(sign))
     c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&lt(?![a-zA-Z;])", "<"), "&gt(?![a-zA-Z;])", ">"), "&quot(?![a-zA-Z;])", '"')
-    parts = F.split(c, "&#(?=(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)(?!38;|[xX]0{0,4}26;)")
+    opener = "&#(?=(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)(?!0{0,4}38;|[xX]0{0,4}26;)"
 
-    def decoded(p: Column, i: Column) -> Column:
+    def one(p: Column, i: Column) -> Column:
         code = F.substring_index(p, ";", 1)
         number = F.when(F.rlike(code, F.lit("^[xX]")), F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("long")
         sign = F.when((number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
         return F.when(i == 0, p).otherwise(F.concat(sign, F.substr(p, F.length(code) + 2)))
 
-    return F.regexp_replace(F.array_join(F.transform(parts, decoded), ""), "&(?:amp;?|#38;|#[xX]0{0,4}26;)", "&")
+    numbers = lambda x: F.when(x.contains("&#"), F.array_join(F.transform(F.split(x, opener), one), "")).otherwise(x)
+    return F.regexp_replace(let(c, numbers), "&(?:amp;?|#0{0,4}38;|#[xX]0{0,4}26;)", "&")
 
 
 def words(c: Column) -> Column:
