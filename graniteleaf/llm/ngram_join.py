@@ -26,6 +26,8 @@ from graniteleaf.llm.textops import Words, chunks, mix
 
 WIDTH, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.9999, 5
 BLOCK = 512
+#: Keys that are sent to the texts (about 50 MB); of more, the texts are shuffled to the keys.
+SENT_KEYS = 500_000
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -244,7 +246,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     members = stored(groups.join(sizes, "root").select(F.col("node").alias("key"), F.col("root").alias("grp"), "n"), "join-groups")
     # one text of each class, taken map-side first, so that a class with many copies does not gather in one task
-    texts = ids.groupBy(word_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"))
+    texts = ids.select(word_key(F.col("text")).alias("key"), "text")
+    if members.count() <= SENT_KEYS:
+        texts = texts.join(F.broadcast(members.select("key")), "key", "left_semi")
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"))
     texts = texts.join(members, "key").join(classes.select("key", "copies"), "key")
     cut = _blocks(texts, "grp", "n").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     found = stored(cut.mapInPandas(lambda it: links(it, width, threshold), "key binary, n long, other binary"), "join-links")
@@ -263,12 +268,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     All columns stay. In a class without any id one row of each sequence of words stays. Nulls, repeated rows and empty
     tables as in join().
     """
-    classes = join(docs, id_col, text_col, **how).select("key", F.col(id_col).cast("long").alias("_i"), "class_id")
-    # the class of least id keeps its key's rows; without any id the least key stands for a class
-    named = classes.groupBy("key").agg(F.min("_i").alias("_i"), F.first("class_id").alias("class_id"))
-    chosen = named.where(F.col("_i").eqNullSafe(F.col("class_id"))).select("key", F.col("_i").alias("_least"))
+    each = join(docs, id_col, text_col, **how).groupBy("key", F.col(id_col).cast("long").alias("_least")).agg(F.first("class_id").alias("_class"), F.count("*").alias("_n"))
+    each = stored(each, "join-each")
+    stays = F.col("_least").eqNullSafe(F.col("_class"))  # the key's rows of that id
     rows = docs.select(F.struct("*").alias("_all"), F.col(id_col).cast("long").alias("_i"), word_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_k"))
-    # met by key and id together, so that the copies of a text do not gather in one task
-    rows = rows.join(chosen, (F.col("_k") == F.col("key")) & F.col("_i").eqNullSafe(F.col("_least")))
+    same = (F.col("_k") == F.col("key")) & F.col("_i").eqNullSafe(F.col("_least"))
     # rows alike in key and id: any one of them
-    return rows.groupBy("_k", "_i").agg(F.first("_all").alias("_all")).select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])
+    once = lambda r: r.groupBy("_k", "_i").agg(F.first("_all").alias("_all")).select("_all", "_i", "_k")
+    gone, twice = (each.where(c).select("key", "_least") for c in (~stays, stays & (F.col("_n") > 1)))
+    if gone.count() + twice.count() <= SENT_KEYS:
+        rows = rows.join(F.broadcast(gone), same, "left_anti")
+        if not twice.isEmpty():
+            rows = rows.join(F.broadcast(twice), same, "left_anti").unionByName(once(rows.join(F.broadcast(twice), same, "left_semi")))
+    else:  # met by key and id together, so that the copies of a text do not gather in one task
+        rows = once(rows.join(each.where(stays).select("key", "_least"), same, "left_semi"))
+    return rows.select(*[F.col("_all").getField(c).alias(c) for c in docs.columns])

@@ -57,7 +57,9 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
-def test_join_finds_all_links(docs, corpus, empty):
+@pytest.mark.parametrize("sent", [500_000, 0])
+def test_join_finds_all_links(docs, corpus, empty, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT_KEYS", sent)
     sets = [shingles(d[1]) for d in corpus]
     near = [[j for j in range(len(sets)) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9] for i in range(len(sets))]
     root = list(range(len(sets)))
@@ -69,7 +71,9 @@ def test_join_finds_all_links(docs, corpus, empty):
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.join(docs).collect()) == want
     assert ngram_join.join(empty).count() == 0
     kept = ngram_join.one_of_each(docs)
-    assert kept.columns == docs.columns and kept.count() == len(set(root))
+    assert kept.columns == docs.columns
+    by = {corpus[i][0]: root[i] for i in range(len(sets)) if corpus[i][0] is not None}
+    assert sorted(by[r["doc_id"]] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted({by[i] for i in by}) and kept.count() == len(set(root))
 
 
 def test_join_splits_large_groups(spark, monkeypatch):
