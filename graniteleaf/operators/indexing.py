@@ -81,5 +81,5 @@ def lexical_index(corpus: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def write_lexical_index(postings: DataFrame, path: str) -> None:
-    """Ranges of terms a file, sorted inside, so a query's terms skip most row groups."""
-    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
+    """Ranges of terms and chunks a file, sorted inside, so a query's terms skip most row groups, and a frequent term fills several files."""
+    postings.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(path)
