@@ -92,8 +92,8 @@ def _is_word(unit: str) -> bool:
     return unit[:1] == " " and unit[1:].isalpha()
 
 
-def _learn(library: _Library, lengths: dict[str, int], new: list[str]) -> None:
-    """Add the lengths of new units. Signs that follow the letters of a word are a pre-token of their own, so `word`, `word,` and `word.` are encoded once."""
+def _learn(library: _Library, lengths: dict[str, int], new: list[str]) -> list[str]:
+    """Add the lengths of new units; returns all that was added. Signs that follow the letters of a word are a pre-token of their own, so `word`, `word,` and `word.` are encoded once."""
     parts = {u: u.rstrip(SIGNS) for u in new}
     split = [(u, w, u[len(w) :]) for u, w in parts.items() if len(w) < len(u) and _is_word(w)]
     both = {x for _, w, tail in split for x in (w, tail) if x not in lengths}
@@ -107,6 +107,7 @@ def _learn(library: _Library, lengths: dict[str, int], new: list[str]) -> None:
         some = others[i : i + 4096]
         lengths.update(zip(some, library.lengths(some), strict=True))
     lengths.update((u, lengths[w] + lengths[tail]) for u, w, tail in split)
+    return [*new, *both]
 
 
 def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[int]:
@@ -129,11 +130,11 @@ def count_texts(texts: list[str], path: str, frequent: dict[str, int]) -> list[i
         known["lengths"] = dict(frequent)
         new = [u for u in met if u not in frequent]
     lengths = known["lengths"]
-    _learn(library, lengths, new)
+    added = _learn(library, lengths, new)
     out = [library.lengths([t])[0] if units is None else sum(map(lengths.__getitem__, units)) for t, units in zip(texts, cut, strict=True)]
-    for u in new:
+    for u in added:
         if len(u) > LONGEST:
-            del lengths[u]
+            lengths.pop(u, None)
     return out
 
 
