@@ -118,8 +118,9 @@ def test_service_side(spark, tmp_path):
     told = grounding.asked_service(spark.createDataFrame([(1, "p")], "query_id long, prompt string"), lambda p: p.upper())
     assert rows(told) == [(1, "P")]
     row = spark.createDataFrame([("q", "a", "[]", 1)], "question string, answer string, context string, place int")
-    for f in (judging.claims_prompt("question" and F.col("question"), F.col("answer")), judging.verify_prompt(F.col("context"), F.lit("0. c")), judging.grade_prompt(F.col("question"), F.lit("r"), F.col("answer"))):
+    for f in (judging.claims_prompt(F.col("question"), F.col("answer")), judging.verify_prompt(F.col("context"), F.lit("0. c")), judging.grade_prompt(F.col("question"), F.lit("r"), F.col("answer"))):
         assert "a" in row.select(f).first()[0]
+    assert evaluation.to_save(row.withColumn("contexts", F.array(F.lit("c")))).columns == row.columns
     built = []
     ensure = lambda: tables.ensure_index(spark, str(tmp_path / "i"), lambda: built.append(1) or spark.range(3))
     assert ensure().count() == 3 and ensure().count() == 3 and built == [1]
