@@ -6,8 +6,28 @@ from graniteleaf.llm import quality_rules as rules
 from graniteleaf.llm.mixing import BITS, FINE, SEED
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Shards of op4, as its contract says.
+SHARDS = 24
 _WORD = r"[^\x20\x09-\x0D]+"
 
+def _crc(byte: int) -> int:
+    """The entry of a byte in the table of CRC-32 (reflected polynomial)."""
+    for _ in range(8):
+        byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+#: DuckDB has no crc32: it is folded over the bytes. ntile() gives the cuts, larger shards first.
+OP4 = f"""
+WITH b AS (SELECT row_number() OVER () AS rid, doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT rid, doc_id, source, (length(h) // 2 + 8)::BIGINT AS size,
+  xor(list_reduce(list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, list_extract({[_crc(i) for i in range(256)]}::BIGINT[], xor(c & 255, x) + 1)), 4294967295::BIGINT), 4294967295::BIGINT) AS crc FROM b),
+k AS (SELECT *, ('0x' || substr(md5('shard-7|' || coalesce(doc_id::VARCHAR, '~') || '|' || crc::VARCHAR || '|' || size::VARCHAR), 1, 15))::BIGINT AS key FROM c),
+f AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, crc) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS part FROM k),
+s AS (SELECT *, (ntile({SHARDS}) OVER w - 1)::INTEGER AS shard, row_number() OVER w AS place FROM f WINDOW w AS (ORDER BY part, source NULLS FIRST, key, doc_id NULLS FIRST, crc, rid))
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, shard, place - min(place) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
+
 OP5 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 e AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
@@ -78,4 +98,4 @@ e AS (SELECT ff.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM e
 """
 
-ORACLE_SQL = {"op5_line_dedup": OP5, "op6_chat_format": OP6, "op7_mixing": OP7, "op9_quality_rules": OP9}
+ORACLE_SQL = {"op4_sharding": OP4, "op5_line_dedup": OP5, "op6_chat_format": OP6, "op7_mixing": OP7, "op9_quality_rules": OP9}

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, token_counts
 from graniteleaf.llm.common import table
-from graniteleaf.llm.oracles import ORACLE_SQL  # noqa: F401
-
-N_SHARDS = 24
+from graniteleaf.llm.oracles import ORACLE_SQL, SHARDS  # noqa: F401
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -31,7 +29,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), N_SHARDS)
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
