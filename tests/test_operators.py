@@ -108,6 +108,23 @@ def test_dense_without_nulls_and_in_tiles(spark, monkeypatch):
     assert sorted(rows(retrieval.dense(q, v, 3))) == want and len(want) == 21 and {r[1] for r in want if r[0] == 0} == {39, 38, 37}
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_neighbours_among_many_equal_vectors(spark, monkeypatch, kind):
+    """A third of all vectors are one; ties go to the least ids, in tiles of any size, and no more than k a query leave a task."""
+    name = (lambda i: i) if kind == "long" else (lambda i: f"v{i:03}")
+    flat = [(name(i), [1.0, 0.0] if i % 3 == 0 else [math.cos(i), math.sin(i)]) for i in range(120)]
+    v = spark.createDataFrame(flat[::-1], f"chunk_id {kind}, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, [math.cos(i / 9), math.sin(i / 9)]) for i in range(5)], "query_id long, embedding array<double>")
+    score = lambda a, b: round(a[0] * b[0] + a[1] * b[1], 5)
+    want = []
+    for i in range(5):
+        own = [math.cos(i / 9), math.sin(i / 9)]
+        want += [(i, n) for _, n in sorted((-score(own, e), n) for n, e in flat)[:4]]
+    monkeypatch.setattr(retrieval, "TILE", 70)
+    for found in (retrieval.dense(q, v, 4), retrieval.dense_lsh(q, v, 4, width=100.0)):
+        assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == sorted(want)
+
+
 def test_service_side(spark, tmp_path):
     from graniteleaf.operators import grounding, report
 
