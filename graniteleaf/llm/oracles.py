@@ -17,6 +17,11 @@ def _crc(byte: int) -> int:
     return byte
 
 
+def _crc_of(hexes: str) -> str:
+    """CRC-32 of bytes as hex digits, folded over the bytes."""
+    return f"xor(list_reduce(list_transform(regexp_extract_all({hexes}, '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, list_extract({[_crc(i) for i in range(256)]}::BIGINT[], xor(c & 255, x) + 1)), 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 #: DuckDB has no crc32: it is folded over the bytes. ntile() gives the cuts, larger shards first.
 OP4 = f"""
 WITH b AS (SELECT row_number() OVER () AS rid, doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
@@ -98,4 +103,22 @@ e AS (SELECT ff.*, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT above AS kept FROM e
 """
 
-ORACLE_SQL = {"op4_sharding": OP4, "op5_line_dedup": OP5, "op6_chat_format": OP6, "op7_mixing": OP7, "op9_quality_rules": OP9}
+#: Near words by all ways of leaving a letter out; roots by following one form after the other.
+OP11 = f"""
+WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+c AS (SELECT id, run, count(*) AS c FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (SELECT run, c, {_crc_of("hex(encode(id || ':' || run))")} AS h FROM c),
+k AS (SELECT c, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM k WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+a AS (SELECT word, unnest(range(length(word))) AS i FROM v),
+f AS MATERIALIZED (SELECT word, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM a),
+p AS MATERIALIZED (SELECT x.word AS a, y.word AS b FROM f AS x JOIN f AS y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION SELECT f.word, v.word FROM f JOIN v ON rest = v.word UNION SELECT v.word, f.word FROM f JOIN v ON rest = v.word),
+b AS (SELECT a AS word, count(*) AS n_near, arg_min(v.word, (-v.n, v.word)) AS best, max(v.n) AS best_n FROM p JOIN v ON p.b = v.word GROUP BY a),
+g AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+w AS (SELECT word, form AS root FROM g WHERE form IS NOT NULL UNION ALL SELECT w.word, g.form FROM w JOIN g ON w.root = g.word WHERE g.form IS NOT NULL),
+z AS (SELECT w.word, w.root FROM w JOIN g ON w.root = g.word WHERE g.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM g LEFT JOIN z USING (word)
+"""
+
+ORACLE_SQL = {"op4_sharding": OP4, "op5_line_dedup": OP5, "op6_chat_format": OP6, "op7_mixing": OP7, "op9_quality_rules": OP9, "op11_spelling": OP11}
