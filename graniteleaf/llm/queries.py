@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteleaf.llm import chat_format, decontaminate, line_dedup, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, spelling, token_counts, whitening
+from graniteleaf.llm import chat_format, decontaminate, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, secret_scan, sharding, spelling, token_counts, whitening
 from graniteleaf.llm.common import table
 from graniteleaf.llm.oracles import ORACLE_SQL, SHARDS  # noqa: F401
 
@@ -69,4 +69,8 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.components(table(spark, sf_dir, "embeddings"), scale=256, first=4).withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_ngram_join, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts, op10_decontamination, op11_spelling, op12_whitening)}
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(table(spark, sf_dir, "documents"), folds=4, held=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_ngram_join, op4_sharding, op5_line_dedup, op6_chat_format, op7_mixing, op9_quality_rules, op8_token_counts, op10_decontamination, op11_spelling, op12_whitening, op13_language_id)}
