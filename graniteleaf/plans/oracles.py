@@ -141,17 +141,21 @@ def _decoded(c: str) -> str:
     return c
 
 
-_TEXT = "regexp_replace(regexp_replace(regexp_replace(x, '(?is)^<[^>]*>', ''), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
+_RAW = "regexp_replace(regexp_replace(x, '(?is)^<[^>]*>', ''), '<[^>]*>', ' ', 'g')"
+_TEXT = f"regexp_replace({_RAW}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')"
 #: No look-ahead in RE2: the page is cut at every mark that opens or ends a block, and the cuts that a block opens are kept.
 BLOCKS = rf"""cut AS (SELECT page_id, string_split(regexp_replace({_BARE}, '(?i){_NEXT}', chr(2) || '\0', 'g'), chr(2)) AS c FROM pages),
 pce AS (SELECT page_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM cut), op AS (SELECT *, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INTEGER AS pos FROM pce WHERE regexp_matches(x, '(?is)^<(h1|p|li|div)\b[^>]*>')),
 blocks AS (SELECT page_id, pos, lower(regexp_extract(x, '(?is)^<(h1|p|li|div)\b', 1)) AS tag, regexp_extract(x, '(?is)^<[^>]*\sclass="([^"]*)"', 1) AS classes, regexp_extract(x, '(?is)^<[^>]*\sid="([^"]*)"', 1) AS element_id, {_CLEAN.format(_decoded(_TEXT))} AS text FROM op)"""
-_PAGE_TEXT = "SELECT page_id, string_agg(text, chr(10) ORDER BY pos) AS text FROM blocks WHERE text <> '' GROUP BY 1"
+#: Every piece between two marks is a line of the page's outline: elements without tables, so nothing is indented.
+_LINES = f"""bod AS (SELECT page_id, string_split(regexp_replace(regexp_replace({_BARE}, '(?is)^.*<body>', ''), '(?i){_NEXT}', chr(2) || '\\0', 'g'), chr(2)) AS c FROM pages),
+lin AS (SELECT page_id, i, t FROM (SELECT page_id, i, {_CLEAN.format(_decoded(_RAW))} AS t FROM (SELECT page_id, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM bod)) WHERE t <> '')"""
+_PAGE_TEXT = "SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM lin GROUP BY 1"
 _UNITS = [
-    (1, "art_1", "article", "Article 1 - Scope", "Scope", "CHAPTER I", "CHAPTER I - General & first", "[CHAPTER I - General & first] ", "1. This <rule> holds.\n2. Also—here."),
-    (1, "art_2", "article", "Article 2", "", "CHAPTER I", "CHAPTER I - General & first", "[CHAPTER I - General & first] ", "Only a body."),
-    (1, "anx_I", "annex", "ANNEX I - Lists", "Lists", "Annexes", "Annexes", "[Annexes] ", "(a) one"),
-    (2, "rct_3", "recital", "Recital (3)", "", "Recitals", "Recitals (non-binding interpretive context)", "[Recitals (non-binding interpretive context)] ", "Whereas x."),
+    (1, "art_1", "article", "Article 1 - Scope", "Scope", "CHAPTER I", "CHAPTER I - General & first", "1. This <rule> holds.\n2. Also—here."),
+    (1, "art_2", "article", "Article 2", "", "CHAPTER I", "CHAPTER I - General & first", "Only a body."),
+    (1, "anx_I", "annex", "ANNEX I - Lists", "Lists", "Annexes", "Annexes", "(a) one"),
+    (2, "rct_3", "recital", "Recital (3)", "", "Recitals", "Recitals (non-binding interpretive context)", "Whereas x."),
 ]
 
 O: dict[str, str] = {
@@ -164,9 +168,14 @@ O: dict[str, str] = {
     "superscript_repair": rf"""SELECT id, CASE WHEN contains(html, 'oj-note-tag') THEN html ELSE regexp_replace(html, '(\d)(\s*)<span class="oj-super">\s*(\d+)\s*</span>', '\1\2^\3', 'g') END AS repaired FROM {values("supers")}""",
     "drop_blocks": f"SELECT doc, pos, text FROM {values('blocks')} WHERE NOT (contains(classes, 'oj-note') OR contains(classes, 'oj-ti-art') OR contains(classes, 'oj-sti-art') OR contains(classes, 'oj-doc-ti'))",
     "page_blocks": f"WITH {BLOCKS} SELECT * FROM blocks WHERE text <> ''",
-    "page_text": f"WITH {BLOCKS} {_PAGE_TEXT}",
-    "page_chunks": f"{RECURSIVE}{BLOCKS}, documents AS (SELECT page_id AS doc_id, text, 'page' AS source, 'html' AS lang FROM ({_PAGE_TEXT})), {CHUNKS} SELECT chunk_id, unit_id, part, n_parts, body, text, n_tokens FROM ct",
-    "page_units": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join([str(p), *(_literal(x) for x in (i, k, c, t, ch, ct, f"{BASE_URL}#{i}", b, f"{head}{c}\n{b}"))]) + ")" for p, i, k, c, t, ch, ct, head, b in _UNITS) + ") AS v(page_id, chunk_id, kind, citation, title, chapter, chapter_title, url, body, text)",
+    "page_text": f"WITH {_LINES} {_PAGE_TEXT}",
+    "page_chunks": f"{RECURSIVE}{_LINES}, documents AS (SELECT page_id AS doc_id, text, 'page' AS source, 'html' AS lang FROM ({_PAGE_TEXT})), {CHUNKS} SELECT chunk_id, unit_id, part, n_parts, body, text, n_tokens FROM ct",
+    "page_units": f"""WITH pages AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS art FROM pages), {_LINES.replace("pages)", "(SELECT page_id, art AS html FROM pages))")},
+lnk AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) AS ls FROM pages), one AS (SELECT page_id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i FROM lnk),
+rws AS (SELECT page_id, string_agg('(' || i || ') ' || {_CLEAN.format(_decoded("x"))} || CASE WHEN i % 2 = 0 THEN chr(10) || repeat(' ', 8) || '(a) 10^' || i || ' x' || chr(10) || repeat(' ', 20) || 'second' || chr(10) || repeat(' ', 8) || '1 2 3' ELSE '' END, chr(10) ORDER BY i) AS r FROM one GROUP BY 1)
+SELECT page_id, 'art_' || page_id AS unit_id, 'article' AS kind, 'Article ' || page_id || ' - Links' AS citation, 'Links' AS title, 'Chapter ' || page_id AS chapter, 'Chapter ' || page_id || ' - Pages' AS chapter_title, '{BASE_URL}#art_' || page_id AS url,
+  concat_ws(chr(10), t.text, r, 'after', 'inner', 'tail') AS body FROM pages LEFT JOIN ({_PAGE_TEXT}) t USING (page_id) LEFT JOIN rws USING (page_id)
+UNION ALL SELECT * FROM (VALUES """ + ", ".join("(" + ", ".join([str(-p), *(_literal(x) for x in (i, k, c, t, ch, ct, f"{BASE_URL}#{i}", b))]) + ")" for p, i, k, c, t, ch, ct, b in _UNITS) + ") AS v(page_id, unit_id, kind, citation, title, chapter, chapter_title, url, body)",
     "heading_ffill": f"""WITH b AS (SELECT *, contains(classes, 'oj-ti-section-1') AS h, upper(text) LIKE 'CHAPTER%' AS c, upper(text) LIKE 'SECTION%' AS s, contains(classes, 'oj-ti-section-2') AS t FROM {values("blocks")}),
 p AS (SELECT *, max(CASE WHEN h AND c THEN pos END) OVER w AS cp, max(CASE WHEN h AND s THEN pos END) OVER w AS sp FROM b WINDOW w AS (PARTITION BY doc ORDER BY pos)),
 q AS (SELECT *, CASE WHEN sp > coalesce(cp, 0) THEN sp END AS own FROM p),

@@ -88,22 +88,35 @@ def page_blocks(s, d):
 
 @query
 def page_text(s, d):
-    return parsing.page_text(table(s, d, "pages"))
+    """The outline of each page's body."""
+    return parsing.page_outline(table(s, d, "pages"))
 
 
 @query
 def page_chunks(s, d):
     """From html to chunks: every page's text as a unit."""
     p = table(s, d, "pages").select("page_id", "html")
-    u = parsing.page_text(p).select(F.concat(F.lit("doc_"), F.col("page_id").cast("string")).alias("unit_id"), F.lit("article").alias("kind"), F.concat(F.lit("Document "), F.col("page_id").cast("string")).alias("citation"), *[F.lit(v).alias(c) for c, v in (("title", ""), ("chapter", "page"), ("chapter_title", ""), ("section", "html"), ("section_title", ""))], F.lit("").alias("url"), F.col("text").alias("body"))
+    u = parsing.page_outline(p).select(F.concat(F.lit("doc_"), F.col("page_id").cast("string")).alias("unit_id"), F.lit("article").alias("kind"), F.concat(F.lit("Document "), F.col("page_id").cast("string")).alias("citation"), *[F.lit(v).alias(c) for c, v in (("title", ""), ("chapter", "page"), ("chapter_title", ""), ("section", "html"), ("section_title", ""))], F.lit("").alias("url"), F.col("text").alias("body"))
     return chunking.chunk_units(u).select("chunk_id", "unit_id", "part", "n_parts", "body", "text", "n_tokens")
 
 
+def _marked_up(pages):
+    """Pages as marked-up documents: the article as a unit with heading and titles, its links as rows of a table, with tables inside, and text after closed elements."""
+    links = F.regexp_extract_all("html", F.lit('<li><a href="[^"]*">([^<]*)</a></li>'), F.lit(1))
+    inner = lambda i: F.concat(F.lit('<table><tr><td>(a)</td><td><p>10<span class="oj-super">'), i.cast("string"), F.lit("</span> x</p><p>second</p></td></tr><tr><td>1<td>2<td>3</table>"))
+    row = lambda x, i: F.concat(F.lit("<tr><td><p>("), i.cast("string"), F.lit(")</p></td><td>"), F.when(i % 3 == 0, x).otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>"))), F.when(i % 2 == 0, inner(i)).otherwise(""), F.lit("</td></tr>"))
+    n = F.col("page_id").cast("string")
+    return pages.select("page_id", F.concat(
+        F.lit('<div class="eli-container"><p class="oj-ti-section-1">Chapter '), n, F.lit('</p><p class="oj-ti-section-2">Pages</p><div class="eli-subdivision" id="art_'), n, F.lit('"><p class="oj-ti-art">Article '), n, F.lit('</p><p class="oj-sti-art">Links`</p>'),
+        F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), F.lit("<table>"), F.array_join(F.transform(links, row), ""), F.lit('</table>after<div>inner</div>tail<p class="oj-note">no</p></div></div>'),
+    ).alias("html"))
+
+
 @query
 def page_units(s, d):
-    """Marked-up pages: elements, headings, kinds, units and their chunks."""
-    u = parsing.page_units(fixture(s, "marked_pages"), base.BASE_URL)
-    return chunking.chunk_units(u.drop("meta")).select("page_id", "chunk_id", "kind", "citation", "title", "chapter", "chapter_title", "url", "body", "text")
+    """Units of marked-up pages: fixtures (ids below 0) and all of `pages`."""
+    pages = fixture(s, "marked_pages").select((-F.col("page_id")).cast("long").alias("page_id"), "html").unionByName(_marked_up(table(s, d, "pages")))
+    return parsing.page_units(pages, base.BASE_URL).select("page_id", "unit_id", "kind", "citation", "title", "chapter", "chapter_title", "url", "body")
 
 
 @query

@@ -286,3 +286,49 @@ def test_command_line(spark, capsys):
     main(["/root/testdata/sf0.001", "--modes", "bm25", "--ks", "3", "--limit", "40"])
     out = capsys.readouterr().out
     assert "bm25" in out and "dense" not in out
+
+
+# the element tree
+
+
+def _tree_cases() -> list[str]:
+    return [
+        "<p>one<p>two<p>three", "<div>" * 50 + "deep", "<table>" + "<tr><td>a<td><table>" * 30 + "<tr><td>x<td>y", "<table><tr><td></td><td><p>only</p><p>body</p></td></tr></table>",
+        "<table><tr><td>a</td><td>b</td></tr><tr><td>c<td>d</table>after", "<p>5 &amp; 6<br>7</p>", '<div class="oj-note">x<div>y</div></div>z', "", "<script>var a = '<p>';</script>t", "<!-- <p>no</p> --><p>a</p><style>p</style>",
+        "<div><p>Intro</p><table><tr><td>(a)</td><td><p>first</p><table><tr><td>(i)</td><td>deep <b>x</b></td></tr></table></td></tr></table></div>", "<table><tr><td>1</td><td>2</td><td>3</td></tr></table>", '<p>a</p><p class="oj-note">n</p>',
+        "Intro:<table><tr><td><p>(a)</p></td><td><p>first point</p></td></tr><tr><td>(b)</td><td>second point</td></tr></table>tail<div>x</div>more", "<table><tr><td></td><td><table><tr><td>k</td><td>v</td></tr><tr><td>k2</td><td>v2</td></tr></table></td></tr></table>",
+        "<table><tr><td>m</td><td><table><tr><td>1</td><td>2</td><td>3</td></tr></table>end</td></tr></table>", "<table><tr><td><table><tr><td>i</td><td>j</td></tr></table></td><td>B</td><td>C</td></tr></table>", "a\n\nb<p>c\n\n d</p><table><tr><td>m</td><td>x\n\ny<p>z\nw</p></td></tr></table>",
+    ]
+
+
+def test_outlines_of_the_tree_are_those_of_the_pages(spark):
+    cases = _tree_cases()
+    df = spark.createDataFrame([(i, f"<body>{c}") for i, c in enumerate(cases)], "page_id int, html string")
+    want = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, html string").orderBy("id").select(parsing.render_outline("html")).collect()]
+    got = dict(rows(parsing.page_outline(df)))
+    assert [got.get(i, "") for i in range(len(cases))] == want
+
+
+def test_tree_intervals_and_holders(spark):
+    html = "<div><p>a<b>c</b>d<p>e</div><div>f<div>g<div></div></div></div>tail"
+    nodes = parsing.page_nodes(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id int, html string"))
+    n = {r["pre"]: r for r in nodes.collect()}
+    assert {r["page_id"] for r in n.values()} == {1} and sorted(n) == list(range(len(n)))
+    for a in n.values():
+        assert a["pre"] <= a["last"] and (a["parent"] == -1 or n[a["parent"]]["pre"] < a["pre"] <= a["last"] <= n[a["parent"]]["last"])
+    inside = {(r["pre"], r["level"], r["holder"]) for r in parsing.holders(nodes, F.col("tag") == "div", F.lit(True)).collect()}
+    want = set()
+    for a in n.values():
+        over = sorted(b["pre"] for b in n.values() if b["tag"] == "div" and b["pre"] < a["pre"] <= b["last"])
+        want |= {(a["pre"], i + 1, h) for i, h in enumerate(over)}
+    assert inside == want
+
+
+def test_units_keep_all_their_text(spark):
+    html = """<div class="eli-subdivision" id="art_51"><p class="oj-ti-art">Article 51</p><div><p class="oj-sti-art">Models`</p></div>Intro:<table><tr><td><p>(a)</p></td><td><p>first <b>point</b> here</p></td></tr>
+    <tr><td>(b)</td><td>second point</td></tr></table><p>greater than 10<span class="oj-super">25</span> flops<span class="oj-super oj-note-tag">7</span>, word<span class="oj-super">1</span></p><div><p>in</p>after child</div>
+    <div class="eli-subdivision" id="rct_9"><p>(9) Inner unit.</p></div></div>"""
+    got = {r["unit_id"]: r for r in parsing.page_units(spark.createDataFrame([(1, html), (2, "<p>none</p>")], "page_id int, html string"), "u").collect()}
+    assert set(got) == {"art_51", "rct_9"} and got["art_51"]["citation"] == "Article 51 - Models"
+    assert got["art_51"]["body"] == "Intro:\n(a) first point here\n(b) second point\ngreater than 10^25 flops 7 , word 1\nin\nafter child\n(9) Inner unit."
+    assert got["rct_9"]["body"] == "Inner unit." and got["rct_9"]["chapter"] == "Recitals"
