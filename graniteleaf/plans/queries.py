@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
-from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, ratelimit, report, retrieval
+from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, ratelimit, report, retrieval, vector_index
 from graniteleaf.plans import base
 from graniteleaf.plans.fixtures import fixture
-from graniteleaf.sources.tables import table
+from graniteleaf.sources.tables import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KS, WEIGHTS, K = [3, 5, 6, 10], list(DEFAULT.weights), DEFAULT.top_k
@@ -247,6 +248,15 @@ def dense_topk_lsh(s, d):
     return retrieval.dense_lsh(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), v.select(F.col("vec_id").alias("chunk_id"), "embedding"), 10)
 
 
+@query
+def dense_topk_index(s, d):
+    """The queries of dense_topk by a stored index of quantised lists, built here."""
+    v = _vectors(s, d)
+    path = f"{shared_dir(s)}/vector-index-{uuid.uuid4().hex}"
+    vector_index.build(v.select(F.col("vec_id").alias("chunk_id"), "embedding"), path)
+    return vector_index.search(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), path, 10)
+
+
 def _fused(s, d, weights):
     return retrieval.fused(base.runs(s, d), base.corpus(s, d).select("chunk_id", "kind"), K, weights)
 
