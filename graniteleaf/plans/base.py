@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
-from graniteleaf.operators import evaluation, grounding, metrics, retrieval
+from graniteleaf.operators import evaluation, grounding, matching, metrics, retrieval
 from graniteleaf.operators.judging import validated_grade
 from graniteleaf.sources.tables import stored, table
 
@@ -29,16 +29,21 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """query_id, ord, question, gold_units (documents that hold the question's text), type, reference.
 
-    The questions are the stated query set; Spark broadcasts them if their size allows.
+    The questions are the stated query set; documents are read once for all of them.
     """
     q = asked(spark, d)
-    docs = corpus(spark, d).select("chunk_id", "text")
-    gold = stored(docs.join(q, F.col("text").contains(F.col("question"))).groupBy("query_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("g")), "gold")
+    held = matching.containing(corpus(spark, d).select(F.col("chunk_id").alias("text_id"), "text"), q.select(F.col("query_id").alias("pattern_id"), F.col("question").alias("pattern")))
+    gold = stored(held.groupBy(F.col("pattern_id").alias("query_id")).agg(F.array_sort(F.collect_list("text_id")).alias("g")), "gold")
     q = q.join(gold, "query_id", "left").withColumn("gold_units", F.coalesce("g", F.array().cast("array<bigint>"))).drop("g")
     n = F.size("gold_units")
     return q.withColumns({"ord": F.col("query_id"), "type": F.when(n == 0, "unanswerable").when(n == 1, "single_hop").otherwise("multi_hop"), "reference": F.concat(F.lit("ref "), F.col("query_id").cast("string"))})
 
 
+def listed(spark: SparkSession, d: str) -> DataFrame:
+    """query_id, ord: what needs no gold."""
+    return asked(spark, d).select("query_id", F.col("query_id").alias("ord"))
+
+
 def runs(spark: SparkSession, d: str, depth: int = POOL) -> dict[str, DataFrame]:
     c, q = corpus(spark, d), asked(spark, d)
     return {m: stored(retrieval.search(q, c, depth, m), f"run-{m}") for m in ("bm25", "dense")}  # searched once, whatever reads them

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
-from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, ratelimit, report, retrieval, vector_index
+from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, postings, ratelimit, report, retrieval, vector_index
 from graniteleaf.plans import base
 from graniteleaf.plans.fixtures import fixture
 from graniteleaf.sources.tables import shared_dir, table
@@ -224,6 +224,14 @@ def bm25_topk_padded(s, d):
     return retrieval.bm25(q.unionByName(last).unionByName(none), base.corpus(s, d), 10, padded=True)
 
 
+@query
+def bm25_topk_blocks(s, d):
+    """The rows of bm25_topk by a stored index of blocks with their highest weights, built here."""
+    path = f"{shared_dir(s)}/posting-index-{uuid.uuid4().hex}"
+    postings.build(base.corpus(s, d), path)
+    return postings.search(base.asked(s, d), path, 10)
+
+
 @query
 def hit_projection(s, d):
     """The nine columns of a hit; documents have no title line and no chapter."""
@@ -484,7 +492,7 @@ def resume_pending(s, d):
 @query
 def reorder_rows(s, d):
     rows = base.answers(s, d).select(F.when(F.col("query_id") % 9 == 0, F.col("query_id") + 100_000).otherwise(F.col("query_id")).alias("query_id"))
-    return evaluation.in_question_order(rows, base.questions(s, d))
+    return evaluation.in_question_order(rows, base.listed(s, d))
 
 
 @query
@@ -504,12 +512,12 @@ def failure_modes(s, d):
 
 @query
 def coverage(s, d):
-    return evaluation.coverage(base.questions(s, d), base.answers(s, d))
+    return evaluation.coverage(base.listed(s, d), base.answers(s, d))
 
 
 @query
 def coverage_banner(s, d):
-    return report.banner(evaluation.coverage(base.questions(s, d), base.answers(s, d)))
+    return report.banner(evaluation.coverage(base.listed(s, d), base.answers(s, d)))
 
 
 @query
