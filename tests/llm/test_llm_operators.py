@@ -546,3 +546,38 @@ def test_sums_over_many_tasks(spark):
     got = summed(parts)
     assert sorted(got) == [0, 1, 2] and all(v.tolist() == [float(x * sum(range(p, 600, 3))) for x in range(5)] for p, v in got.items())
     assert summed(parts.limit(0)) == {}
+
+
+def test_exact_route_is_bounded_and_finds_what_the_rule_asks(monkeypatch):
+    """Zipf words: slices of any size give the same pairs, and every window and item that meet the rule are among them."""
+    rng = np.random.default_rng(5)
+    p = 1 / np.arange(1, 3001)
+    p /= p.sum()
+    say = lambda n: [f"w{i}" for i in rng.choice(3000, n, p=p)]
+    items = [say(int(rng.integers(3, 45))) for _ in range(300)]
+    texts = [say(200) for _ in range(30)] + [[], ["w1"]]
+    for t in range(0, 30, 2):
+        k = int(rng.integers(300))
+        kept = [w for w in items[k] if rng.random() < 0.8]
+        texts[t][50:50] = kept
+    raw = [" ".join(t).encode() for t in texts]
+    w = decontaminate.Words(raw)
+    weights = np.linspace(5, 0, decontaminate.SLOTS).astype(np.float32)
+    rows = [(i, " ".join(x), " ".join(x[-5:])) for i, x in enumerate(items)]
+    block = decontaminate.Items(rows, np.zeros((decontaminate.SLOTS, decontaminate.DIMS), np.float32), weights, 0.5, 0.7)
+    x, y = block.around(w)
+    monkeypatch.setattr(decontaminate, "_SHARED", 50)
+    monkeypatch.setattr(decontaminate, "_CHECKED", 3)
+    small = block.around(w)
+    assert (x == small[0]).all() and (y == small[1]).all() and (np.diff(x) >= 0).all()
+    found, n = set(zip(x.tolist(), y.tolist(), strict=True)), 0
+    vectors, text, starts = decontaminate._window_vectors(w, np.ones((decontaminate.SLOTS, decontaminate.DIMS), np.float32))
+    for s in range(len(starts)):
+        for k in range(len(items)):
+            long = len(items[k])
+            region = w.hash[max(w.offset[text[s]], starts[s] - long) : min(w.offset[text[s] + 1], starts[s] + decontaminate.WINDOW + long)]
+            share = block.lcs(k, region) / long
+            if share >= 0.7 or (share >= 0.5 and block.answered(k, region)):
+                n += 1
+                assert (s, k) in found
+    assert n > 50
