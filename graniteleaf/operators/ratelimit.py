@@ -44,10 +44,10 @@ def estimate_tokens(messages: DataFrame, by: str, reply: int = DEFAULT.reply_tok
     return messages.groupBy(by).agg((F.floor(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("double") / F.lit(3.5)) + reply).cast("long").alias("estimate"))
 
 
-def rolling_budget(ledger: DataFrame, seconds: int = DEFAULT.window_seconds, limit: float = DEFAULT.tokens_per_minute, key: str = "model", fraction: float = DEFAULT.usage_fraction, limits: DataFrame | None = None) -> DataFrame:
+def rolling_budget(ledger: DataFrame, seconds: int = DEFAULT.window_seconds, limit: float = DEFAULT.tokens_per_minute, key: str = "model", fraction: float = DEFAULT.usage_fraction, limits: DataFrame | None = None, limit_col: str | None = None) -> DataFrame:
     """ledger(key, ts, tokens, ...) with spent (in the window before, both ends included) and would_block.
 
-    The budget is `fraction` of the key's limit: that of limits(key, limit), as latest_limit() learns them, else `limit`. A call over
+    The budget is `fraction` of the key's limit: that of limits(key, limit), as latest_limit() learns them, or the call's own `limit_col`, as asof_limits() finds it, else `limit`. A call over
     budget is let through if nothing else lies in its window. Calls are ranked within a key and a stretch of time, with the calls of one window before the
     stretch beside them, so a key with most of the calls is spread over many tasks.
     """
@@ -60,7 +60,7 @@ def rolling_budget(ledger: DataFrame, seconds: int = DEFAULT.window_seconds, lim
     both = rows.withColumn("_s", F.explode(F.array_distinct(F.array(own, F.floor((F.col("_at") + width) / stretch).cast("long"))))).withColumn("_own", F.col("_s") == own)
     w = Window.partitionBy(key, "_s").orderBy("_at").rangeBetween(-width, 0)
     both = both.withColumns({"spent": F.sum("tokens").over(w) - F.col("tokens"), "_others": F.count("*").over(w) - 1}).where("_own")
-    most = F.lit(float(limit))
+    most = F.lit(float(limit)) if limit_col is None else F.coalesce(F.col(limit_col).cast("double"), F.lit(float(limit)))
     if limits is not None:
         both = both.join(limits.select(F.col(key).alias("_k"), F.col("limit").cast("double").alias("_limit")), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
         most = F.coalesce(F.col("_limit"), most)
@@ -72,6 +72,27 @@ def latest_limit(headers: DataFrame, key: str = "model") -> DataFrame:
     return headers.where(F.col("limit").isNotNull()).groupBy(key).agg(F.max_by("limit", "ts").alias("limit"))
 
 
+def asof_limits(calls: DataFrame, seen: DataFrame, key: str = "model", at: str = "ts", stretch: int = 3600) -> DataFrame:
+    """calls(key, at, ...) with `limit`: the one last seen for the key before the call, from seen(key, at, limit); null where none was.
+
+    An as-of join by merging: both sides are sorted together within a key and a stretch of `stretch` seconds, and the last limit of earlier stretches is carried in from one
+    row a stretch, so a key with most of the calls is spread over many tasks. A limit seen at the very time of a call is not yet known to it; of limits seen at one time the
+    greatest counts. Null keys and times meet nothing, null limits are no limits. A column `limit` of calls is replaced.
+    """
+    cut = lambda t: F.floor(F.unix_micros(t.cast("timestamp")) / (stretch * 1_000_000)).cast("long")
+    calls = calls.drop("limit")
+    own = calls.select(F.struct("*").alias("_call"), F.col(key).alias("_k"), F.col(at).alias("_at"), F.lit(None).cast(dict(seen.dtypes)["limit"]).alias("_limit"))
+    other = seen.where(F.col("limit").isNotNull() & F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(at).alias("_at")).agg(F.max("limit").alias("_limit"))
+    both = own.unionByName(other.withColumn("_call", F.lit(None).cast(own.schema["_call"].dataType))).withColumn("_s", cut(F.col("_at")))
+    last = other.withColumn("_s", cut(F.col("_at"))).groupBy("_k", "_s").agg(F.max_by("_limit", "_at").alias("_end"))
+    # of every stretch with rows, what the ones before it ended with
+    stretches = both.groupBy("_k", "_s").agg(F.count("*").alias("_n")).join(last, ["_k", "_s"], "left")
+    carried = stretches.select("_k", "_s", F.last("_end", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    inside = Window.partitionBy("_k", "_s").orderBy("_at", F.col("_call").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = both.withColumn("_met", F.last("_limit", ignorenulls=True).over(inside)).where("_call IS NOT NULL").join(carried, ["_k", "_s"], "left")
+    return met.select("_call.*", F.when(F.col("_k").isNotNull() & F.col("_at").isNotNull(), F.coalesce("_met", "_carried")).alias("limit"))
+
+
 def classify_status(status: Column, body: Column) -> tuple[Column, Column]:
     """ok, daily_quota (terminal), retry or error; and the minutes until a daily quota resets."""
     daily = (status == 429) & (body.contains("per day") | body.contains("TPD"))

@@ -158,6 +158,9 @@ _UNITS = [
     (2, "rct_3", "recital", "Recital (3)", "", "Recitals", "Recitals (non-binding interpretive context)", "Whereas x."),
 ]
 
+_ASOF = """l AS (SELECT event_id, user_id, ts, floor(abs(value))::BIGINT AS t FROM events), s AS (SELECT user_id, ts, max(event_id % 200 + 100) AS lim FROM events WHERE event_id % 7 = 0 GROUP BY ALL),
+a AS (SELECT l.*, s.lim FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.ts > s.ts)"""
+
 O: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, length(html) AS n_chars, contains(html, '<article') AS has_article FROM pages",
     "scan_chunks": f"WITH {CORPUS} SELECT chunk_id, kind, length(text) AS n_chars FROM corpus",
@@ -220,6 +223,16 @@ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, c
     "passage_preview": "SELECT doc_id, md5(CASE WHEN length(b) > 2400 THEN substr(b, 1, 2400) || '…' ELSE b END) AS preview_md5 FROM (SELECT doc_id, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE text END AS b FROM documents)",
     "config_drift": f"SELECT setting, r.value AS running, m.value AS measured FROM {values('running')} r JOIN {values('measured')} m USING (setting) WHERE r.value IS DISTINCT FROM m.value",
     "estimate_tokens": "SELECT conv_id, (trunc(coalesce(sum(length(text)), 0)::DOUBLE / 3.5::DOUBLE) + 2500)::BIGINT AS estimate FROM conversations GROUP BY 1",
+    "asof_limit": f"WITH {_ASOF} SELECT event_id, lim AS \"limit\" FROM a",
+    "asof_token_budget": f"""WITH {_ASOF}, w AS (SELECT event_id, t, lim, sum(t) OVER f AS s, count(*) OVER f AS c FROM a WINDOW f AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW))
+SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > coalesce(lim, 120.0)::DOUBLE * {DEFAULT.usage_fraction} AS would_block FROM w""",
+    # one step of the recursion lets the next call of each model go, or lets it wait once
+    "admission_times": f"""WITH RECURSIVE c AS (SELECT user_id, event_id, epoch_us(ts) AS ts, floor(abs(value))::BIGINT AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, i, now, spent, event_id, gone) AS (SELECT user_id, 1::BIGINT, ts, []::STRUCT(a BIGINT, t BIGINT)[], NULL::BIGINT, NULL::BIGINT FROM c WHERE i = 1
+UNION ALL SELECT user_id, CASE WHEN ok THEN i + 1 ELSE i END, CASE WHEN ok THEN greatest(now, coalesce(later, now)) ELSE now + 86400000000 - (now - d[1].a) + 250000 END, CASE WHEN ok THEN list_append(d, {{'a': now, 't': t}}) ELSE d END, CASE WHEN ok THEN event_id END, CASE WHEN ok THEN now END
+FROM (SELECT x.*, n.ts AS later, len(d) = 0 OR list_sum(list_transform(d, lambda y: y.t)) + x.t <= 200.0 * {DEFAULT.usage_fraction} AS ok
+  FROM (SELECT r.user_id, r.i, r.now, c.event_id, c.t, list_filter(r.spent, lambda y: NOT r.now - y.a > 86400000000) AS d FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i) x LEFT JOIN c n ON n.user_id = x.user_id AND n.i = x.i + 1))
+SELECT event_id, gone AS admitted FROM r WHERE event_id IS NOT NULL""",
     "rolling_token_budget": """WITH l AS (SELECT event_id, user_id, ts, floor(abs(value))::BIGINT AS t FROM events), w AS (SELECT event_id, t, sum(t) OVER f AS s, count(*) OVER f AS c FROM l WINDOW f AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
 SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > 120 * 0.75 AS would_block FROM w""",
     "learnt_token_budget": """WITH l AS (SELECT event_id, user_id, ts, floor(abs(value))::BIGINT AS t FROM events), m AS (SELECT user_id, max(t) AS most FROM l WHERE user_id % 2 = 0 GROUP BY 1),

@@ -14,6 +14,7 @@ from graniteleaf.operators import chunking, evaluation, grounding, indexing, jud
 from graniteleaf.plans import base
 from graniteleaf.plans.fixtures import fixture
 from graniteleaf.sources.tables import shared_dir, table
+from graniteleaf.streaming import admission
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KS, WEIGHTS, K = [3, 5, 6, 10], list(DEFAULT.weights), DEFAULT.top_k
@@ -359,6 +360,30 @@ def learnt_token_budget(s, d):
     return ratelimit.rolling_budget(calls, 3600, 120.0, limits=learnt).select("event_id", "spent", "would_block")
 
 
+def _seen_limits(s, d):
+    """Limits as answers of every seventh event told them."""
+    return base.ledger(s, d).where("event_id % 7 = 0").select("model", "ts", (F.col("event_id") % 200 + 100).alias("limit"))
+
+
+@query
+def asof_limit(s, d):
+    return ratelimit.asof_limits(base.ledger(s, d), _seen_limits(s, d), stretch=86_400).select("event_id", "limit")
+
+
+@query
+def asof_token_budget(s, d):
+    """The budget by the limit that was last seen before each call."""
+    calls = ratelimit.asof_limits(base.ledger(s, d), _seen_limits(s, d), stretch=86_400)
+    return ratelimit.rolling_budget(calls, 86_400, 120.0, limit_col="limit").select("event_id", "spent", "would_block")
+
+
+@query
+def admission_times(s, d):
+    """When each call goes if it waits for room in a window of a day."""
+    calls = admission.admitted(base.ledger(s, d), id_col="event_id", seconds=86_400, limit=200.0, nap=1 << 50)
+    return calls.select("event_id", F.unix_micros("admitted").alias("admitted"))
+
+
 @query
 def retry_schedule(s, d):
     f = fixture(s, "statuses").withColumn("retry_after", F.when(F.col("id") == 3, 7.0))

@@ -119,8 +119,9 @@ def append_checkpoint(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
-def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, schemas.EVAL_ROW)
+def read_checkpoint(spark: SparkSession, path: str, schema: str = schemas.EVAL_ROW) -> DataFrame:
+    """Rows appended at once and rows of committed batches, which lie in folders of their own."""
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(path)
 
 
 def write_document(spark: SparkSession, parts: dict[str, DataFrame], path: str) -> None:

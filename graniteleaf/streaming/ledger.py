@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graniteleaf.sources.tables import append_checkpoint
+
 
 def sliding_spend(calls: DataFrame, seconds: int = 60, step: int = 1, late: str = "2 minutes", limit: float | None = None) -> DataFrame:
     """calls(model, ts, tokens), batch or stream -> model, start, end, spent, calls (and over, if a limit is given) of each window.
@@ -17,8 +21,26 @@ def sliding_spend(calls: DataFrame, seconds: int = 60, step: int = 1, late: str
     return out if limit is None else out.withColumn("over", F.col("spent") > limit)
 
 
-def append_finished(rows: DataFrame, path: str, checkpoint: str):
-    """Append each finished row of a stream to a JSON-lines checkpoint, exactly once for each batch."""
-    from graniteleaf.sources.tables import append_checkpoint
+def append_finished(rows: DataFrame, path: str, checkpoint: str, query: str = "rows"):
+    """Append each finished row of a stream to a JSON-lines checkpoint; a batch that is delivered again leaves its rows once.
 
-    return rows.writeStream.foreachBatch(lambda batch, _: append_checkpoint(batch, path)).option("checkpointLocation", checkpoint)
+    A batch is written aside and renamed to a folder of path that is named after the query and the batch: that folder is the log of what is
+    committed. A batch whose folder is there is ignored, and one that failed before the rename leaves nothing that read_checkpoint() sees. Two streams into one path need
+    different names. On stores where a rename is no single step a crash inside it can leave part of a batch.
+    """
+    return rows.writeStream.foreachBatch(lambda batch, n: append_batch(batch, path, query, n)).option("checkpointLocation", checkpoint)
+
+
+def append_batch(rows: DataFrame, path: str, query: str, batch: int) -> bool:
+    """Commit one batch of a query; False if it was committed before."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    done = hadoop.Path(f"{path}/{query}-{batch}")
+    files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(done):
+        return False
+    aside = f"{path}/_aside/{query}-{batch}-{uuid.uuid4().hex}"
+    append_checkpoint(rows, aside)
+    if not files.rename(hadoop.Path(aside), done):
+        raise OSError(f"could not commit {done}")
+    return True
