@@ -205,6 +205,7 @@ UNION ALL SELECT 'tokens_min', l[1] FROM so UNION ALL SELECT 'tokens_p50', l[n /
     "index_no_recitals": f"WITH {CORPUS} SELECT chunk_id, kind FROM corpus WHERE kind <> 'recital'",
     "bm25_index_stats": f"WITH {CORPUS}, {TERMS} SELECT term, df, round(idf, 6) AS idf FROM idf",
     "bm25_topk": f"WITH {LEX} SELECT * FROM br WHERE rank <= 10",
+    "bm25_topk_segments": f"WITH {LEX.replace('FROM documents)', 'FROM documents WHERE doc_id % 10 <> 3)')} SELECT * FROM br WHERE rank <= 10",
     "bm25_topk_blocks": f"WITH {LEX} SELECT * FROM br WHERE rank <= 10",
     "bm25_topk_padded": f"""WITH {CORPUS}, {TERMS}, asked AS (SELECT item_id AS query_id, text AS question FROM benchmark UNION ALL SELECT -1 - item_id, ({TOKENS.format("text")})[-1] FROM benchmark UNION ALL SELECT -1000000, 'zzzzqq'), {bm25("asked")},
 p AS (SELECT a.query_id, c.chunk_id, coalesce(score, 0) AS score FROM asked a CROSS JOIN corpus c LEFT JOIN bs ON bs.query_id = a.query_id AND bs.chunk_id = c.chunk_id),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
-from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, postings, ratelimit, report, retrieval, vector_index
+from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, postings, ratelimit, report, retrieval, segments, vector_index
 from graniteleaf.plans import base
 from graniteleaf.plans.fixtures import fixture
 from graniteleaf.sources.tables import shared_dir, table
@@ -233,6 +233,16 @@ def bm25_topk_blocks(s, d):
     return postings.search(base.asked(s, d), path, 10)
 
 
+@query
+def bm25_topk_segments(s, d):
+    """Search over an index that was filled in three parts and lost every tenth document."""
+    path, c = f"{shared_dir(s)}/segments-{uuid.uuid4().hex}", base.corpus(s, d).select("chunk_id", "text")
+    for i in range(3):
+        segments.add(c.where(F.pmod("chunk_id", F.lit(3)) == i), path)
+    segments.delete(c.where("chunk_id % 10 = 3").select("chunk_id"), path)
+    return segments.search(base.asked(s, d), path, 10)
+
+
 @query
 def hit_projection(s, d):
     """The nine columns of a hit; documents have no title line and no chapter."""
