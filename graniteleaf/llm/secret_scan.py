@@ -66,10 +66,14 @@ def candidates(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_c
         given = _given(w, F.get("w", i - 1), F.concat_ws(" ", F.get("w", i - 2), F.get("w", i - 1))) & F.rlike(w, F.lit("[^\"':=>({\\[]"))
         return given | (w.startswith("-----BEGIN") & F.coalesce(F.get("w", i + 1).isin(*_PEM_KINDS), F.lit(False))) | ((F.length(w) >= 8) & F.rlike(w, F.lit("[0-9]")) & F.rlike(w, F.lit("[A-Za-z0-9+/_=-]{8,}"))) | F.rlike(w, F.lit(KNOWN)) | F.rlike(w, F.lit(f"{CREDENTIAL}[\"']?[:=]+[\"']*[^\"':=]"))
 
-    spots = F.filter(F.transform("w", lambda w, i: F.when(wanted(w, i), i)), lambda i: i.isNotNull())
-    around = likely.select("id", "path", "w", F.explode(spots).alias("position"))
-    get = lambda k: F.coalesce(F.get("w", F.col("position") + k), F.lit(""))
-    c = around.select("id", "path", "position", get(0).alias("word"), get(-1).alias("last"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), F.filter(F.array(get(-2), get(-1), get(1), get(2)), lambda w: F.rlike(w, F.lit("[\\p{L}0-9]"))).alias("near"), F.concat_ws(" ", get(0), get(1), get(2), get(3)).alias("opened"))
+    def spot(i: Column) -> Column:
+        """A candidate with its neighbours: what leaves the text's row does not grow with the text."""
+        get = lambda k: F.coalesce(F.get("w", i + k), F.lit(""))
+        near = F.filter(F.array(get(-2), get(-1), get(1), get(2)), lambda w: F.rlike(w, F.lit("[\\p{L}0-9]")))
+        return F.struct(i.alias("position"), get(0).alias("word"), get(-1).alias("last"), F.concat_ws(" ", get(-2), get(-1)).alias("before"), near.alias("near"), F.concat_ws(" ", get(0), get(1), get(2), get(3)).alias("opened"))
+
+    spots = F.filter(F.transform("w", lambda w, i: F.when(wanted(w, i), spot(i))), lambda s: s.isNotNull())
+    c = likely.select("id", "path", F.explode(spots).alias("s")).select("id", "path", "s.*")
     key = f"^[\"'({{\\[]*{CREDENTIAL}[\"']?[:=]+[\"']?"
     value = F.regexp_replace(F.regexp_replace("word", key, ""), "^[^A-Za-z0-9+]+|[^A-Za-z0-9=/+]+$", "")
     bare = F.regexp_replace(F.regexp_replace("word", key, ""), "^[\"'(:=]+|[\"'),;]+$", "")
