@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from graniteleaf.llm.common import WS, md5_key, ranked, stored
 
-#: log2 of the slots, for sources of FINE blocks and more; smaller ones have as many bits more as give them FINE blocks.
+#: log2 of the slots, for sources whose size and target are FINE blocks and more; others have as many bits more as give both FINE blocks.
 BITS = 18
 FINE = 64
 SEED = "mix-1"
@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int
     full = Window.orderBy(F.col("_cap") / F.col("weight"), F.col("source").asc_nulls_last())
     s = s.withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_cap").over(full.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("double") / F.sum("weight").over(full.rowsBetween(0, Window.unboundedFollowing)).cast("double"))
     s = s.withColumn("target", F.least(F.col("_cap").cast("double"), F.max("_level").over(Window.partitionBy()) * F.col("weight")))
-    finer = F.ceil(F.log2(F.col("_total").cast("double") * FINE / (F.col("source_size").cast("double") * 2**BITS)))
+    finer = F.ceil(F.log2(F.col("_total").cast("double") * FINE / (F.least(F.col("source_size").cast("double"), F.col("target")) * 2**BITS)))
     s = s.withColumn("bits", F.when(F.col("source_size") > 0, F.greatest(finer, F.lit(0))).otherwise(0).cast("int") + BITS)
     s = s.withColumn("_upto", F.sum("target").over(by_name.rowsBetween(Window.unboundedPreceding, 0)))
     s = s.withColumn("_from", F.coalesce(F.lag("_upto").over(by_name), F.lit(0.0)))

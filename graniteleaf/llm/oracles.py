@@ -66,7 +66,7 @@ w AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place, [5, 2,
 l AS (SELECT *, (total - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / (sum(weight) OVER (ORDER BY 3 * source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM w),
 t AS (SELECT *, least((3 * source_size)::DOUBLE, (max(level) OVER ()) * weight) AS target FROM l),
-g AS (SELECT *, {BITS} + CASE WHEN source_size > 0 THEN greatest(ceil(log2(total::DOUBLE * {FINE} / (source_size::DOUBLE * {2**BITS}))), 0)::INTEGER ELSE 0 END AS bits, sum(target) OVER (ORDER BY place) AS upto FROM t),
+g AS (SELECT *, {BITS} + CASE WHEN source_size > 0 THEN greatest(ceil(log2(total::DOUBLE * {FINE} / (least(source_size::DOUBLE, target) * {2**BITS}))), 0)::INTEGER ELSE 0 END AS bits, sum(target) OVER (ORDER BY place) AS upto FROM t),
 q AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY place), 0) AS since, (1::HUGEINT << bits) AS points FROM g),
 b AS (SELECT *, CASE WHEN total > 0 THEN least(floor(upto / total * points + 0.5)::HUGEINT, points) - least(floor(since / total * points + 0.5)::HUGEINT, points) ELSE 0 END AS slots,
   CASE WHEN total > 0 THEN (source_size::HUGEINT * points - 1) // total + 1 ELSE 1 END AS blocks FROM q),
@@ -80,10 +80,10 @@ FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source
 _FIRST = "least(" + ", ".join(f"1 + len(list_filter({list(map(float, cs))}::DOUBLE[], lambda c: NOT {e.replace(' / ', '::DOUBLE / ')} > c))" for e, cs in rules.RULES.values()) + ")"
 _P = rules.MAX_FALSE
 OP9 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
-a AS (SELECT rid, doc_id, lang, regexp_extract_all(text, '{_WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text, md5(coalesce(text, '')) AS same FROM documents),
+a AS (SELECT rid, doc_id, lang, same, regexp_extract_all(text, '{_WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
   regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g') AS solid FROM d),
-s AS (SELECT rid, doc_id, lang, len(ws)::BIGINT AS n_words, length(solid)::BIGINT AS word_chars, len(regexp_extract_all(solid, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+s AS (SELECT rid, doc_id, lang, same, len(ws)::BIGINT AS n_words, length(solid)::BIGINT AS word_chars, len(regexp_extract_all(solid, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   len(regexp_extract_all(solid, '!'))::BIGINT AS n_bangs, len(regexp_extract_all(solid, '\\p{{Lu}}'))::BIGINT AS n_capitals,
   len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines FROM a),
 v AS (SELECT rid, unnest(range(1, len(ws) - 6)) AS i, ws FROM a),
@@ -92,7 +92,7 @@ y AS (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS j FROM x WHER
 z AS (SELECT rid, sum(least(8, coalesce(j - i, 8)))::BIGINT AS n_repeat_words FROM y GROUP BY rid),
 f AS (SELECT s.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM s LEFT JOIN z USING (rid)),
 ff AS (SELECT *, {_FIRST} AS first FROM f),
-m AS (SELECT lang, quality, first FROM ff JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+m AS (SELECT lang, max(quality) AS quality, min(first) AS first FROM ff JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY lang, same),
 u AS (SELECT lang, step, count(*) FILTER (WHERE quality = 1) AS good, count(*) FILTER (WHERE quality = 1 AND first <= step) AS k, count(*) FILTER (WHERE quality = 0 AND first <= step) AS bad,
   (SELECT count(*) FROM (SELECT DISTINCT lang FROM m)) AS strata FROM m, range(1, {rules.STEPS + 1}) AS r(step) GROUP BY ALL),
 o AS (SELECT *, good > 0 AND k < good * {_P}

@@ -108,14 +108,16 @@ def thresholds(labelled: DataFrame, stratum: str, max_false: float = MAX_FALSE,
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id", text_col: str = "text", min_words: int = 20, max_repeat_percent: int = 30, max_false: float = MAX_FALSE, delta: float = DELTA) -> DataFrame:
     """Per row of docs: id_col, the statistics, base_failed, kept.
 
-    labels(id_col, quality 0/1): rows with null quality count as unlabelled, a document labelled twice counts twice. Null
+    labels(id_col, quality 0/1): rows with null quality count as unlabelled. A text counts once in a stratum, however many copies and labels it has: good if any label says so. Null
     text has no words and so fails the base rule. Null strata are a stratum of their own. Without labels only the base rule
     decides. Strata are values of a column of few values (their steps are broadcast). Extra columns of docs are not read. An empty table gives an empty table.
     """
-    s = docs.select(F.col(id_col).alias("_id"), F.col(stratum).cast("string").alias("_stratum"), F.col(text_col).alias("_text"))
-    s = stored(stats(s, "_text", ("_id", "_stratum")), "rule-stats")
+    s = docs.select(F.col(id_col).alias("_id"), F.col(stratum).cast("string").alias("_stratum"), F.col(text_col).alias("_text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_same"))
+    s = stored(stats(s, "_text", ("_id", "_stratum", "_same")), "rule-stats")
     known = labels.where("quality is not null").select(F.col(id_col).alias("_l"), "quality")
-    cut = thresholds(s.join(known, F.col("_id") == F.col("_l")), "_stratum", max_false, delta)
+    # one trial a text of a stratum: copies and repeated labels are not independent
+    trials = s.join(known, F.col("_id") == F.col("_l")).groupBy("_stratum", "_same").agg(F.max("quality").alias("quality"), *[F.first(c).alias(c) for c in s.columns if not c.startswith("_")])
+    cut = thresholds(trials, "_stratum", max_false, delta)
     s = s.join(F.broadcast(cut.withColumnRenamed("stratum", "_s")), F.col("_stratum").eqNullSafe(F.col("_s")), "left")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     above = F.coalesce(first_step() <= F.col("step"), F.lit(False))
