@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
-from graniteleaf.operators import chunking, evaluation, grounding, indexing, judging, metrics, parsing, postings, ratelimit, report, retrieval, segments, vector_index
+from graniteleaf.operators import chunking, encoder, evaluation, grounding, indexing, judging, metrics, parsing, postings, ratelimit, report, retrieval, segments, vector_index
 from graniteleaf.plans import base
 from graniteleaf.plans.fixtures import fixture
 from graniteleaf.sources.tables import shared_dir, table
@@ -276,6 +276,13 @@ def dense_topk_index(s, d):
     return vector_index.search(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), path, 10)
 
 
+@query
+def dense_topk_trained(s, d):
+    """Questions and documents by an encoder that is learnt from the documents."""
+    c = base.corpus(s, d)
+    return retrieval.search(base.asked(s, d), c, 10, "dense", encode=encoder.encoder(encoder.train(c)))
+
+
 def _fused(s, d, weights):
     return retrieval.fused(base.runs(s, d), base.corpus(s, d).select("chunk_id", "kind"), K, weights)
 
