@@ -102,7 +102,9 @@ def json_text(c: Column) -> Column:
     """The JSON in a judge's answer, as text: without code fences, else from the first bracket to the last; null if that is none."""
     bare = strip(F.regexp_replace(F.regexp_replace(strip(c), "(?m)^```(?:json)?", ""), "(?m)```$", ""))
     inner = F.regexp_extract(bare, "(?s)[\\[{].*[\\]}]", 0)
-    valid = lambda x: F.when(F.try_parse_json(x).isNotNull(), x)
+    # what follows a value is not looked at by the parser: as the only element of an array it is
+    item = lambda x, i: F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), f"$[{i}]", "variant")
+    valid = lambda x: F.when(item(x, 0).isNotNull() & item(x, 1).isNull(), x)
     return F.coalesce(valid(bare), F.when(inner != "", valid(inner)))
 
 

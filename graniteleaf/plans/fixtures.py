@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteleaf.sources.tables import ship
+from graniteleaf.sources.tables import ship, table
 
 FIXTURES: dict[str, tuple[str, list[tuple]]] = {
     "clean": ("id int, s string", [(1, "10 ^25"), (2, "a\u00a0b"), (3, "‘x’ “y”"), (4, "  two  blanks \t here  "), (5, "line\none"), (6, ""), (7, None)]),
@@ -44,10 +44,38 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
-def fixture(spark: SparkSession, name: str) -> DataFrame:
+#: Rows of the tables in the fixtures' columns: a table, and one expression a column that Spark and DuckDB read alike. Ids stay clear of the literal ones.
+DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
+    "supers": ("documents", ("doc_id + 100", "concat(substr(text, 1, 30), doc_id % 10, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '' END, '<span class=\"oj-super', CASE WHEN doc_id % 4 = 0 THEN ' oj-note-tag' ELSE '' END, '\">', doc_id % 100, '</span> of it')")),
+    "blocks": ("documents", ("floor(doc_id / 10) + 10", "doc_id % 10", "CASE doc_id % 5 WHEN 0 THEN 'oj-ti-section-1' WHEN 1 THEN 'oj-ti-section-2' WHEN 2 THEN 'oj-note-tag' WHEN 3 THEN 'oj-normal' ELSE 'oj-doc-ti' END", "CASE doc_id % 10 WHEN 0 THEN concat('Chapter ', doc_id) WHEN 5 THEN concat('SECTION ', lang) ELSE substr(text, 1, 20) END")),
+    "kinds": ("pages", ("page_id + 100", "CASE page_id % 3 WHEN 0 THEN 'eli-subdivision' WHEN 1 THEN 'x eli-container' ELSE 'other' END", "concat(CASE floor(page_id / 3) % 4 WHEN 0 THEN 'art_' WHEN 1 THEN 'rct_' WHEN 2 THEN 'anx_' ELSE 'fnp_' END, page_id)")),
+    "units": ("pages", ("CASE page_id % 3 WHEN 0 THEN 'article' WHEN 1 THEN 'recital' ELSE 'annex' END", "concat(CASE page_id % 3 WHEN 0 THEN 'art_' WHEN 1 THEN 'rct_' ELSE 'anx_' END, page_id)", "CASE WHEN page_id % 2 = 0 THEN concat('Label ', page_id) END", "CASE WHEN page_id % 5 > 0 THEN concat('Title ', page_id, '`') END", "concat('(', page_id, ') ', url)", "concat('CHAPTER ', page_id % 7)", "''", "'s'", "'st'")),
+    "crumbs": ("documents", ("doc_id + 100", "CASE WHEN doc_id % 4 > 0 THEN source END", "CASE WHEN doc_id % 3 > 0 THEN lang ELSE '' END", "concat('Document ', doc_id)", "doc_id % 3 + 1", "doc_id % 2 + 2")),
+    "answers": ("benchmark", ("item_id + 100", "concat(substr(text, 1, 40), ' [Article ', item_id % 99 + 1, ' - x], see [ANNEX III] or 【Recital (', item_id, ')】 and [Article ', item_id % 99 + 1, '].')")),
+    "durations": ("events", ("event_id + 100", "CASE event_id % 5 WHEN 0 THEN concat(event_id % 900, 'ms') WHEN 1 THEN concat(event_id % 60, '.', event_id % 10, 's') WHEN 2 THEN concat(event_id % 60, 'm', event_id % 7, 's') WHEN 3 THEN concat(event_id % 24, 'h', event_id % 60, 'm') ELSE event_type END")),
+    "statuses": ("events", ("event_id + 100", "CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 200 WHEN 'click' THEN 503 ELSE 404 END", "CASE event_id % 4 WHEN 0 THEN concat('limit per day; try again in ', event_id % 60, 'm', event_id % 9, 's') WHEN 1 THEN 'TPD reached' ELSE props END")),
+    "judge_texts": ("conversations", ("conv_id * 100 + turn + 100", "CASE turn % 3 WHEN 0 THEN concat('Grade: {\"grade\":\"', role, '\",\"n\":', turn, '} so') WHEN 1 THEN concat('[', conv_id, ',{\"a\":', turn, '}] x') ELSE role END")),
+    "verdicts": ("conversations", ("conv_id * 100 + turn + 100", "concat('[{\"claim_index\":0,\"supported\":', CASE WHEN turn % 2 = 0 THEN 'true' ELSE 'false' END, ',\"reason\":\"', role, '\"},{\"claim_index\":', turn + 1, ',\"supported\":', CASE WHEN conv_id % 3 = 0 THEN 'true' ELSE 'null' END, '}]')")),
+    "claims": ("pages", ("page_id + 100", "split(url, '/')")),
+    "models": ("nation", ("concat(CASE n_nationkey % 4 WHEN 0 THEN 'openai' WHEN 1 THEN 'llama' WHEN 2 THEN 'qwen' ELSE 'other' END, CASE WHEN n_nationkey % 3 = 0 THEN '-' ELSE '/' END, n_name)",)),
+    "grades": ("labels", ("doc_id + 100", "CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'correct' WHEN quality = 0 THEN 'incorrect' END")),
+    "figures": ("supplier", ("s_suppkey + 100", "CASE WHEN s_suppkey % 9 > 0 THEN s_nationkey / 25 END", "s_acctbal / 4096")),
+    "running": ("nation", ("n_name", "concat('v', n_regionkey)")),
+    "measured": ("nation", ("n_name", "CASE WHEN n_nationkey % 5 > 0 THEN concat('v', n_nationkey % 5) END")),
+    "outlines": ("pages", ("page_id + 100", "html")),
+}
+
+
+def fixture(spark: SparkSession, name: str, d: str = "") -> DataFrame:
+    """The literal rows, and those of the tables under d."""
     ship(spark)
     schema, rows = FIXTURES[name]
-    return spark.createDataFrame(rows, schema)
+    literal = spark.createDataFrame(rows, schema)
+    if not d or name not in DERIVED:
+        return literal
+    source, columns = DERIVED[name]
+    kinds = [c.split() for c in schema.split(", ")]
+    return literal.unionByName(table(spark, d, source).selectExpr(*[f"CAST({e} AS {k}) AS {c}" for e, (c, k) in zip(columns, kinds, strict=True)]))
 
 
 def _literal(v) -> str:
@@ -66,4 +94,8 @@ def values(name: str) -> str:
     cols = [c.split() for c in schema.split(", ")]
     kind = {"int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "array<string>": "VARCHAR[]"}
     body = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return f"(SELECT {', '.join(f'{c}::{kind[t]} AS {c}' for c, t in cols)} FROM (VALUES {body}) AS v({', '.join(c for c, _ in cols)}))"
+    more = ""
+    if name in DERIVED:
+        source, columns = DERIVED[name]
+        more = f" UNION ALL SELECT {', '.join(f'({e})::{kind[t]} AS {c}' for e, (c, t) in zip(columns, cols, strict=True))} FROM {source}"
+    return f"(SELECT {', '.join(f'{c}::{kind[t]} AS {c}' for c, t in cols)} FROM (VALUES {body}) AS v({', '.join(c for c, _ in cols)}){more})"

@@ -158,6 +158,7 @@ _UNITS = [
     (2, "rct_3", "recital", "Recital (3)", "", "Recitals", "Recitals (non-binding interpretive context)", "Whereas x."),
 ]
 
+_USERS = "u AS (SELECT DISTINCT user_id, ['groq', 'openai', 'gemini', 'ollama', 'nobody'][user_id % 5 + 1] AS provider FROM events)"
 _ASOF = """l AS (SELECT event_id, user_id, ts, floor(abs(value))::BIGINT AS t FROM events), s AS (SELECT user_id, ts, max(event_id % 200 + 100) AS lim FROM events WHERE event_id % 7 = 0 GROUP BY ALL),
 a AS (SELECT l.*, s.lim FROM l ASOF LEFT JOIN s ON l.user_id = s.user_id AND l.ts > s.ts)"""
 
@@ -165,7 +166,8 @@ O: dict[str, str] = {
     "scan_pages": "SELECT page_id, url, length(html) AS n_chars, contains(html, '<article') AS has_article FROM pages",
     "scan_chunks": f"WITH {CORPUS} SELECT chunk_id, kind, length(text) AS n_chars FROM corpus",
     "scan_queries": f"WITH {QUESTIONS} SELECT query_id, question, type, array_to_string(gold_units, ',') AS gold FROM questions",
-    "provider_lookup": "SELECT *, key_variable IS NOT NULL AS needs_key FROM (VALUES " + ", ".join(f"('{p}', '{u}', {repr(k) if k else 'NULL'})" for p, u, k in ratelimit.PROVIDERS) + ") AS v(provider, base_url, key_variable)",
+    "provider_lookup": f"""WITH {_USERS} SELECT user_id, provider, base_url, key_variable, key_variable IS NOT NULL AS needs_key FROM u JOIN (VALUES """ + ", ".join(f"('{p}', '{u}', {repr(k) if k else 'NULL'})" for p, u, k in ratelimit.PROVIDERS) + f""") AS v(provider, base_url, key_variable) USING (provider)
+UNION ALL SELECT user_id, provider, NULL, NULL, NULL FROM u WHERE provider = 'nobody'""",
     "report_lines": f"WITH {FAILURES} SELECT string_agg('| ' || failure || ' | ' || n || ' | ' || meaning || ' |', chr(10) ORDER BY place) AS body FROM fp",
     "clean_text": f"SELECT id, md5({_CLEAN.format('s')}) AS cleaned_md5 FROM (SELECT -id::BIGINT AS id, s FROM {values('clean')} UNION ALL SELECT doc_id, text FROM documents)",
     "superscript_repair": rf"""SELECT id, CASE WHEN contains(html, 'oj-note-tag') THEN html ELSE regexp_replace(html, '(\d)(\s*)<span class="oj-super">\s*(\d+)\s*</span>', '\1\2^\3', 'g') END AS repaired FROM {values("supers")}""",
@@ -186,7 +188,7 @@ n AS (SELECT doc, coalesce(own, cp) AS head, min(pos) AS tp, arg_min(text, pos)
 SELECT q.doc, q.pos, coalesce(ch.text, '') AS chapter, coalesce(CASE WHEN cn.tp <= q.pos THEN ch.text || ' - ' || cn.title END, '') AS chapter_title, coalesce(se.text, '') AS section, coalesce(CASE WHEN sn.tp <= q.pos THEN se.text || ' - ' || sn.title END, '') AS section_title
 FROM q LEFT JOIN b ch ON ch.doc = q.doc AND ch.pos = q.cp LEFT JOIN b se ON se.doc = q.doc AND se.pos = q.own LEFT JOIN n cn ON cn.doc = q.doc AND cn.head = q.cp LEFT JOIN n sn ON sn.doc = q.doc AND sn.head = q.own""",
     "route_kind": f"SELECT * FROM (SELECT *, CASE WHEN contains(classes, 'eli-subdivision') AND starts_with(element_id, 'art_') THEN 'article' WHEN contains(classes, 'eli-subdivision') AND starts_with(element_id, 'rct_') THEN 'recital' WHEN contains(classes, 'eli-container') AND starts_with(element_id, 'anx_') THEN 'annex' END AS kind FROM {values('kinds')}) WHERE kind IS NOT NULL",
-    "unit_projection": f"""WITH u AS (SELECT *, split_part(element_id, '_', 2) AS number, CASE kind WHEN 'recital' THEN '' ELSE rtrim(coalesce(title, ''), '`') END AS t FROM {values("units")})
+    "unit_projection": f"""WITH u AS (SELECT *, split_part(element_id, '_', 2) AS number, CASE kind WHEN 'recital' THEN '' WHEN 'article' THEN rtrim(coalesce(title, ''), '`') ELSE coalesce(title, '') END AS t FROM {values("units")})
 SELECT element_id AS unit_id, kind, CASE kind WHEN 'recital' THEN 'Recital (' || number || ')' ELSE coalesce(label, CASE kind WHEN 'article' THEN 'Article ' ELSE 'ANNEX ' END || number) || CASE WHEN t <> '' THEN ' - ' || t ELSE '' END END AS citation, t AS title,
   CASE kind WHEN 'recital' THEN 'Recitals' WHEN 'annex' THEN 'Annexes' ELSE chapter END AS chapter, CASE kind WHEN 'recital' THEN 'Recitals (non-binding interpretive context)' WHEN 'annex' THEN 'Annexes' ELSE chapter_title END AS chapter_title,
   CASE kind WHEN 'article' THEN section ELSE '' END AS section, CASE kind WHEN 'article' THEN section_title ELSE '' END AS section_title, CASE kind WHEN 'recital' THEN trim(regexp_replace(body, '^\\(\\d+\\)\\s*', '')) ELSE body END AS body, '{BASE_URL}#' || element_id AS url, number FROM u""",
@@ -240,7 +242,7 @@ SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > 120 * 0.75 AS would_blo
 w AS (SELECT event_id, user_id, t, sum(t) OVER f AS s, count(*) OVER f AS c FROM l WINDOW f AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW))
 SELECT event_id, (s - t)::BIGINT AS spent, c > 1 AND s > coalesce(most, 120) * 0.75 AS would_block FROM w LEFT JOIN m USING (user_id)""",
     "retry_schedule": f"SELECT id, a::INTEGER AS attempt, CASE WHEN id = 3 THEN 7.5::DOUBLE ELSE least(2 * 2::DOUBLE ** a + 0.5, 120) END AS wait FROM {values('statuses')}, range(8) AS r(a) WHERE status = 429 OR status >= 500",
-    "available_providers": "SELECT * FROM (VALUES ('groq', true), ('openai', false), ('ollama', true), ('extractive', false)) AS v(provider, there)",
+    "available_providers": f"WITH {_USERS} SELECT user_id, provider, provider IN ('groq', 'ollama') AS there FROM u",
     "cited_hits": f"WITH {BASE} SELECT query_id, rank, unit_id = query_id AND query_id % 5 > 0 AS cited FROM hits WHERE rank <= {K}",
     "coverage_banner": f"WITH {QUESTIONS}, {ASKED}, {ANSWERS}, c AS (SELECT count(a.query_id) AS n, count(*) AS m, string_agg(q.query_id::VARCHAR, ',' ORDER BY ord) FILTER (WHERE a.query_id IS NULL) AS x FROM questions q LEFT JOIN answers a ON a.query_id = q.query_id) SELECT 'Partial run: ' || n || ' of ' || m || ' questions scored; missing: ' || x AS line FROM c WHERE n < m",
     "parse_duration": f"""SELECT id, round(CASE WHEN s LIKE '%ms' THEN coalesce(try_cast(regexp_extract(s, '^(.*)ms$', 1) AS DOUBLE), 0) / 1000 WHEN regexp_matches(s, '^(?:(\\d+)h)?(?:(\\d+)m)?(?:([\\d.]+)s)?$')

@@ -47,9 +47,16 @@ def scan_queries(s, d):
     return base.questions(s, d).select("query_id", "question", "type", F.array_join(F.col("gold_units").cast("array<string>"), ",").alias("gold"))
 
 
+def _users(s, d):
+    """user_id, provider: the provider that each user of the events is with; some are with none that is known."""
+    names = F.array(*[F.lit(p) for p in ("groq", "openai", "gemini", "ollama", "nobody")])
+    return table(s, d, "events").select("user_id").distinct().withColumn("provider", F.get(names, (F.col("user_id") % 5).cast("int")))
+
+
 @query
 def provider_lookup(s, d):
-    return s.createDataFrame(list(ratelimit.PROVIDERS), "provider string, base_url string, key_variable string").withColumn("needs_key", F.col("key_variable").isNotNull())
+    known = s.createDataFrame(list(ratelimit.PROVIDERS), "provider string, base_url string, key_variable string").withColumn("needs_key", F.col("key_variable").isNotNull())
+    return _users(s, d).join(F.broadcast(known), "provider", "left").select("user_id", "provider", "base_url", "key_variable", "needs_key")
 
 
 @query
@@ -70,17 +77,17 @@ def clean_text(s, d):
 
 @query
 def superscript_repair(s, d):
-    return fixture(s, "supers").select("id", T.repair_superscripts(_doc("html")).alias("repaired"))
+    return fixture(s, "supers", d).select("id", T.repair_superscripts(_doc("html")).alias("repaired"))
 
 
 @query
 def drop_blocks(s, d):
-    return parsing.drop_notes(fixture(s, "blocks")).select("doc", "pos", "text")
+    return parsing.drop_notes(fixture(s, "blocks", d)).select("doc", "pos", "text")
 
 
 @query
 def render_outline(s, d):
-    return fixture(s, "outlines").select("id", parsing.render_outline("html").alias("outline"))
+    return fixture(s, "outlines", d).select("id", parsing.render_outline("html").alias("outline"))
 
 
 @query
@@ -123,17 +130,17 @@ def page_units(s, d):
 
 @query
 def heading_ffill(s, d):
-    return parsing.forward_fill_headings(fixture(s, "blocks")).select("doc", "pos", "chapter", "chapter_title", "section", "section_title")
+    return parsing.forward_fill_headings(fixture(s, "blocks", d)).select("doc", "pos", "chapter", "chapter_title", "section", "section_title")
 
 
 @query
 def route_kind(s, d):
-    return fixture(s, "kinds").withColumn("kind", parsing.kind_of(F.col("classes"), F.col("element_id"))).where("kind is not null")
+    return fixture(s, "kinds", d).withColumn("kind", parsing.kind_of(F.col("classes"), F.col("element_id"))).where("kind is not null")
 
 
 @query
 def unit_projection(s, d):
-    u = parsing.unit_projection(fixture(s, "units"), base.BASE_URL)
+    u = parsing.unit_projection(fixture(s, "units", d), base.BASE_URL)
     return u.withColumn("number", F.try_element_at("meta", F.col("kind"))).drop("meta")
 
 
@@ -170,7 +177,7 @@ def chunk_documents(s, d):
 
 @query
 def breadcrumb(s, d):
-    return fixture(s, "crumbs").select("id", chunking.breadcrumb(*[F.col(c) for c in ("chapter", "section", "citation", "part", "n_parts")]).alias("crumb"))
+    return fixture(s, "crumbs", d).select("id", chunking.breadcrumb(*[F.col(c) for c in ("chapter", "section", "citation", "part", "n_parts")]).alias("crumb"))
 
 
 @query
@@ -322,7 +329,7 @@ def build_prompt(s, d):
 
 @query
 def parse_citations(s, d):
-    return fixture(s, "answers").select("id", F.array_join(T.parse_citations(F.col("answer")), ",").alias("units"))
+    return fixture(s, "answers", d).select("id", F.array_join(T.parse_citations(F.col("answer")), ",").alias("units"))
 
 
 @query
@@ -353,7 +360,7 @@ def passage_preview(s, d):
 
 @query
 def config_drift(s, d):
-    return grounding.config_drift(fixture(s, "running"), fixture(s, "measured"))
+    return grounding.config_drift(fixture(s, "running", d), fixture(s, "measured", d))
 
 
 # rate limits
@@ -403,13 +410,15 @@ def admission_times(s, d):
 
 @query
 def retry_schedule(s, d):
-    f = fixture(s, "statuses").withColumn("retry_after", F.when(F.col("id") == 3, 7.0))
+    f = fixture(s, "statuses", d).withColumn("retry_after", F.when(F.col("id") == 3, 7.0))
     return ratelimit.retry_schedule(f).select("id", "attempt", "wait")
 
 
 @query
 def available_providers(s, d):
-    return s.createDataFrame([(p, ratelimit.available(p, {"GROQ_API_KEY": "x"})) for p in ("groq", "openai", "ollama", "extractive")], "provider string, there boolean")
+    """Whether each user's provider can be asked, with a key of one of them at hand."""
+    there = [(p, ratelimit.available(p, {"GROQ_API_KEY": "x"})) for p in ("groq", "openai", "gemini", "ollama", "nobody")]
+    return _users(s, d).join(F.broadcast(s.createDataFrame(there, "provider string, there boolean")), "provider").select("user_id", "provider", "there")
 
 
 @query
@@ -421,7 +430,7 @@ def cited_hits(s, d):
 
 @query
 def parse_duration(s, d):
-    return fixture(s, "durations").select("id", F.round(T.duration_seconds(F.col("s")), 6).alias("seconds"))
+    return fixture(s, "durations", d).select("id", F.round(T.duration_seconds(F.col("s")), 6).alias("seconds"))
 
 
 @query
@@ -432,7 +441,7 @@ def latest_limit(s, d):
 @query
 def classify_status(s, d):
     kind, minutes = ratelimit.classify_status(F.col("status"), F.col("body"))
-    return fixture(s, "statuses").select("id", kind.alias("class"), F.round(minutes, 4).alias("minutes"))
+    return fixture(s, "statuses", d).select("id", kind.alias("class"), F.round(minutes, 4).alias("minutes"))
 
 
 # metrics
@@ -578,38 +587,38 @@ def limit_queries(s, d):
 
 @query
 def model_family(s, d):
-    return fixture(s, "models").select("model", T.model_family(F.col("model")).alias("family"))
+    return fixture(s, "models", d).select("model", T.model_family(F.col("model")).alias("family"))
 
 
 @query
 def pick_judge(s, d):
-    return judging.pick_judge(fixture(s, "models"), fixture(s, "preferences"), "default/judge")
+    return judging.pick_judge(fixture(s, "models", d), fixture(s, "preferences"), "default/judge")
 
 
 @query
 def extract_json(s, d):
-    return fixture(s, "judge_texts").select("id", T.json_text(F.col("s")).alias("json"))
+    return fixture(s, "judge_texts", d).select("id", T.json_text(F.col("s")).alias("json"))
 
 
 @query
 def number_claims(s, d):
-    return fixture(s, "claims").select("id", judging.number_claims(F.col("claims"), DEFAULT.max_claims).alias("numbered"))
+    return fixture(s, "claims", d).select("id", judging.number_claims(F.col("claims"), DEFAULT.max_claims).alias("numbered"))
 
 
 @query
 def faithfulness(s, d):
-    return fixture(s, "verdicts").select("id", F.round(judging.faithfulness(judging.verdicts(F.col("s"))), 9).alias("score"))
+    return fixture(s, "verdicts", d).select("id", F.round(judging.faithfulness(judging.verdicts(F.col("s"))), 9).alias("score"))
 
 
 @query
 def unsupported_claims(s, d):
     u = F.explode(judging.unsupported(judging.verdicts(F.col("s"))))
-    return fixture(s, "verdicts").select("id", u.alias("v")).select("id", F.col("v.claim_index").alias("claim_index"))
+    return fixture(s, "verdicts", d).select("id", u.alias("v")).select("id", F.col("v.claim_index").alias("claim_index"))
 
 
 @query
 def validate_grade(s, d):
-    return fixture(s, "grades").select("id", judging.validated_grade(F.col("grade")).alias("grade"))
+    return fixture(s, "grades", d).select("id", judging.validated_grade(F.col("grade")).alias("grade"))
 
 
 # reports
@@ -617,7 +626,7 @@ def validate_grade(s, d):
 
 @query
 def fmt_metrics(s, d):
-    return fixture(s, "figures").select("id", T.percent(F.col("p")).alias("p"), T.decimal3(F.col("d")).alias("d"))
+    return fixture(s, "figures", d).select("id", T.percent(F.col("p")).alias("p"), T.decimal3(F.col("d")).alias("d"))
 
 
 @query
