@@ -242,10 +242,10 @@ def bm25_topk_blocks(s, d):
 
 @query
 def bm25_topk_segments(s, d):
-    """Search over an index that was filled in three parts and lost every tenth document."""
+    """Search over an index that was filled in two parts and lost every tenth document."""
     path, c = f"{shared_dir(s)}/segments-{uuid.uuid4().hex}", base.corpus(s, d).select("chunk_id", "text")
-    for i in range(3):
-        segments.add(c.where(F.pmod("chunk_id", F.lit(3)) == i), path)
+    for i in range(2):
+        segments.add(c.where(F.pmod("chunk_id", F.lit(2)) == i), path)
     segments.delete(c.where("chunk_id % 10 = 3").select("chunk_id"), path)
     return segments.search(base.asked(s, d), path, 10)
 

@@ -7,7 +7,7 @@ from graniteleaf.operators import retrieval
 from graniteleaf.plans import oracles, queries
 
 DIR = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events", "nation", "supplier")
 
 
 @pytest.fixture(scope="module")
