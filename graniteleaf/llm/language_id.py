@@ -359,7 +359,7 @@ def climb(value_and_slope, x: np.ndarray, steps: int, memory: int = 8) -> np.nda
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = 1 << 18, least_docs: int = 50, steps: int = 15, ridge: float = 1e-6) -> Model:
     """Learn from docs with a language: of each one about `sample_bytes` of texts, or `least_docs` texts if these are more; copies of a text count once.
 
-    Languages are values of lang_col as they stand. Without any the model knows none; a language whose sample has no letter is not learnt.
+    Languages are values of lang_col as they stand, few (a row of each is broadcast). Without any the model knows none; a language whose sample has no letter is not learnt.
     """
     ship(docs.sparkSession)
     picked = stored(_pick(docs, F.col(text_col), F.col(lang_col).cast("string"), sample_bytes, least_docs), "language-sample")
