@@ -58,11 +58,14 @@ def cited_hits(hits: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def asked_service(prompts: DataFrame, ask) -> DataFrame:
-    """prompts(query_id, prompt) -> query_id, answer, by a function from prompt to answer that runs where the prompts lie (null: no answer)."""
+    """prompts(query_id, prompt) -> query_id, answer, by a function from prompt to answer that runs where the prompts lie (null: no answer).
+
+    A null prompt is not asked and has no answer. What the function raises fails the query once Spark's retries are used up; a retried task asks its prompts again.
+    """
 
     def call(batches):
         for batch in batches:
-            yield batch[["query_id"]].assign(answer=[ask(p) for p in batch["prompt"]])
+            yield batch[["query_id"]].assign(answer=[None if p is None else ask(p) for p in batch["prompt"]])
 
     return prompts.select("query_id", "prompt").mapInPandas(call, f"query_id {dict(prompts.dtypes)['query_id']}, answer string")
 

@@ -332,3 +332,10 @@ def test_units_keep_all_their_text(spark):
     assert set(got) == {"art_51", "rct_9"} and got["art_51"]["citation"] == "Article 51 - Models"
     assert got["art_51"]["body"] == "Intro:\n(a) first point here\n(b) second point\ngreater than 10^25 flops 7 , word 1\nin\nafter child\n(9) Inner unit."
     assert got["rct_9"]["body"] == "Inner unit." and got["rct_9"]["chapter"] == "Recitals"
+
+
+def test_asked_service_leaves_null_prompts_alone(spark):
+    from graniteleaf.operators import grounding
+
+    got = grounding.asked_service(spark.createDataFrame([(1, "a"), (2, None)], "query_id long, prompt string"), str.upper)
+    assert sorted(rows(got)) == [(1, "A"), (2, None)]
