@@ -265,8 +265,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each near-duplicate class: that of the least id (null ids last), of several such rows one.
 
-    All columns stay. In a class without any id one row of each sequence of words stays. Nulls, repeated rows and empty
-    tables as in join().
+    All columns stay. In a class without any id one row of each sequence of words stays. Nulls, repeated rows, empty
+    tables and very long texts (which are compared whole) as in join().
     """
     each = join(docs, id_col, text_col, **how).groupBy("key", F.col(id_col).cast("long").alias("_least")).agg(F.first("class_id").alias("_class"), F.count("*").alias("_n"))
     each = stored(each, "join-each")

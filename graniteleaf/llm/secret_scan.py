@@ -38,7 +38,7 @@ TRAIN_ROWS, DICTIONARY_DOCS, HELD_OUT = 200_000, 5, 5
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", min_docs: int = DICTIONARY_DOCS) -> DataFrame:
-    """word: runs of three or more letters, as whole words in lower case, that stand in at least min_docs documents."""
+    """word: runs of three or more letters, as whole words in lower case, that stand in at least min_docs documents. Texts and words of any length are taken whole; null texts have none."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), "[^\\p{L}0-9]+"), lambda w: (F.length(w) >= 3) & ~F.rlike(w, F.lit("[0-9]")))
     return docs.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("word")
 
