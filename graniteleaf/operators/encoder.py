@@ -11,41 +11,46 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteleaf.functions import text as T
+from graniteleaf.functions.arrays import slices
 from graniteleaf.sources.tables import ship, stored
 
 CONTEXTS, WINDOW, DIMS = 1024, 4, 128
 #: A word is known if it stands at least LEAST times and is one in SHARE of all words at least, so there are at most SHARE of them.
 LEAST, SHARE = 2, 200_000
+#: Tokens that a task counts or looks up at once.
+TOKENS = 1 << 17
 #: Share of a word's occurrences at which it counts half.
 HALF = 1e-4
 
 
 def _neighbours(corpus: DataFrame) -> DataFrame:
-    """term, context, n: how often a token of a hashed context stands within WINDOW of the term."""
+    """term, context, n: how often a token of a hashed context stands within WINDOW of the term. TOKENS of a batch's tokens are counted at once, whatever the batch holds."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [list(t) for t in batch["tokens"] if t is not None and len(t) > 1]
-            if not rows:
-                continue
-            terms, at = np.unique(np.array([t for r in rows for t in r], object).astype(str), return_inverse=True)
-            own = pd.util.hash_array(terms.astype(object)) % CONTEXTS
-            ends = np.cumsum([len(r) for r in rows])
-            text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            keys = []
-            for d in range(1, WINDOW + 1):
-                same = np.flatnonzero(text[d:] == text[:-d]) if ends[-1] > d else np.zeros(0, np.int64)
-                a, b = at[same], at[same + d]
-                keys += [a * CONTEXTS + own[b].astype(np.int64), b * CONTEXTS + own[a].astype(np.int64)]
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pd.DataFrame({"term": pd.Series(terms[key // CONTEXTS].tolist(), dtype=object), "context": key % CONTEXTS, "n": n})
+            for ends, flat in slices(batch.column("tokens"), TOKENS):
+                if not len(flat):
+                    continue
+                coded = flat.dictionary_encode()
+                terms, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                own = (pd.util.hash_array(np.array(terms.to_pylist(), object)) % CONTEXTS).astype(np.int64)
+                text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                keys = []
+                for d in range(1, WINDOW + 1):
+                    same = np.flatnonzero(text[d:] == text[:-d])
+                    a, b = at[same], at[same + d]
+                    keys += [a * CONTEXTS + own[b], b * CONTEXTS + own[a]]
+                key, n = np.unique(np.concatenate(keys), return_counts=True)
+                yield pa.RecordBatch.from_arrays([terms.take(pa.array(key // CONTEXTS)).cast(pa.string()), pa.array((key % CONTEXTS).astype(np.int32)), pa.array(n.astype(np.int64))], ["term", "context", "n"])
 
     cut = corpus.select(T.tokenize(F.col("text")).alias("tokens")).where("tokens IS NOT NULL")
-    return cut.mapInPandas(count, "term string, context int, n long").groupBy("term", "context").agg(F.sum("n").alias("n"))
+    return cut.mapInArrow(count, "term string, context int, n long").groupBy("term", "context").agg(F.sum("n").alias("n"))
 
 
 def _added(parts: DataFrame) -> np.ndarray:
@@ -107,7 +112,7 @@ def train(corpus: DataFrame, dims: int = DIMS, least: int = LEAST) -> DataFrame:
 class _Table:
     """The words of an encoder in a worker, which keeps its last one between tasks."""
 
-    kept: tuple[str, dict[str, int], np.ndarray] | None = None
+    kept: tuple[str, pa.Array, np.ndarray] | None = None
 
 
 def encoder(words: DataFrame):
@@ -116,24 +121,29 @@ def encoder(words: DataFrame):
     terms = [r["term"] for r in rows]
     weights = np.array([HALF / (HALF + r["share"]) for r in rows], np.float32)
     table = np.array([r["vector"] for r in rows], np.float32).reshape(len(rows), -1 if rows else 1) * weights[:, None]
-    sent, key = words.sparkSession.sparkContext.broadcast((terms, table)), uuid4().hex
+    sent, key = words.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), table)), uuid4().hex
 
-    @F.pandas_udf("array<double>")
-    def f(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def f(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if _Table.kept is None or _Table.kept[0] != key:
-            own, v = sent.value
-            _Table.kept = key, {t: i for i, t in enumerate(own)}, v
-        _, place, v = _Table.kept
+            _Table.kept = key, *sent.value
+        _, known, v = _Table.kept
+        width = v.shape[1] if v.size else 1
         for batch in batches:
-            out = []
-            for tokens in batch:
-                if tokens is None:
-                    out.append(None)
-                    continue
-                at = [place[t] for t in tokens if t in place]
-                x = v[at].sum(0, dtype=np.float64) if at else np.zeros(v.shape[1] if v.size else 1)
-                out.append(x / max(np.linalg.norm(x), 1e-12))
-            yield pd.Series(out, dtype=object)
+            out, done = np.zeros((len(batch), width)), 0
+            for ends, flat in slices(batch, TOKENS):
+                coded = flat.dictionary_encode()
+                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)
+                at = place[coded.indices.to_numpy(zero_copy_only=False)]
+                for i, (a, b) in enumerate(zip(np.concatenate([[0], ends[:-1]]), ends, strict=True), done):
+                    for x in range(a, b, TOKENS):
+                        own = at[x : min(b, x + TOKENS)]
+                        own = own[own >= 0]
+                        if len(own):
+                            out[i] += v[own].sum(0, dtype=np.float64)
+                done += len(ends)
+            out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, width, dtype=np.int32)), pa.array(out.ravel()), mask=batch.is_null())
 
     return lambda text: f(T.tokenize(text))
 
