@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT, Settings
 from graniteleaf.functions import text as T
+from graniteleaf.sources.tables import stored
 
 #: The columns that an index keeps beside id, vector and text.
 META = ("kind", "unit_id", "citation", "title", "chapter_title", "section_title", "part", "n_parts", "url", "n_tokens")
@@ -38,6 +39,8 @@ def hit_columns(run: DataFrame, chunks: DataFrame) -> DataFrame:
     """A run (query_id, chunk_id, score, rank) with the metadata of its hits, joined after the cut: nine columns a hit; what a chunk lacks is null."""
     wanted = ("text", "kind", "unit_id", "citation", "chapter_title", "url")
     meta = chunks.select("chunk_id", *[F.col(c) if c in chunks.columns else F.lit(None).cast("string").alias(c) for c in wanted])
+    run = stored(run, "hits-to-show")  # few rows: they go to the texts, which are not shuffled
+    meta = meta.join(run.select("chunk_id"), "chunk_id", "left_semi")
     return run.join(meta, "chunk_id", "left").select("query_id", "chunk_id", "text", "score", "rank", "kind", "unit_id", "citation", "chapter_title", "url")
 
 
