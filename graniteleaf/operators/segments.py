@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graniteleaf.config import DEFAULT, Settings
 from graniteleaf.functions import text as T
 from graniteleaf.operators import indexing
-from graniteleaf.operators.retrieval import MOST_TERMS, top_k
+from graniteleaf.operators.retrieval import MOST_TERMS, bm25_best
 from graniteleaf.sources.tables import stored
 
 
@@ -158,12 +158,14 @@ def search(queries: DataFrame, path: str, k: int = 10, settings: Settings = DEFA
     raw = df.crossJoin(F.broadcast(size)).withColumn("raw", F.ln(F.col("n") - F.col("df") + half) - F.ln(F.col("df") + half))
     mean = raw.agg(F.avg("raw").alias("mean"))
     idf = F.when(F.col("raw") < 0, F.lit(settings.bm25_floor) * F.col("mean")).otherwise(F.col("raw"))
-    terms = asked.join(raw, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", "times", "avgdl", idf.alias("idf"))
+    terms = asked.join(raw, "term").crossJoin(F.broadcast(mean)).select("query_id", "term", (F.col("times") * idf).alias("gain"))
     postings = _postings(spark, path, m, kind)
     known = [r["term"] for r in asked.select("term").distinct().limit(MOST_TERMS + 1).collect()]
     if len(known) <= MOST_TERMS:  # known terms skip the row groups of others
         postings = postings.where(F.col("term").isin(known))
-    live = postings.join(_dead(spark, path, m, kind), ["segment", "chunk_id"], "left_anti")
-    k1, b = settings.bm25_k1, settings.bm25_b
-    part = F.col("times") * F.col("idf") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl")))
-    return top_k(live.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")), k, 6)
+    else:
+        postings = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    # a chunk's postings meet in its row, whatever its terms; a frequent term lies in no task of its own
+    rows = postings.groupBy("segment", "chunk_id", "dl").agg(F.collect_list(F.struct("term", "tf")).alias("p"))
+    live = rows.join(_dead(spark, path, m, kind), ["segment", "chunk_id"], "left_anti")
+    return bm25_best(terms, live.select("chunk_id", "dl", F.col("p.term").alias("tokens"), F.col("p.tf").alias("counts")), size.first()["avgdl"], k, settings)
