@@ -10,15 +10,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from graniteleaf.config import DEFAULT, Settings
 from graniteleaf.functions import text as T
 from graniteleaf.operators import indexing
-from graniteleaf.operators.retrieval import top_k
+from graniteleaf.operators.retrieval import Asked, _Best, _blank, asked_blocks, top_k
 from graniteleaf.sources.tables import ship, stored
 
 BUCKET = 128
@@ -52,29 +54,44 @@ def build(corpus: DataFrame, path: str, settings: Settings = DEFAULT) -> None:
 
 
 def _scored(wanted: DataFrame, asked: DataFrame, blocks: DataFrame, chunks: DataFrame, k: int, settings: Settings) -> DataFrame:
-    """Exact scores of the k best chunks in each of wanted(query_id, bucket)."""
+    """Exact scores of the k best chunks of each query in the buckets of wanted(query_id, bucket), from each task. A bucket's blocks meet once, for all queries."""
+    spark = wanted.sparkSession
     kinds = dict(wanted.dtypes)["query_id"], dict(chunks.dtypes)["ids"].removeprefix("array<").removesuffix(">")
-    parts = blocks.join(asked, "term").join(wanted, ["query_id", "bucket"])
-    rows = parts.groupBy("query_id", "bucket").agg(F.array_sort(F.collect_list(F.struct((F.col("times") * F.col("idf")).alias("w"), "gaps", "counts"))).alias("parts")).join(chunks, "bucket")
+    words, buckets = asked.select("term").distinct(), wanted.groupBy("bucket").agg(F.collect_list("query_id").alias("who"))
+    idf = blocks.join(words, "term", "left_semi").groupBy("term").agg(F.first("idf").alias("idf"))
+    terms = stored(asked.join(idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("gain")), "posting-gains")
+    parts = blocks.join(words, "term", "left_semi").join(buckets.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.collect_list(F.struct("term", "gaps", "counts")).alias("parts"))
+    rows = parts.join(buckets, "bucket").join(chunks, "bucket").select("parts", "who", "ids", "norms")
     k1 = settings.bm25_k1
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for q, parts, ids, norms in zip(batch["query_id"], batch["parts"], batch["ids"], batch["norms"], strict=True):
-                total, met = np.zeros(len(norms)), np.zeros(len(norms), bool)
-                for p in parts:
-                    at, tf = np.cumsum(p["gaps"]), np.asarray(p["counts"], float)
-                    total[at] += p["w"] * (tf * (k1 + 1)) / (tf + norms[at])
-                    met[at] = True
-                at = np.flatnonzero(met)
-                if len(at) > k:
-                    least = np.partition(total[at], len(at) - k)[len(at) - k]
-                    at = at[total[at] >= least - SLACK]  # equal scores stay together
-                out += [(q, ids[i], total[i]) for i in at]
-            yield pd.DataFrame(out, columns=["query_id", "chunk_id", "score"])
-
-    return rows.select("query_id", "parts", "ids", "norms").mapInPandas(score, f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    schema = f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double"
+    out = to_arrow_schema(spark.createDataFrame([], schema).schema)
+
+    def scan(these: Asked) -> DataFrame:
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, number = _Best(len(these.ids), k, _blank(kinds[1])), {q: i for i, q in enumerate(these.ids)}
+            for batch in batches:
+                for parts, who, ids, norms in zip(*(batch.column(c) for c in ("parts", "who", "ids", "norms")), strict=True):
+                    own = np.array([number[q] for q in who.as_py() if q in number], np.int64)
+                    if not len(own):
+                        continue
+                    term, gaps, counts = parts.values.flatten()
+                    many = pc.list_value_length(gaps).to_numpy(zero_copy_only=False)
+                    steps = np.cumsum(pc.list_flatten(gaps).to_numpy(zero_copy_only=False).astype(np.int64))
+                    before = np.concatenate([[0], steps[np.cumsum(many)[:-1] - 1]])
+                    place, which = steps - np.repeat(before, many), np.repeat(these.places(term.dictionary_encode()), many)
+                    tf, norm = pc.list_flatten(counts).to_numpy(zero_copy_only=False), norms.values.to_numpy(zero_copy_only=False)
+                    met = which >= 0
+                    factor = tf * (k1 + 1) / (tf + norm[place])
+                    scores = these.scores(place[met], which[met], factor[met], len(norm), DIGITS)
+                    kept.add(own, scores[own], ids.values.to_numpy(zero_copy_only=False))
+            yield from pa.Table.from_pandas(kept.rows(these.ids), schema=out, preserve_index=False).to_batches()
+
+        return rows.mapInArrow(best, schema)
+
+    found = spark.createDataFrame([], schema)
+    for these in asked_blocks(terms):
+        found = found.unionByName(scan(these))
+    return found
 
 
 def search(queries: DataFrame, path: str, k: int = 10, settings: Settings = DEFAULT, first: int = FIRST) -> DataFrame:

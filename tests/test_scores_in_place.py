@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from graniteleaf.operators import retrieval, segments
+from graniteleaf.operators import postings, retrieval, segments
 
 COLUMNS = "chunk_id long, text string"
 
@@ -40,3 +40,19 @@ def test_pairs_of_question_and_chunk_are_not_shuffled(spark, tmp_path):
     for df in (retrieval.bm25(q, c, 7), segments.search(q, f"file://{tmp_path}/index", 7)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and not any(x in plan.split("MapInArrow")[0] for x in ("Join", "Aggregate"))
+
+
+def test_blocks_of_a_bucket_are_not_sent_to_each_question(spark, tmp_path, monkeypatch):
+    q, c = corpus(spark)
+    path = f"file://{tmp_path}/blocks"
+    postings.build(c, path)
+    want = rows(retrieval.bm25(q, c, 7))
+    assert rows(postings.search(q, path, 7)) == want
+    blocks, chunks = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/chunks")
+    asked = q.select("query_id", F.explode(retrieval.T.tokenize(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    wanted = asked.select("query_id").distinct().crossJoin(chunks.select("bucket"))
+    made = postings._scored(wanted, asked, blocks, chunks, 7, retrieval.DEFAULT)
+    met = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in x and "gaps" in x]
+    assert met and not any("query_id" in x.split("]")[0] for x in met)
+    monkeypatch.setattr(retrieval, "PAIRS", 40)
+    assert rows(postings.search(q, path, 7)) == want
