@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT, Settings
 from graniteleaf.functions import text as T
-from graniteleaf.sources.tables import stored
+from graniteleaf.functions.arrays import cut, slices, text_slices
+from graniteleaf.sources.tables import ship, stored
 
 #: The columns that an index keeps beside id, vector and text.
 META = ("kind", "unit_id", "citation", "title", "chapter_title", "section_title", "part", "n_parts", "url", "n_tokens")
 #: Width of the hashing encoder that stands in where no text encoder is at hand.
 HASH_DIMS = 64
 _LETTER = 40
+#: Bytes of texts that are cut at once, and distinct tokens whose vectors are taken at once.
+CUT_BYTES, COUNTED = 4 << 20, 1 << 18
 
 
 def without_kind(chunks: DataFrame, kind: str) -> DataFrame:
@@ -53,6 +63,56 @@ def hash_encode(c: Column) -> Column:
     return l2_normalize(counts)
 
 
+def token_counts(corpus: DataFrame) -> DataFrame:
+    """corpus(chunk_id, text) -> chunk_id, dl, tokens, counts: each token of a chunk once, with its count; null for null texts.
+
+    The tokens of document_lengths(), cut in Arrow buffers: one narrow pass, and no string is made of a repeated token.
+    """
+    ship(corpus.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, texts = batch.column("chunk_id"), batch.column("text")
+            for a, ends, data in text_slices(texts, CUT_BYTES):
+                upto, tokens = cut(ends, data)
+                coded = tokens.dictionary_encode()
+                n, dl = max(len(coded.dictionary), 1), np.diff(upto, prepend=0)
+                key, counts = np.unique(np.repeat(np.arange(len(dl)) * n, dl) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                at = pa.array(np.searchsorted(key, np.arange(len(dl) + 1) * n).astype(np.int32))
+                none = texts.slice(a, len(dl)).is_null()
+                lists = [pa.ListArray.from_arrays(at, x, mask=none) for x in (coded.dictionary.take(pa.array(key % n)), pa.array(counts.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([own.slice(a, len(dl)), pa.array(dl.astype(np.int32), mask=none.to_numpy(zero_copy_only=False)), *lists], names=["chunk_id", "dl", "tokens", "counts"])
+
+    return corpus.select("chunk_id", F.lower("text").alias("text")).mapInArrow(count, f"chunk_id {dict(corpus.dtypes)['chunk_id']}, dl int, tokens array<string>, counts array<int>")
+
+
+@lru_cache(1 << 18)
+def _bucket(token: str) -> int:
+    return int.from_bytes(md5(token.encode(), usedforsecurity=False).digest()[:2]) % HASH_DIMS
+
+
+def hash_vectors(counted: DataFrame) -> DataFrame:
+    """Rows of token_counts() -> chunk_id, embedding: the vectors of hash_encode, null for null texts."""
+    ship(counted.sparkSession)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, times, done, seen = batch.column("tokens"), pc.list_flatten(batch.column("counts")).to_numpy(zero_copy_only=False), 0, 0
+            for ends, flat in slices(tokens, COUNTED):
+                coded = flat.dictionary_encode()
+                bucket = np.array([_bucket(t) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+                row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                v = np.bincount(row * HASH_DIMS + bucket, times[seen : seen + len(flat)], len(ends) * HASH_DIMS).astype(np.float64).reshape(-1, HASH_DIMS)
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+                at = pa.array(np.arange(len(ends) + 1, dtype=np.int32) * HASH_DIMS)
+                vectors = pa.ListArray.from_arrays(at, pa.array(v.ravel()), mask=tokens.slice(done, len(ends)).is_null())
+                yield pa.RecordBatch.from_arrays([batch.column("chunk_id").slice(done, len(ends)), vectors], names=["chunk_id", "embedding"])
+                done, seen = done + len(ends), seen + len(flat)
+
+    return counted.select("chunk_id", "tokens", "counts").mapInArrow(encode, f"chunk_id {dict(counted.dtypes)['chunk_id']}, embedding array<double>")
+
+
 def document_lengths(corpus: DataFrame) -> DataFrame:
     """corpus(chunk_id, text) -> chunk_id, tokens, dl."""
     return corpus.select("chunk_id", T.tokenize(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
@@ -61,9 +121,11 @@ def document_lengths(corpus: DataFrame) -> DataFrame:
 def term_statistics(lengths: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """term, df, idf: Okapi weights over all chunks; a negative weight becomes the floor times the mean weight of all terms.
 
-    A chunk sends each of its terms once; the counts are summed map-side first.
+    A chunk sends each of its terms once (of rows with `counts` they are distinct already); the counts are summed map-side first.
     """
-    df = lengths.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    own = F.col("tokens") if "counts" in lengths.columns else F.array_distinct("tokens")
+    # a join on terms would filter one reading of df only; alike they are one shuffle
+    df = lengths.select(F.explode(own).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     n = lengths.agg(F.count("*").alias("n"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.ln(F.col("n") - F.col("df") + F.lit(0.5).cast("double")) - F.ln(F.col("df") + F.lit(0.5).cast("double")))
     mean = raw.agg(F.avg("raw").alias("mean"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graniteleaf.config import DEFAULT
 from graniteleaf.functions import text as T
-from graniteleaf.operators import evaluation, grounding, matching, metrics, retrieval
+from graniteleaf.operators import evaluation, grounding, indexing, matching, metrics, retrieval
 from graniteleaf.operators.judging import validated_grade
 from graniteleaf.sources.tables import stored, table
 
@@ -46,7 +46,8 @@ def listed(spark: SparkSession, d: str) -> DataFrame:
 
 def runs(spark: SparkSession, d: str, depth: int = POOL) -> dict[str, DataFrame]:
     c, q = corpus(spark, d), asked(spark, d)
-    return {m: stored(retrieval.search(q, c, depth, m), f"run-{m}") for m in ("bm25", "dense")}  # searched once, whatever reads them
+    counted = stored(indexing.token_counts(c), "tokens")  # cut once for both
+    return {m: stored(retrieval.search(q, c, depth, m, counted=counted), f"run-{m}") for m in ("bm25", "dense")}  # searched once, whatever reads them
 
 
 def bm25_hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
