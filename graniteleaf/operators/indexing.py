@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
@@ -23,7 +22,7 @@ META = ("kind", "unit_id", "citation", "title", "chapter_title", "section_title"
 HASH_DIMS = 64
 _LETTER = 40
 #: Bytes of texts that are cut at once, and distinct tokens whose vectors are taken at once.
-CUT_BYTES, COUNTED = 4 << 20, 1 << 18
+CUT_BYTES, COUNTED = 4 << 20, 1 << 20
 
 
 def without_kind(chunks: DataFrame, kind: str) -> DataFrame:
@@ -86,9 +85,10 @@ def token_counts(corpus: DataFrame) -> DataFrame:
     return corpus.select("chunk_id", F.lower("text").alias("text")).mapInArrow(count, f"chunk_id {dict(corpus.dtypes)['chunk_id']}, dl int, tokens array<string>, counts array<int>")
 
 
-@lru_cache(1 << 18)
-def _bucket(token: str) -> int:
-    return int.from_bytes(md5(token.encode(), usedforsecurity=False).digest()[:2]) % HASH_DIMS
+def _buckets(tokens: pa.Array) -> np.ndarray:
+    """The bucket of each token, as in hash_encode: from the first two bytes of its md5."""
+    digests = b"".join([md5(t).digest() for t in tokens.cast(pa.binary()).to_pylist()])
+    return (np.frombuffer(digests, ">u2")[::8] % HASH_DIMS).astype(np.int64)
 
 
 def hash_vectors(counted: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def hash_vectors(counted: DataFrame) -> DataFrame:
             tokens, times, done, seen = batch.column("tokens"), pc.list_flatten(batch.column("counts")).to_numpy(zero_copy_only=False), 0, 0
             for ends, flat in slices(tokens, COUNTED):
                 coded = flat.dictionary_encode()
-                bucket = np.array([_bucket(t) for t in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+                bucket = _buckets(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
                 row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
                 v = np.bincount(row * HASH_DIMS + bucket, times[seen : seen + len(flat)], len(ends) * HASH_DIMS).astype(np.float64).reshape(-1, HASH_DIMS)
                 norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
