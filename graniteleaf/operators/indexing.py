@@ -23,6 +23,8 @@ HASH_DIMS = 64
 _LETTER = 40
 #: Bytes of texts that are cut at once, and distinct tokens whose vectors are taken at once.
 CUT_BYTES, COUNTED = 4 << 20, 1 << 20
+#: Tokens whose document frequencies a task holds before it passes them on, and tokens in one of the rows that carry them.
+HELD, CARRIED = 1 << 20, 1 << 14
 
 
 def without_kind(chunks: DataFrame, kind: str) -> DataFrame:
@@ -67,22 +69,74 @@ def token_counts(corpus: DataFrame) -> DataFrame:
 
     The tokens of document_lengths(), cut in Arrow buffers: one narrow pass, and no string is made of a repeated token.
     """
+    return _cut(corpus, None).drop("summed")
+
+
+def asked_counts(corpus: DataFrame, words: list[str]) -> DataFrame:
+    """token_counts() of `words` alone (dl counts all tokens), and in the same pass the document frequencies of all tokens: chunk_id, dl, tokens, counts, summed.
+
+    Where `summed` is true, the row is no chunk: its counts are numbers of a task's chunks that hold its tokens, whatever the words. What leaves a task grows with the words
+    that are asked for and with the vocabulary, not with the texts.
+    """
+    return _cut(corpus, pa.array(words, pa.string()))
+
+
+class _Frequencies:
+    """Document frequencies of the chunks that a task has met. HELD tokens are held at once, in Arrow."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, tokens: pa.Array, counts: np.ndarray) -> Iterator[pa.Table]:
+        self.parts.append(pa.table({"t": tokens, "n": counts}))
+        self.size += len(tokens)
+        if self.size >= HELD:
+            whole = self._summed()
+            self.parts, self.size = [whole], len(whole)
+            if self.size >= HELD // 2:
+                yield from self.rest()
+
+    def _summed(self) -> pa.Table:
+        return pa.concat_tables(self.parts).group_by("t", use_threads=False).aggregate([("n", "sum")]).rename_columns({"t": "t", "n_sum": "n"})
+
+    def rest(self) -> Iterator[pa.Table]:
+        if self.size:
+            whole = self._summed()
+            self.parts, self.size = [], 0
+            yield from (whole.slice(a, CARRIED) for a in range(0, len(whole), CARRIED))
+
+
+def _cut(corpus: DataFrame, words: pa.Array | None) -> DataFrame:
     ship(corpus.sparkSession)
+    names = ["chunk_id", "dl", "tokens", "counts", "summed"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, kind = _Frequencies(), None
+
+        def carried(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+            for part in parts:
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), x) for x in (part["t"].combine_chunks(), part["n"].cast(pa.int32()).combine_chunks())]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int32()), *lists, pa.array([True])], names=names)
+
         for batch in batches:
             own, texts = batch.column("chunk_id"), batch.column("text")
+            kind = own.type
             for a, ends, data in text_slices(texts, CUT_BYTES):
                 upto, tokens = cut(ends, data)
                 coded = tokens.dictionary_encode()
                 n, dl = max(len(coded.dictionary), 1), np.diff(upto, prepend=0)
                 key, counts = np.unique(np.repeat(np.arange(len(dl)) * n, dl) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                if words is not None:
+                    yield from carried(met.add(coded.dictionary, np.bincount(key % n, minlength=len(coded.dictionary))))
+                    asked = pc.is_in(coded.dictionary, value_set=words).to_numpy(zero_copy_only=False)[key % n]
+                    key, counts = key[asked], counts[asked]
                 at = pa.array(np.searchsorted(key, np.arange(len(dl) + 1) * n).astype(np.int32))
                 none = texts.slice(a, len(dl)).is_null()
                 lists = [pa.ListArray.from_arrays(at, x, mask=none) for x in (coded.dictionary.take(pa.array(key % n)), pa.array(counts.astype(np.int32)))]
-                yield pa.RecordBatch.from_arrays([own.slice(a, len(dl)), pa.array(dl.astype(np.int32), mask=none.to_numpy(zero_copy_only=False)), *lists], names=["chunk_id", "dl", "tokens", "counts"])
+                yield pa.RecordBatch.from_arrays([own.slice(a, len(dl)), pa.array(dl.astype(np.int32), mask=none.to_numpy(zero_copy_only=False)), *lists, pa.array(np.zeros(len(dl), bool))], names=names)
+        yield from carried(met.rest())
 
-    return corpus.select("chunk_id", F.lower("text").alias("text")).mapInArrow(count, f"chunk_id {dict(corpus.dtypes)['chunk_id']}, dl int, tokens array<string>, counts array<int>")
+    return corpus.select("chunk_id", F.lower("text").alias("text")).mapInArrow(count, f"chunk_id {dict(corpus.dtypes)['chunk_id']}, dl int, tokens array<string>, counts array<int>, summed boolean")
 
 
 def _buckets(tokens: pa.Array) -> np.ndarray:
@@ -122,11 +176,18 @@ def term_statistics(lengths: DataFrame, settings: Settings = DEFAULT) -> DataFra
     """term, df, idf: Okapi weights over all chunks; a negative weight becomes the floor times the mean weight of all terms.
 
     A chunk sends each of its terms once (of rows with `counts` they are distinct already); the counts are summed map-side first.
+    Rows of asked_counts() bring their frequencies with them.
     """
+    if "summed" in lengths.columns:
+        sent = lengths.where("summed").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).select(F.col("x.tokens").alias("term"), F.col("x.counts").cast("long").alias("df"))
+        return _weights(sent.where("term IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df")), lengths.where("NOT summed"), settings)
     own = F.col("tokens") if "counts" in lengths.columns else F.array_distinct("tokens")
-    # a join on terms would filter one reading of df only; alike they are one shuffle
-    df = lengths.select(F.explode(own).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
-    n = lengths.agg(F.count("*").alias("n"))
+    return _weights(lengths.select(F.explode(own).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")), lengths, settings)
+
+
+def _weights(df: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
+    """df(term, df), a row a term that is not null: a join on terms would filter one reading of df only; alike they are one shuffle."""
+    n = chunks.agg(F.count("*").alias("n"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.ln(F.col("n") - F.col("df") + F.lit(0.5).cast("double")) - F.ln(F.col("df") + F.lit(0.5).cast("double")))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.lit(settings.bm25_floor) * F.col("mean")).otherwise(F.col("raw")).alias("idf"))

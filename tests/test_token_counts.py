@@ -41,3 +41,31 @@ def test_null_texts_leave_neighbours_of_others_whole(spark):
     c = spark.createDataFrame([(0, "k", None), (1, "k", "w1 x"), (2, "k", "x")], "chunk_id long, kind string, text string").coalesce(1)
     q = spark.createDataFrame([(1, "w1 x")], "query_id long, question string")
     assert [r["chunk_id"] for r in retrieval.search(q, c, 1, "dense").collect()] == [1]
+
+
+@pytest.mark.parametrize("most", [1, 16, 1 << 22])
+def test_only_what_is_asked_for_leaves_the_cut(spark, monkeypatch, most):
+    """Frequencies of all tokens come with it, in one pass over the texts."""
+    for name in ("CUT_BYTES", "HELD", "CARRIED"):
+        monkeypatch.setattr(indexing, name, most)
+    c = spark.createDataFrame(list(enumerate(TEXTS)), "chunk_id long, text string").repartition(2)
+    words = {"a", "ab", "tail", "nowhere", "12"}
+    got = indexing.asked_counts(c, sorted(words))
+    rows = {r["chunk_id"]: (r["dl"], r["tokens"] if r["tokens"] is None else dict(zip(r["tokens"], r["counts"]))) for r in got.where("NOT summed").collect()}
+    assert rows == {r[0]: (r[2], r[1] if r[1] is None else {t: r[1].count(t) for t in r[1] if t in words}) for r in indexing.document_lengths(c).collect()}
+    want = {tuple(r) for r in indexing.term_statistics(indexing.document_lengths(c)).collect()}
+    assert {tuple(r) for r in indexing.term_statistics(got).collect()} == want and len(want) > len(words)
+    assert indexing.asked_counts(c.limit(0), ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_bm25_stores_no_other_tokens(spark, monkeypatch, most):
+    kept = []
+    monkeypatch.setattr(retrieval, "ASKED_TERMS", most)
+    monkeypatch.setattr(retrieval, "stored", lambda df, name: kept.append(df) or df)
+    c = spark.createDataFrame([(i, f"w{i % 7} w{i % 3} x own{i}") for i in range(50)] + [(50, None)], "chunk_id long, text string")
+    q = spark.createDataFrame([(1, "w1 x"), (2, "w2 w2 nowhere"), (3, None)], "query_id long, question string")
+    got = sorted(map(tuple, retrieval.bm25(q, c, 5).collect()))
+    assert got == sorted(map(tuple, retrieval.top_k(retrieval.bm25_scores(q, c), 5, 6).collect())) and len(got) == 10
+    if most:
+        assert {t for r in kept[0].where("NOT summed").collect() for t in r["tokens"] or ()} == {"w1", "w2", "x"}
