@@ -48,3 +48,7 @@ def test_outlines_agree(spark, pages):
     p = spark.read.parquet(f"{pages}/pages.parquet")
     body = p.select("page_id", F.regexp_replace("html", "(?s)^.*<body>", "").alias("html"))
     assert dict(map(tuple, body.select("page_id", parsing.render_outline("html")).collect())) == dict(map(tuple, parsing.page_outline(p).collect()))
+
+
+def test_page_chunks(spark, pages):
+    same_rows(spark, pages, "page_chunks")
