@@ -52,3 +52,7 @@ def test_outlines_agree(spark, pages):
 
 def test_page_chunks(spark, pages):
     same_rows(spark, pages, "page_chunks")
+
+
+def test_page_units(spark, pages):
+    same_rows(spark, pages, "page_units")
